@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, topk
+from . import packing, quality, secrets, sharding, spans, topk
 from .common import table
 
 
@@ -15,6 +15,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = secrets.train(secrets.samples(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans.listed(F.col("base_spans"), secrets.KINDS), 256).alias("base_sha256"), spans.listed(F.col("spans"), secrets.KINDS).alias("spans"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), ids=False)
 
@@ -36,6 +42,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
