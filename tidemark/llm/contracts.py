@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, secrets, sharding, spans, topk
+from . import chat, decontaminate, packing, quality, sanitize, secrets, sharding, spans, topk
 from .common import table
 
 
@@ -36,6 +36,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitize.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(spans.listed(F.col("base_spans"), sanitize.KINDS, by_kind=True), 256).alias("base_sha256"), spans.listed(F.col("spans"), sanitize.KINDS, by_kind=True).alias("spans"),
+    )
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256.0)
     return topk.search(vectors.where(F.col("_id") % 50 == 0), vectors, 5)
@@ -53,11 +65,27 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
+    "op5_pii": op5_pii,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_topk": op7_topk,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLES = {
+    "op6_chat_formatting": """
+        WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+        v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'),
+        m AS (
+            SELECT r.conv_id, perspective, turn, speaker, content,
+                CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+            FROM r JOIN v ON r.conv_id IS NOT DISTINCT FROM v.conv_id
+        ), h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM m),
+        s AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM h)
+        SELECT conv_id, perspective, turn, speaker, role, segment,
+            CAST(CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS INT) AS mask_start,
+            CAST(CASE WHEN role = 'assistant' THEN length(segment) ELSE 0 END AS INT) AS mask_end, role = 'assistant' AS trained
+        FROM s
+    """,
     "op9_decontamination": """
         WITH d AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
