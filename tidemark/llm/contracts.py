@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, sanitize, secrets, sharding, spans, topk
+from . import chat, decontaminate, packing, quality, repeats, sanitize, secrets, sharding, spans, topk
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_packing": op2_packing,
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_topk": op7_topk,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
