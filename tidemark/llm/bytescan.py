@@ -25,6 +25,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[M(1)], np.full(max(0, n - 1), base, dtype=M)]))[:n]
 
 
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * C1)
+_BASE = int(C1)
+_UNBASE = pow(_BASE, -1, 1 << 64)
+
+
+def prefix_sums(flat: np.ndarray) -> np.ndarray:
+    """Running sums of letters times powers of the base."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[flat] * powers(_BASE, len(flat)))])
+
+
+def digests(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings between starts and ends: the same for equal strings anywhere."""
+    back = powers(_UNBASE, len(sums))
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * C3)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column without nulls."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

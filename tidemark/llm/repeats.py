@@ -160,9 +160,9 @@ def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                 if not len(row):
                     continue
                 flat = data[offsets[a] : offsets[b]]
-                sums = _prefix(flat)
+                sums = bs.prefix_sums(flat)
                 size = count + length - 1
-                digest = bs.mix((sums[1][start + size] - sums[1][start]) * sums[0][len(flat) - start]) + size.astype(np.uint64)
+                digest = bs.digests(sums, start, start + size)
                 doc = ids[a:b][row]
                 at = start - (offsets[a : b + 1] - offsets[a])[row]
                 h1, h2 = h.view(np.int64), digest.view(np.int64)
@@ -178,17 +178,6 @@ def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     return texts.mapInArrow(scan, "bucket int, h1 long, h2 long, doc long, at long, bytes binary")
 
 
-_TABLE = bs.mix(np.arange(1, 257, dtype=np.uint64) * bs.C1)
-_BASE = int(bs.C1)
-
-
-def _prefix(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base, and running sums of letters times powers: a string's hash is a difference, shifted to a common power."""
-    p = bs.powers(_BASE, len(flat) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[flat] * p[: len(flat)])])
-    return p, sums
-
-
 def _least(stretches: DataFrame, buckets: int, length: int) -> DataFrame:
     """h1, h2, least: for each distinct stretch, its windows' smallest ids as packed runs (counts, ids)."""
 
