@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, repeats, sanitize, secrets, sharding, spans, topk
+from . import chat, decontaminate, jaccard, packing, quality, repeats, sanitize, secrets, sharding, spans, topk
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.where(F.col("_id") % 50 == 0), vectors, 5)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -72,6 +76,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_topk": op7_topk,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
