@@ -1,15 +1,19 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators and their SQL."""
 
 from __future__ import annotations
 
+from . import timeline
+
+MODULES = [timeline]
+
 
 def queries():
-    return {}
+    return {k: f for m in MODULES for k, f in sorted(m.QUERIES.items())}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return timeline.q01_event_runs(spark, sf_dir)
