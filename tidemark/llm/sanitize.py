@@ -34,10 +34,12 @@ BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=False))
 
 #: A term reveals an entity if its share of the entity's information reaches THRESHOLD and SUPPORT distinct lines hold both.
 THRESHOLD, SUPPORT = 0.9, 3
-#: Terms are words of this many letters or digits and more, as written in lower case.
-TERM = r"[\p{L}\p{N}]{4,}"
+#: Terms are runs of four letters or digits and more, in lower case; beyond ASCII, of all characters but punctuation blocks.
+TERM = r"[0-9A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]{4,}"
 #: So many revealing terms at most are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
+#: So many at most are compared with texts in place; with more, texts are found by a join.
+SCREEN_TERMS = 2_000
 
 
 def _digits(s: Column) -> Column:
@@ -102,19 +104,23 @@ def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THR
     beside = found.select(F.xxhash64("line").alias("line"), named.alias("entities"), F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0))).alias("terms")).where(F.size("entities") > 0)
     # an entity that stands in fewer lines than the support can't be revealed: most are left here, before terms are paired with them
     apart = cut(beside.dropDuplicates(["line"]), "entity-lines")
+    totals = lines.where(F.length("line") > 0)
+    n_lines = totals.select(F.approx_count_distinct(F.xxhash64("line"), 0.02)).first()[0] + 1
     by_entity = apart.select("line", "terms", F.explode("entities").alias("entity"))
     often = by_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     together = by_entity.join(often, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    # a term's lines are at least those with any entity: that alone rules out common words, before all lines are counted
+    among = apart.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_among"))
+    least = F.pow(F.col("n_e") / n_lines, 1 - threshold)
+    together = together.join(among, "term").where(F.col("n_et") >= F.col("n_among") * least * (1 - 1e-9)).drop("n_among")
     together = cut(together, "term-entities")
     terms = together.select(F.xxhash64("term").alias("h")).distinct()
     n_terms = terms.count()
     if n_terms == 0:
         return together.select("term", F.lit(0.0).alias("share")).limit(0)
-    totals = lines.where(F.length("line") > 0)
     words = totals.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term")).withColumn("h", F.xxhash64("term"))
     words = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "h", "left_semi")
     spread = words.select("line", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n_lines = totals.select(F.approx_count_distinct(F.xxhash64("line"), 0.02)).first()[0] + 1
     p_e, p_et = F.col("n_e") / n_lines, F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))
     share = F.log(p_et / p_e) / F.greatest(-F.log(p_e), F.lit(1e-9))
     return together.join(spread, "term").select("term", share.alias("share")).where(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("share"))
@@ -137,8 +143,15 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, supp
     if n == 0:
         return df.withColumn("spans", F.col("base_spans"))
     lists = F.broadcast(terms.select(F.col("term").alias("_t"))) if n <= BROADCAST_TERMS else terms.select(F.col("term").alias("_t"))
-    texts = docs.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    placed = spans.located(spans.matches(texts.withColumn("_key", F.sha2("_text", 256)), "_text", {"term": TERM}), ["term"])
+    texts = docs.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).withColumn("_key", F.sha2("_text", 256))
+    own = F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))
+    # a term that reveals is rare, so few texts hold one: only in those are words placed
+    if n <= SCREEN_TERMS:
+        texts = texts.where(F.arrays_overlap(own, F.array(*[F.lit(r["term"]) for r in terms.collect()])))
+    else:
+        holds = texts.select("_key", F.explode(own).alias("_t")).join(lists, "_t", "left_semi").select("_key").distinct()
+        texts = texts.join(holds, "_key", "left_semi")
+    placed = spans.located(spans.matches(texts, "_text", {"term": TERM}), ["term"])
     words = placed.select("_key", F.explode("_s_term").alias("s")).select("_key", "s.start", "s.end", F.lower("s.text").alias("_t"))
     hit = words.join(lists, "_t", "left_semi").groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("_terms"))
     joined = df.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(hit, "_key", "left")
