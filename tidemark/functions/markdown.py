@@ -39,7 +39,7 @@ def escape(c: Column) -> Column:
     """Text as Markdown shows it: special characters, and those that are special where a line begins, get a backslash."""
     c = F.regexp_replace(c, r"([\\`*_{}\[\]<>$|])", r"\\$1")
     c = F.regexp_replace(c, r"(?m)^(\s*)([#+>-])", r"$1\\$2")
-    return F.regexp_replace(c, r"(?m)^(\s*\d+)([.)])(?=\s)", r"$1\\$2")
+    return F.regexp_replace(c, r"(?m)^(\s*[0-9]+)([.)]\s)", r"$1\\$2")
 
 
 def link_target(path: Column) -> Column:
@@ -71,7 +71,7 @@ def body(markdown: Column) -> Column:
     lines = F.split(F.trim(F.regexp_replace(markdown, r"!\[[^\]]*\]\([^)]*\)", ""), F.lit(" \t\n\r")), "\n")
     first = F.array_position(F.transform(lines, lambda x: ~x.rlike(r"^\s*(>.*)?$")), True).cast("int")
     kept = F.when(first > 0, F.slice(lines, first, F.size(lines))).otherwise(F.array().cast("array<string>"))
-    return F.trim(F.array_join(F.transform(kept, F.rtrim), "\n"), F.lit(" \t\n\r"))
+    return F.trim(F.array_join(F.transform(kept, lambda x: F.rtrim(x)), "\n"), F.lit(" \t\n\r"))
 
 
 def signature(markdown: Column) -> Column:

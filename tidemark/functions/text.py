@@ -61,15 +61,17 @@ def term_key(c: Column) -> Column:
     return F.regexp_replace(k, f"^(.{{2,}}[^{_VOWELS}])[ео]([^{_VOWELS}])$", "$1$2")
 
 
-@F.pandas_udf("string")
-def folded(c: pd.Series) -> pd.Series:
+def folded(c: Column) -> Column:
     """Compatibility form (NFKC) and case folding, which have no built-in; in Arrow batches."""
-    return c.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+    def fold(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+
+    return F.pandas_udf(fold, "string")(c)
 
 
 def joined_words(words: Column) -> Column:
     """Words (array of strings) as running text: no blank before closing marks or after opening ones."""
-    text = F.array_join(F.filter(F.transform(words, F.trim), lambda w: w != ""), " ")
+    text = F.array_join(F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != ""), " ")
     text = F.regexp_replace(text, "\\s+([,.!?;:…»)])", "$1")
     return F.trim(F.regexp_replace(text, "([«(])\\s+", "$1"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import timeline
+from . import timeline, transcripts
 
-MODULES = [timeline]
+MODULES = [timeline, transcripts]
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return timeline.q01_event_runs(spark, sf_dir)
+    return transcripts.q44_transcript_markdown(spark, sf_dir)

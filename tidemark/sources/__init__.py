@@ -1,0 +1 @@
+"""Sources: media descriptions, wave audio, picture folders, stage payloads."""
