@@ -147,3 +147,33 @@ def unpack_shared(bucket: int, packed: list[bytes]) -> tuple[np.ndarray, np.ndar
     r, v = r[shared], v[shared]
     order = np.argsort(r, kind="stable")
     return r[order], v[order]
+
+
+ROUTED = "bucket int, packed binary"
+
+
+def routed(rows: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(row, value) pairs, in which a row's values stand together, packed by the row's bucket: fields of ROUTED."""
+    at, counts = grouped(rows)
+    bucket = (mix(rows[at].astype(np.int64).view(np.uint64)) % M(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    out = []
+    for n in used:
+        mine = order[cuts[n] : cuts[n + 1]]
+        times = counts[mine]
+        flat = np.repeat(at[mine] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        out.append(blob(rows[at[mine]], times.astype(np.uint32), values[flat]))
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out, pa.binary())], ["bucket", "packed"])
+
+
+def unrouted(packed: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+    """All (row, value) pairs of a bucket, a row's values together."""
+    parts = [unblob(x, np.int64, np.uint32, kind) for x in packed]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, kind)
+    rows = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+    values = np.concatenate([p[2] for p in parts])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], values[order]

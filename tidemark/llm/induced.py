@@ -42,12 +42,13 @@ class Queues:
 
     def deal(self, letters: np.ndarray, positions: np.ndarray) -> None:
         """Append positions to their letters' queues, in their order."""
+        if not len(letters):
+            return
         order = np.argsort(letters, kind="stable")
         sorted_letters, sorted_positions = letters[order], positions[order]
-        cuts = np.flatnonzero(np.diff(sorted_letters)) + 1
-        begins = np.concatenate([[0], cuts]) if len(letters) else []
-        for a, b in zip(begins, [*cuts, len(letters)], strict=False):
-            self.put(int(sorted_letters[a]), sorted_positions[a:b].copy())
+        cuts = (np.flatnonzero(sorted_letters[1:] != sorted_letters[:-1]) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(letters)], strict=True):
+            self.put(int(sorted_letters[a]), sorted_positions[a:b])
 
     def take(self, letter: int):
         """The letter's blocks, first come first, each once."""
@@ -89,7 +90,7 @@ def induce(t: np.ndarray, s: np.ndarray, letters: int, lms: np.ndarray, limit: i
         seeds = lms[bounds[c] : bounds[c + 1]]
         before = seeds[seeds > 0] - 1
         up.deal(t[before], before)
-        done[c] = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        done[c] = np.concatenate(out) if out else np.zeros(0, dtype=lms.dtype)
     down, result = Queues(letters, limit), [None] * letters
     for c in range(letters - 1, -1, -1):
         falling = []
@@ -104,9 +105,9 @@ def induce(t: np.ndarray, s: np.ndarray, letters: int, lms: np.ndarray, limit: i
         before = back[back > 0] - 1
         before = before[s[before]]
         down.deal(t[before], before)
-        small = np.concatenate(falling)[::-1] if falling else np.zeros(0, dtype=np.int64)
+        small = np.concatenate(falling)[::-1] if falling else np.zeros(0, dtype=lms.dtype)
         result[c] = np.concatenate([large, small])
-    result[0] = np.array([len(t) - 1])  # the sentinel
+    result[0] = np.array([len(t) - 1], dtype=lms.dtype)  # the sentinel
     return np.concatenate(result)
 
 
@@ -142,14 +143,15 @@ def suffix_array(text: np.ndarray, depth: int | None = None, limit: int = 256 <<
     s = types(t)
     is_lms = np.zeros(n + 1, dtype=bool)
     is_lms[1:] = s[1:] & ~s[:-1]
-    lms = np.flatnonzero(is_lms)
+    place = np.int32 if n < 1 << 31 else np.int64
+    lms = np.flatnonzero(is_lms).astype(place)
     # The sentinel is the last LMS suffix. Its order with others of their first letter only is enough to sort LMS substrings.
     rough = lms[np.argsort(t[lms], kind="stable")]
     order = induce(t, s, letters, rough, limit)
     ordered = order[is_lms[order]]
-    index = np.empty(n + 1, dtype=np.int64)
-    index[lms] = np.arange(len(lms))
-    ends = np.concatenate([lms[1:], [n]])
+    index = np.empty(n + 1, dtype=place)
+    index[lms] = np.arange(len(lms), dtype=place)
+    ends = np.concatenate([lms[1:], [n]]).astype(place)
     length = (ends - lms + 1)[index[ordered]]
     length[ordered == n] = 1
     rank = np.empty(len(lms), dtype=np.int64)
@@ -172,7 +174,7 @@ def _told_apart(rank: np.ndarray, lms: np.ndarray, depth: int | None) -> np.ndar
         if not len(tied) or step >= m:
             return rank
         follow = np.where(tied + step < m, rank[np.minimum(tied + step, m - 1)], -1)
-        at = np.lexsort((follow, rank[tied]))
+        at = np.argsort(rank[tied] * np.int64(m + 1) + follow + 1)
         a, f, r = tied[at], follow[at], rank[tied][at]
         new_group = np.concatenate([[True], r[1:] != r[:-1]])
         first = np.maximum.accumulate(np.where(new_group, np.arange(len(a)), 0))

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from . import induced
-from .common import cut, partitions
+from .common import cut, partitions, release
 
 LENGTH, GRAM = 50, 16
-#: Bytes of queues that a shard's sort holds in memory; more lie on disk.
-SORT_MEMORY = 128 << 20
+#: Bytes of queues that a sort holds in memory, more lie on disk; letters that are sorted at once, if no single hash has more.
+SORT_MEMORY, SORT_LETTERS = 64 << 20, 3 << 20
 _OVERLAP_PIECE = 4 << 20
 
 
@@ -93,7 +93,7 @@ def _stretches(offsets: np.ndarray, data: np.ndarray, length: int):
 
 
 def _shared_hashes(texts: DataFrame, buckets: int, length: int) -> DataFrame:
-    """_id, flags (bucket and upper half of each shared hash, packed): texts has _id, _key, _text."""
+    """_id, flags (bucket and upper half of each shared hash as one number, packed): texts has _id, _key, _text."""
 
     def scan(batches):
         turn = 0
@@ -109,49 +109,69 @@ def _shared_hashes(texts: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def meet(batches):
         held: dict[int, list] = {}
-
-        def rows(r, b, v):
-            at, n = bs.grouped(r)
-            packed = [bs.blob(b[x : x + y], v[x : x + y]) for x, y in zip(at, n, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(r[at], pa.int64()), pa.array(packed, pa.binary())], ["_id", "flags"])
-
         for batch in batches:
             for n, known, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if known:
-                    yield rows(*bs.unblob(packed, np.int64, np.uint32, np.uint32))
+                    r, b, v = bs.unblob(packed, np.int64, np.uint32, np.uint32)
+                    yield bs.routed(r, (b.astype(np.uint64) << bs.M(32)) | v, buckets)
                 else:
                     held.setdefault(n, []).append(packed)
         for n in sorted(held):
             r, v = bs.unpack_shared(n, held.pop(n))
             if len(r):
-                yield rows(r, np.full(len(r), n, np.uint32), v)
+                yield bs.routed(r, (bs.M(n) << bs.M(32)) | v.astype(np.uint64), buckets)
 
     dealt = texts.mapInArrow(scan, bs.SHARED).repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(meet, "_id long, flags binary")
+    return _by_document(dealt.mapInArrow(meet, bs.ROUTED), buckets, np.uint64, "flags")
+
+
+def _by_document(routed: DataFrame, buckets: int, kind, name: str) -> DataFrame:
+    """_id and its values, packed as one array: routed pairs brought together by document."""
+
+    def run(batches):
+        held: list[bytes] = []
+        for batch in batches:
+            held += batch.column(1).to_pylist()
+        r, v = bs.unrouted(held, kind)
+        held.clear()
+        at, n = bs.grouped(r)
+        for k in range(0, len(at), 5000):
+            packed = [v[x : x + y].tobytes() for x, y in zip(at[k : k + 5000], n[k : k + 5000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(r[at[k : k + 5000]], pa.int64()), pa.array(packed, pa.binary())], ["_id", name])
+
+    return routed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, f"_id long, {name} binary")
+
+
+#: A stretch that more documents of one chunk have is common: its places travel apart from its bytes.
+COMMON = 16
+_DEALT = "bucket int, kind int, packed binary"
+_PACKED = (np.int64, np.int64, np.int64, np.uint8, np.uint32, np.uint32, np.int64, np.uint32, np.uint8)
 
 
 def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Stretches of texts (_id, _text, flags: array of packed flags) under shared hashes.
+    """Stretches of texts (_id, _text, flags: packed hashes) under shared hashes, packed by shard.
 
-    Records: those with text (bucket, h1, h2, least id, bytes packed) go to their
-    shard, equal ones of a chunk as one; those without say where each stands.
+    kind 0: a chunk's distinct stretches of a shard: hash, digest, least id,
+    common or not, size, number of places, the places' ids and starts (of those
+    that are not common), bytes (compressed). kind 1: places of common stretches.
     """
 
     def scan(batches):
+        import zstandard
+
+        turn, pressed = 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, flags = batch.column(0).to_numpy(), batch.column(2)
             offsets, data = bs.buffers(batch.column(1))
             for a, b in bs.runs(offsets):
+                turn += 1
                 row, start, count, h = _stretches(offsets[a : b + 1], data, length)
-                if not len(row):
-                    continue
                 wanted_rows, wanted = [], []
                 for i in range(a, b):
-                    for packed in flags[i].as_py() or ():
-                        w = bs.unblob(packed, np.uint32, np.uint32)
-                        wanted.append((w[0].astype(np.uint64) << bs.M(32)) | w[1])
-                        wanted_rows.append(np.full(len(w[0]), i - a, np.uint64))
-                if not wanted:
+                    w = np.frombuffer(flags[i].as_py(), np.uint64)
+                    wanted.append(w)
+                    wanted_rows.append(np.full(len(w), i - a, np.uint64))
+                if not wanted or not len(row):
                     continue
                 mark = lambda r, x: bs.mix(x + (r.astype(np.uint64) + bs.M(1)) * bs.C1)
                 filed = ((h % bs.M(buckets)) << bs.M(32)) | (h >> bs.M(32))
@@ -160,97 +180,180 @@ def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                 if not len(row):
                     continue
                 flat = data[offsets[a] : offsets[b]]
-                sums = bs.prefix_sums(flat)
                 size = count + length - 1
-                digest = bs.digests(sums, start, start + size)
+                digest = bs.digests(bs.prefix_sums(flat), start, start + size)
                 doc = ids[a:b][row]
                 at = start - (offsets[a : b + 1] - offsets[a])[row]
                 h1, h2 = h.view(np.int64), digest.view(np.int64)
-                bucket = (h % bs.M(buckets)).astype(np.int32)
-                order = np.lexsort((doc, h2, h1))
-                first = order[bs.grouped_pairs(h1[order], h2[order])[0]]
-                pieces = [flat[s : s + n].tobytes() for s, n in zip(start[first], size[first], strict=True)]
-                none = pa.nulls(len(doc), pa.binary())
-                names = ["bucket", "h1", "h2", "doc", "at", "bytes"]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(h1[first]), pa.array(h2[first]), pa.array(doc[first]), pa.array(np.zeros(len(first), np.int64)), pa.array(pieces, pa.binary())], names)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h1), pa.array(h2), pa.array(doc), pa.array(at), none], names)
-
-    return texts.mapInArrow(scan, "bucket int, h1 long, h2 long, doc long, at long, bytes binary")
-
+                bucket = (h % bs.M(buckets)).astype(np.int64)
+                order = np.lexsort((doc, h2, h1, bucket))
+                bucket, h1, h2, doc, at, start, size = (x[order] for x in (bucket, h1, h2, doc, at, start, size))
+                begins, places = bs.grouped_pairs(h1, h2)
+                common = places > COMMON
+                apart = np.repeat(common, places)
+                out = [(turn % buckets, 1, bs.blob(h1[apart], h2[apart], doc[apart], at[apart]))] if apart.any() else []
+                cuts = np.searchsorted(bucket[begins], np.arange(buckets + 1))
+                for n in np.flatnonzero(np.diff(cuts)):
+                    part = slice(cuts[n], cuts[n + 1])
+                    first, own = begins[part], np.arange(begins[cuts[n]], begins[cuts[n + 1]] if cuts[n + 1] < len(begins) else len(h1))
+                    own = own[~apart[own]]
+                    letters = np.concatenate([flat[s : s + k] for s, k in zip(start[first], size[first], strict=True)])
+                    kept = np.where(common[part], 0, places[part]).astype(np.uint32)
+                    out.append((int(n), 0, bs.blob(h1[first], h2[first], doc[first], common[part].astype(np.uint8), size[first].astype(np.uint32), kept, doc[own], at[own].astype(np.uint32), np.frombuffer(pressed.compress(letters.tobytes()), np.uint8))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "packed"])
+
+    return texts.mapInArrow(scan, _DEALT)
+
+
+def _runs(sizes: np.ndarray, begins: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal ids in the windows of texts that lie one after the other: (text, first window in it, windows, id)."""
+    n_windows = sizes - length + 1
+    text = np.repeat(np.arange(len(sizes)), n_windows)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    values = windows[begins[text] + place]
+    at, counts = bs.grouped_pairs(text, values)
+    return text[at], place[at], counts, values[at]
+
+
+def _least(h1: np.ndarray, least: np.ndarray, sizes: np.ndarray, letters: list, length: int):
+    """Runs of the smallest id of each window: (stretch, first window, windows, id). Distinct stretches, sorted by h1.
+
+    A stretch alone under its hash has one id for all windows; all others are suffix-sorted together.
+    """
+    begins, counts = bs.grouped(h1)
+    alone = np.repeat(counts == 1, counts)
+    one = np.flatnonzero(alone)
+    out = [(one, np.zeros(len(one), np.int64), sizes[one] - length + 1, least[one])]
+    many = np.flatnonzero(~alone)
+    if len(many):
+        n = sizes[many].astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(n + 1)])
+        text = np.zeros(at[-1], dtype=np.int16)  # 0 parts the stretches; letters are 1 to 256
+        for a, k, m in zip(at, n, many, strict=False):
+            text[a : a + k] = letters[m]
+            text[a : a + k] += 1
+        owner = np.repeat(np.arange(len(many)), n + 1)
+        order = induced.suffix_array(text, depth=length, limit=SORT_MEMORY)
+        order = order[order + length <= at[owner[order] + 1] - 1]
+        group = np.cumsum(~induced.common_prefix_at_least(text, order, length)) - 1
+        smallest = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, group, least[many][owner[order]])
+        windows = np.full(len(text), -1, np.int64)
+        windows[order] = smallest[group]
+        t, first, k, values = _runs(n, at[:-1], windows, length)
+        out.append((many[t], first, k, values))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _portions(h1: np.ndarray, sizes: np.ndarray):
+    """Ranges of stretches sorted together: whole hashes, about SORT_LETTERS letters."""
+    begins, counts = bs.grouped(h1)
+    letters = np.add.reduceat(sizes.astype(np.int64), begins) if len(begins) else begins
+    total, start = np.cumsum(letters), 0
+    while start < len(begins):
+        base = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, base + SORT_LETTERS, side="right")))
+        yield int(begins[start]), int(begins[stop - 1] + counts[stop - 1])
+        start = stop
+
+
+_FOUND = "kind int, h1 long, h2 long, doc long, at long, bucket int, packed binary"
+
+
+def _found(kind: int, n: int, **columns) -> pa.RecordBatch:
+    names = ["h1", "h2", "doc", "at", "bucket", "packed"]
+    types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32())] + [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], ["kind", *names])
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Spans packed by their document's bucket; a span is one number, its start and its length."""
+    order = np.lexsort((start, doc))
+    value = (start[order].astype(np.uint64) << bs.M(32)) | (end - start)[order].astype(np.uint64)
+    return bs.routed(doc[order], value, buckets)
+
+
+def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
+    """What the shards find. kind 0: documents' covered spans, packed by their bucket; 1: a place of a common stretch; 2: a common stretch's runs of smallest ids."""
 
-def _least(stretches: DataFrame, buckets: int, length: int) -> DataFrame:
-    """h1, h2, least: for each distinct stretch, its windows' smallest ids as packed runs (counts, ids)."""
+    def run(batches):
+        import zstandard
 
-    def sort(batches):
-        held: dict[tuple, list] = {}
-        by: dict[int, list] = {}
+        plain = zstandard.ZstdDecompressor()
+        held: dict[int, list] = {}
         for batch in batches:
-            for h1, h2, doc, piece in zip(*(batch.column(n).to_pylist() for n in ("h1", "h2", "doc", "bytes")), strict=True):
-                got = held.get((h1, h2))
-                if got is None:
-                    held[h1, h2] = [doc, piece]
-                    by.setdefault(h1, []).append(h2)
-                elif doc < got[0]:
-                    got[0] = doc
-        out, many = [], []
-        for h1, h2s in by.items():
-            if len(h2s) == 1:  # one stretch alone: all its windows have its smallest id
-                doc, piece = held[h1, h2s[0]]
-                out.append((h1, h2s[0], bs.blob(np.array([len(piece) - length + 1], np.int32), np.array([doc], np.int64))))
-            else:
-                many += [(h1, h2) for h2 in h2s]
-        if many:
-            pieces = [held[x][1] for x in many]
-            sizes = np.array([len(x) for x in pieces])
-            begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-            text = np.zeros(begins[-1], dtype=np.int16)  # 0 parts the stretches; letters are 1 to 256
-            for at, piece in zip(begins, pieces, strict=False):
-                text[at : at + len(piece)] = np.frombuffer(piece, np.uint8)
-                text[at : at + len(piece)] += 1
-            owner = np.repeat(np.arange(len(many)), sizes + 1)
-            docs = np.array([held[x][0] for x in many])
-            order = induced.suffix_array(text, depth=length, limit=SORT_MEMORY)
-            order = order[order + length <= begins[owner[order] + 1] - 1]
-            same = induced.common_prefix_at_least(text, order, length)
-            group = np.cumsum(~same) - 1
-            least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, docs[owner[order]])
-            window = np.full(len(text), -1, np.int64)
-            window[order] = least[group]
-            for i, x in enumerate(many):
-                mine = window[begins[i] : begins[i] + sizes[i] - length + 1]
-                at, counts = bs.grouped(mine)
-                out.append((*x, bs.blob(counts.astype(np.int32), mine[at])))
-        for k in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["h1", "h2", "least"])
-
-    return stretches.select("bucket", "h1", "h2", "doc", "bytes").repartitionById(buckets, F.col("bucket")).mapInArrow(sort, "h1 long, h2 long, least binary")
-
-
-def _marked(places: DataFrame, length: int) -> DataFrame:
-    """_id, start, end (bytes): windows with a smaller id than their document's, joined; places has doc, at, least."""
+            for n, kind, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind:
+                    h1, h2, doc, at = bs.unblob(packed, np.int64, np.int64, np.int64, np.int64)
+                    yield _found(1, len(h1), h1=h1, h2=h2, doc=doc, at=at)
+                else:
+                    held.setdefault(n, []).append(packed)
+        for n in sorted(held):
+            parts = [bs.unblob(x, *_PACKED) for x in held.pop(n)]
+            h1, h2, least, common, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            doc, at = (np.concatenate([p[k] for p in parts]) for k in (6, 7))
+            at = at.astype(np.int64)
+            letters = [x for p in parts for x in np.split(np.frombuffer(plain.decompress(p[8].tobytes()), np.uint8), np.cumsum(p[4])[:-1])]
+            record = np.repeat(np.arange(len(h1)), places)
+            order = np.lexsort((least, h2, h1))
+            begins, counts = bs.grouped_pairs(h1[order], h2[order])
+            ident = np.empty(len(h1), np.int64)
+            ident[order] = np.repeat(np.arange(len(begins)), counts)
+            first = order[begins]
+            is_common = np.zeros(len(begins), bool)
+            np.logical_or.at(is_common, ident, common.astype(bool))
+            found = []
+            for lo, hi in _portions(h1[first], sizes[first]):
+                part = _least(h1[first[lo:hi]], least[first[lo:hi]], sizes[first[lo:hi]], [letters[k] for k in first[lo:hi]], length)
+                found.append((part[0] + lo, *part[1:]))
+            stretch, lo, windows, smallest = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.argsort(stretch, kind="stable")
+            stretch, lo, windows, smallest = stretch[by], lo[by], windows[by], smallest[by]
+            cuts = np.searchsorted(stretch, np.arange(len(begins) + 1))
+            mine = ident[record]
+            times = cuts[mine + 1] - cuts[mine]
+            place = np.repeat(np.arange(len(record)), times)
+            r = cuts[mine][place] + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+            hit = smallest[r] < doc[place]
+            place, r = place[hit], r[hit]
+            sent = _spans(doc[place], at[place] + lo[r], at[place] + lo[r] + windows[r] + length - 1, buckets)
+            yield _found(0, sent.num_rows, bucket=sent.column(0), packed=sent.column(1))
+            which = np.flatnonzero(is_common)
+            if len(which):
+                packed = [bs.blob(windows[cuts[k] : cuts[k + 1]].astype(np.int32), smallest[cuts[k] : cuts[k + 1]]) for k in which]
+                yield _found(2, len(which), h1=h1[first][which], h2=h2[first][which], packed=packed)
+
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _FOUND)
+
+
+def _marked(places: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Spans packed by their document's bucket: windows of common stretches with a smaller id than their document's; places has doc, at, packed."""
 
     def run(batches):
         for batch in batches:
             ids, starts, ends = [], [], []
-            for doc, at, least in zip(*(batch.column(n).to_pylist() for n in ("doc", "at", "least")), strict=True):
+            for doc, at, least in zip(*(batch.column(n).to_pylist() for n in ("doc", "at", "packed")), strict=True):
                 counts, docs = bs.unblob(least, np.int32, np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                hit = docs < doc
-                for a, b in zip(bounds[:-1][hit], bounds[1:][hit], strict=True):
-                    if starts and ids[-1] == doc and ends[-1] - length + 1 == at + a:
-                        ends[-1] = int(at + b + length - 1)
-                    else:
-                        ids.append(doc)
-                        starts.append(int(at + a))
-                        ends.append(int(at + b + length - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["_id", "start", "end"])
+                for k in np.flatnonzero(docs < doc):
+                    ids.append(doc)
+                    starts.append(at + int(bounds[k]))
+                    ends.append(at + int(bounds[k + 1]) + length - 1)
+            if ids:
+                yield _spans(*(np.array(x, dtype=np.int64) for x in (ids, starts, ends)), buckets)
+
+    return places.mapInArrow(run, bs.ROUTED)
+
 
-    return places.mapInArrow(run, "_id long, start long, end long")
+def _joined(packed: bytes | None) -> list[tuple[int, int]]:
+    """All (start, end) of packed spans in order."""
+    v = np.sort(np.frombuffer(packed or b"", np.uint64))
+    starts = (v >> bs.M(32)).astype(np.int64)
+    return list(zip(starts.tolist(), (starts + (v & bs.M(0xFFFFFFFF)).astype(np.int64)).tolist(), strict=True))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' _id, _text with spans (array of start, end in bytes; may overlap), whole (a copy of a text with a smaller id)."""
+    """docs' _id, _text with spans (packed starts and lengths in bytes; they may overlap) and _copy_classes (digests of texts of which the row is a copy)."""
     buckets = partitions(docs.sparkSession)
     rows = docs.select(F.col(row_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     long_enough = (F.octet_length("_text") >= length) & F.col("_id").isNotNull()
@@ -258,16 +361,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id"
     first = keyed.groupBy("_class").agg(F.min("_id").alias("_first"))
     firsts = first.select(F.col("_first").alias("_id")).distinct()
     texts = rows.where(long_enough).select("_id", F.xxhash64("_text").alias("_key"), "_text")
-    flags = _shared_hashes(texts, buckets, length).groupBy("_id").agg(F.collect_list("flags").alias("flags"))
-    chosen = flags.join(firsts, "_id", "left_semi")
-    met = rows.where(long_enough).join(chosen, "_id").select("_id", "_text", "flags")
-    gathered = cut(_gather(met, buckets, length), "stretches")
-    least = _least(gathered.where(F.col("bytes").isNotNull()), buckets, length)
-    places = gathered.where(F.col("bytes").isNull()).select("h1", "h2", "doc", "at").join(least, ["h1", "h2"])
-    spans = _marked(places.select("doc", "at", "least"), length).groupBy("_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    copies = keyed.join(first, "_class").where(F.col("_id") > F.col("_first")).select(F.col("_id").alias("_copy"), F.col("_class").alias("_copy_class")).distinct()
-    marks = spans.withColumn("_copy_class", F.lit(None).cast("string")).unionByName(copies.select(F.col("_copy").alias("_id"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"), "_copy_class"))
-    marks = marks.groupBy("_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_set("_copy_class").alias("_copy_classes"))
+    shared = cut(_shared_hashes(texts, buckets, length).join(firsts, "_id", "left_semi"), "shared-hashes")
+    release(docs.sparkSession)
+    met = rows.where(long_enough).join(shared, "_id").select("_id", "_text", "flags")
+    found = cut(_sorted(_gather(met, buckets, length), buckets, length), "repeats")
+    del met
+    release(docs.sparkSession)
+    places = found.where("kind = 1").select("h1", "h2", "doc", "at").join(found.where("kind = 2").select("h1", "h2", "packed"), ["h1", "h2"])
+    sent = found.where("kind = 0").select("bucket", "packed").union(_marked(places.select("doc", "at", "packed"), length, buckets))
+    spans = _by_document(sent, buckets, np.uint64, "spans")
+    copies = keyed.join(first, "_class").where(F.col("_id") > F.col("_first")).groupBy("_id").agg(F.collect_set("_class").alias("_copy_classes"))
+    marks = cut(spans.join(copies, "_id", "full"), "marks")
     return rows.join(marks, "_id", "left")
 
 
@@ -285,18 +389,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id"
                     if whole:
                         out.append((len(data), len(data), 1, hashlib.sha256(b"").hexdigest(), b""))
                         continue
-                    left, removed, n, at = [], 0, 0, 0
-                    last = -1
-                    for s in sorted((x["start"], x["end"]) for x in spans or ()):
-                        if s[1] <= last or s[1] > len(data):
+                    left, removed, n, at, last = [], 0, 0, 0, -1
+                    for a, b in _joined(spans):
+                        if b <= last or b > len(data):
                             continue
-                        if s[0] > last:
+                        if a > last:
                             n += 1
-                            left.append(data[at : s[0]])
-                            removed += s[1] - s[0]
+                            left.append(data[at:a])
+                            removed += b - a
                         else:
-                            removed += s[1] - last
-                        at = last = s[1]
+                            removed += b - last
+                        at = last = b
                     left.append(data[at:])
                     rest = b"".join(left)
                     out.append((len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest))
