@@ -8,7 +8,7 @@ import pyarrow as pa
 M = np.uint64
 C1, C2, C3 = M(0x9E3779B97F4A7C15), M(0xBF58476D1CE4E5B9), M(0x94D049BB133111EB)
 #: Texts are hashed in pieces of about so many bytes.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -44,6 +44,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_of(column: str = "text"):
-    """A text column with null read as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+#: Rows of texts in an Arrow batch: batches are bounded by rows, and texts may be long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, set to hand texts to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import cut, partitions
+from .common import cut, partitions, release, small_batches
 
 SHINGLE, NUM, DEN = 5, 3, 4
 #: Share of the hash range that the screen counts; sets of this size or less have single shingles as segments.
@@ -132,7 +132,7 @@ def _bound() -> np.uint64:
 
 
 def shared_counts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """rid, shared: how many of the screen's shingles of a row other sets have too."""
+    """rid, shared: how many of the screen's shingles of a row other sets have too; texts has rid, _text."""
 
     def scan(batches):
         turn = 0
@@ -147,26 +147,68 @@ def shared_counts(texts: DataFrame, buckets: int, width: int) -> DataFrame:
                 out = list(bs.pack_shared(v, k1[r], rids[a:b][r], buckets, turn))
                 turn += 1
                 if out:
-                    yield _batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "known", "packed"])
+                    yield _shared_batch(out)
+
+    return _met(texts.mapInArrow(scan, bs.SHARED), buckets)
+
+
+def shared_in_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    """rid, shared: how many of all shingles of a set other sets of the table have too; sets has rid, s."""
+
+    def scan(batches):
+        turn = 0
+        for batch in batches:
+            rids = batch.column(0).to_numpy()
+            offsets, data = bs.buffers(batch.column(1))
+            for a, b in bs.runs(offsets, 8 * bs.PIECE):
+                v = np.frombuffer(data[offsets[a] : offsets[b]].tobytes(), np.uint64)
+                r = np.repeat(rids[a:b], np.diff(offsets[a : b + 1]) // 8)
+                out = list(bs.pack_shared(v, r, r, buckets, turn))
+                turn += 1
+                if out:
+                    yield _shared_batch(out)
+
+    return _met(sets.select("rid", "s").mapInArrow(scan, bs.SHARED), buckets)
+
+
+def _shared_batch(out: list) -> pa.RecordBatch:
+    return _batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "known", "packed"])
+
+
+def _met(dealt: DataFrame, buckets: int) -> DataFrame:
+    """rid, shared: the buckets' shared values, counted by row."""
 
     def meet(batches):
         held: dict[int, list] = {}
 
-        def rows(r):
+        def counts(r):
             at, n = bs.grouped(r)
-            return _batch([r[at], n], ["rid", "shared"])
+            return bs.routed(r[at], n.astype(np.int64), buckets)
 
         for batch in batches:
             for n, known, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if known:
-                    yield rows(bs.unblob(packed, np.int64, np.uint32, np.uint32)[0])
+                    yield counts(bs.unblob(packed, np.int64, np.uint32, np.uint32)[0])
                 else:
                     held.setdefault(n, []).append(packed)
         for n in sorted(held):
-            yield rows(bs.unpack_shared(n, held.pop(n))[0])
+            yield counts(bs.unpack_shared(n, held.pop(n))[0])
+
+    return summed(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, bs.ROUTED), buckets).withColumnRenamed("value", "shared")
+
+
+def summed(found: DataFrame, buckets: int) -> DataFrame:
+    """rid, value: sums of routed (rid, value) pairs."""
+
+    def run(batches):
+        held: list[bytes] = []
+        for batch in batches:
+            held += batch.column(1).to_pylist()
+        r, v = bs.unrouted(held, np.int64)
+        at, _ = bs.grouped(r)
+        yield _batch([r[at], np.add.reduceat(v, at) if len(at) else v], ["rid", "value"])
 
-    dealt = texts.mapInArrow(scan, bs.SHARED).repartitionById(buckets, F.col("bucket"))
-    return dealt.mapInArrow(meet, "rid long, shared long").groupBy("rid").agg(F.sum("shared").alias("shared"))
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "rid long, value long")
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
@@ -276,12 +318,13 @@ def _signed(sets: DataFrame, buckets: int) -> DataFrame:
     return sets.select("rid", "s").mapInArrow(run, "bucket int, kind int, packed binary")
 
 
-GROUPS = "kind int, gid long, members array<long>, rid long, value long"
+GROUPS = "kind int, gid long, members array<long>, rid long, value long, bucket int, packed binary"
+_FIELDS = ["kind", "gid", "members", "rid", "value", "bucket", "packed"]
 
 
 def _grouped(signed: DataFrame, buckets: int, heavy: int) -> DataFrame:
     """What the index's buckets say. kind 0: a group of members (at most `heavy`), once for each distinct group of the bucket;
-    1: rid has a signature in a heavy list, value times; 2: rid and band (gid) have `value` signatures for certain."""
+    1: how many signatures in heavy lists rows have (routed); 2: rid and band (gid) have `value` signatures for certain."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -289,8 +332,7 @@ def _grouped(signed: DataFrame, buckets: int, heavy: int) -> DataFrame:
             for n, kind, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 1:
                     r, b, sure = bs.unblob(packed, np.int64, np.int64, np.int64)
-                    none = pa.nulls(len(r), pa.list_(pa.int64()))
-                    yield _batch([pa.array([2] * len(r), pa.int32()), b, none, r, sure], ["kind", "gid", "members", "rid", "value"])
+                    yield _record(2, len(r), gid=b, rid=r, value=sure)
                 else:
                     held.setdefault(n, []).append(packed)
         for n in sorted(held):
@@ -308,8 +350,8 @@ def _grouped(signed: DataFrame, buckets: int, heavy: int) -> DataFrame:
             if len(heavies):
                 # which bands a skipped signature counts for is not told apart: it counts for all of a set's bands
                 rid, times = np.unique(heavies, return_counts=True)
-                none = pa.nulls(len(rid), pa.list_(pa.int64()))
-                yield _batch([pa.array([1] * len(rid), pa.int32()), pa.nulls(len(rid), pa.int64()), none, rid, times], ["kind", "gid", "members", "rid", "value"])
+                sent = bs.routed(rid, times.astype(np.int64), buckets)
+                yield _record(1, sent.num_rows, bucket=sent.column(0), packed=sent.column(1))
 
     return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, GROUPS)
 
@@ -324,8 +366,13 @@ def _groups(r: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
     begins, sizes, gid = begins[at], sizes[at], gid[at]
     flat = np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(r[flat]))
-    n = len(begins)
-    yield _batch([pa.array([0] * n, pa.int32()), gid.view(np.int64), lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["kind", "gid", "members", "rid", "value"])
+    yield _record(0, len(begins), gid=gid.view(np.int64), members=lists)
+
+
+def _record(kind: int, n: int, **columns) -> pa.RecordBatch:
+    types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    made = [columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(_FIELDS[1:], types, strict=True)]
+    return _batch([pa.array([kind] * n, pa.int32()), *made], _FIELDS)
 
 
 def _deleted(sets: DataFrame) -> DataFrame:
@@ -350,7 +397,7 @@ def _deleted(sets: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked: exact similarity of the pairs' sets; sizes that can't link are told first."""
+    """a, b, linked: exact similarity of the pairs' sets."""
 
     def run(batches):
         for batch in batches:
@@ -362,42 +409,73 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append(DEN * common >= NUM * (both - common))
             yield _batch([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    size = F.octet_length
     left = pairs.join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
     both = left.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a")
-    near = both.where((size("sa") * DEN >= size("sb") * NUM) & (size("sb") * DEN >= size("sa") * NUM))
-    return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """a, b: each task's links as stars, every node beside the smallest that its task joins it to."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        nodes = sorted(parent)
+        yield _batch([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
+
+    # by the greater node, of which a star has many with few links each; its centre is mostly the smaller one
+    placed = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition("a")
+    return placed.mapInArrow(run, "a long, b long")
+
 
+def components(links: DataFrame) -> DataFrame:
+    """node, comp: each node's smallest reachable node. links has a, b.
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, comp: each node's smallest reachable node. links has a, b. Labels spread over links and jump to their label's label, until none changes."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
+    Tasks first contract what they hold; then labels spread over the links left
+    and jump to their label's label, until none changes.
+    """
+    stars = _contracted(links)
+    both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(stars.select("a", F.col("a").alias("b")))
+    both = cut(both.distinct(), "stars")
+    labels = both.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
+    while True:
         named = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
-        near = both.join(named, "b").groupBy("a").agg(F.min("c").alias("c")).withColumnRenamed("a", "node")
-        low = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
-        # the label's own new label is at most as large
-        jump = low.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        new = cut(low.join(jump, "comp").select("node", "old", F.least("comp", "to").alias("comp")), "labels")
-        changed = new.where(F.col("old") != F.col("comp")).limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
-    return labels
+        low = both.join(named, "b").groupBy("a").agg(F.min("c").alias("c"), F.max(F.when(F.col("a") == F.col("b"), F.col("c"))).alias("old"))
+        jump = low.select(F.col("a").alias("c"), F.col("c").alias("comp"))
+        labels = cut(low.join(jump, "c").select(F.col("a").alias("node"), "comp", "old"), "labels")
+        if not labels.where("comp <> old").limit(1).count():
+            return labels.select("node", "comp")
+
 
+def _pairs(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of short lists' members that sizes and lone shingles allow; sizes has rid, n, lone.
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """Distinct pairs of each group's first member with the others."""
-    m = groups.select("members").where(F.size("members") > 1)
-    rest = m.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("b"))
-    return rest.distinct()
+    Shingles that no other set has lie in the sets' difference, which linked
+    sets keep within a seventh of both sizes' sum.
+    """
+    rows = groups.select("gid", F.explode("members").alias("b"), "members")
+    rows = rows.select("b", F.explode(F.filter("members", lambda x: x < F.col("b"))).alias("a")).distinct()
+    size = lambda x: sizes.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("lone").alias(f"l{x}"))
+    met = rows.join(size("a"), "a").join(size("b"), "b")
+    near = (F.col("na") * DEN >= F.col("nb") * NUM) & (F.col("nb") * DEN >= F.col("na") * NUM) & ((F.col("la") + F.col("lb")) * 7 <= F.col("na") + F.col("nb"))
+    return met.where(near).select("a", "b")
 
 
 def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row_id, n_shingles, class_id (smallest id with the same set), component_id, n_links (verified links of the class that were needed)."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = partitions(small_batches(spark))
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.xxhash64(t)).alias("rid"), F.col(row_id).cast("long").alias("doc"), t.alias("_text"))
     sizes = cut(sized(rows, width), "sets")
@@ -406,17 +484,26 @@ def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: st
     least = F.col("x") - F.floor(F.col("n") * (DEN - NUM) / DEN)
     # sets of one or two shingles link with equal ones only
     near = classes.where(F.col("n") > 2).join(counts, F.col("rep") == F.col("rid"), "left").where(F.coalesce("shared", F.lit(0)) >= least)
-    near = near.select(F.col("rep").alias("rid"), "k1", "k2")
-    met = rows.select("rid", "_text").join(near, "rid").select("rid", "k1", "k2", "_text")
+    near = cut(near.select(F.col("rep").alias("rid"), "k1", "k2"), "near")
+    release(spark)
+    # a merge at every size: this list grows with the corpus
+    met = rows.select("rid", "_text").join(near.hint("merge"), "rid").select("rid", "k1", "k2", "_text")
     sets = cut(sets_of(met, width).dropDuplicates(["rid"]), "screened")
+    release(spark)
+    # once more among the sets left, with all shingles: a set may have a quarter that no other has
+    again = shared_in_sets(sets, buckets)
+    sets = cut(sets.join(again, "rid").where(F.col("shared") >= F.col("n") - F.floor(F.col("n") * (DEN - NUM) / DEN)).select("rid", "n", (F.col("n") - F.col("shared")).alias("lone"), "s"), "sets")
+    release(spark)
     found = cut(_grouped(_signed(sets, buckets), buckets, HEAVY), "groups")
     groups = found.where("kind = 0").select("gid", "members")
-    skipped = found.where("kind = 1").groupBy("rid").agg(F.sum("value").alias("skipped"))
+    skipped = summed(found.where("kind = 1").select("bucket", "packed"), buckets).withColumnRenamed("value", "skipped")
     sure = found.where("kind = 2").select("rid", F.col("gid").cast("int").alias("band"), F.col("value").alias("sure"))
     unsure = sure.join(skipped, "rid", "left").where(F.col("sure") - F.coalesce("skipped", F.lit(0)) < 1)
     unsure = unsure.groupBy("rid").agg(F.collect_list("band").alias("bands"))
-    entries = cut(_deleted(sets.join(unsure, "rid")), "deletions")
-    links, tested = _linked(groups, entries, sets)
+    entries = _deleted(sets.join(unsure, "rid"))
+    shared = entries.groupBy("sig").agg(F.count("*").alias("_n"), F.min("rid").alias("_first")).where("_n > 1")
+    entries = cut(entries.join(shared, "sig").select("sig", "rid", F.col("_first").alias("first")), "deletions")
+    links = _linked(groups, entries, sets)
     labels = components(links)
     named = classes.select("k1", "k2", "n", F.col("rep").alias("node"), F.col("doc").alias("class_id")).join(labels, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
@@ -427,54 +514,85 @@ def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: st
     return out.select(F.col("doc").alias(row_id), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-#: Rounds in which large groups meet one member each, before the members of different components left are all compared.
-STAR_ROUNDS = 4
+#: Bytes of sets and number of sets in a block of the tiled comparison.
+BLOCK_BYTES, BLOCK_SETS = 1 << 20, 512
+
+
+def _linked(groups: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join all components.
+
+    groups: member lists of at most HEAVY, whose pairs are compared one by one.
+    entries: one-deletion lists (sig, rid, first) of any length, whose sets are
+    compared in tiles.
+    """
+    pairs = cut(_pairs(groups, sets.select("rid", "n", "lone")), "pairs")
+    short = verified(pairs, sets).where("linked").select("a", "b")
+    return cut(short.union(_tiled(entries, sets)).distinct(), "links")
 
 
-def _linked(groups: DataFrame, entries: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links that join all components, and all pairs tested.
+def _tiled(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b between sets that one-deletion lists bring together, as many as join their components.
 
-    groups: small member lists; entries: (sig, rid) of any list lengths. Each
-    round verifies, in every list, the members that are not yet in one component
-    with the list's first against that; the last step compares all members of
-    different components, which then are few.
+    Lists that share sets form clusters. A cluster's sets are dealt into blocks
+    of bounded bytes, and each pair of blocks is a tile: a product of two
+    incidence matrices gives all common counts, and only links that join two
+    components leave the tile.
     """
-    tested = cut(verified(_pairs(groups).union(_stars(entries, None, 0)).distinct(), sets), "tested")
-    for n in range(1, STAR_ROUNDS):
-        labels = components(tested.where("linked"))
-        new = _stars(entries, labels, n).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = cut(new, "star-pairs")
-        if not new.limit(1).count():
-            break
-        tested = tested.unionByName(cut(verified(new, sets), "tested"))
-    labels = components(tested.where("linked"))
-    small = groups.select("gid", F.explode("members").alias("rid"))
-    apart = _open(entries.select(F.col("sig").alias("gid"), "rid"), labels).union(_open(small, labels))
-    apart = cut(apart, "open")
-    other = apart.select("gid", F.col("rid").alias("b"), F.col("comp").alias("cb"))
-    pairs = apart.select("gid", F.col("rid").alias("a"), "comp").join(other, "gid").where((F.col("comp") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    pairs = cut(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "cross-pairs")
-    tested = tested.unionByName(cut(verified(pairs, sets), "tested"))
-    return cut(tested.where("linked").select("a", "b").distinct(), "links"), tested
-
-
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("comp", F.col("rid"))
-    return lists.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-
-
-def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """gid, rid, comp of the lists (gid, rid) that more than one component shares."""
-    rows = _labelled(lists, labels)
-    mixed = rows.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    return rows.join(mixed, "gid").select("gid", "rid", "comp")
-
-
-def _stars(entries: DataFrame, labels: DataFrame | None, n: int) -> DataFrame:
-    """Pairs (a < b) of a centre of each open list with the members of other components; another centre each round."""
-    rows = _open(entries.select(F.col("sig").alias("gid"), "rid"), labels)
-    rank = F.struct(F.xxhash64("rid", F.lit(n)), "rid", "comp")
-    centre = rows.groupBy("gid").agg(F.min(rank).alias("c")).select("gid", F.col("c.rid").alias("centre"), F.col("c.comp").alias("cc"))
-    met = rows.join(centre, "gid").where(F.col("comp") != F.col("cc"))
-    return met.select(F.least("rid", "centre").alias("a"), F.greatest("rid", "centre").alias("b")).distinct()
+    bound = entries.select(F.col("rid").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    clusters = components(bound).select(F.col("node").alias("rid"), F.col("comp").alias("cluster"))
+    docs = cut(clusters.join(sets.select("rid", "s"), "rid").select("cluster", "rid", "s"), "tile-sets")
+    size = docs.groupBy("cluster").agg(F.greatest(F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+    placed = docs.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    blocks = placed.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("rid", "s")).alias("rows"))
+    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rows")
+    tiles = keyed.groupBy("cluster", "i", "j").agg(F.collect_list("rows").alias("rows")).select("rows")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                tile = batch.column(0)[k].as_py()
+                found += _tile(tile[0], tile[-1])
+            yield _batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def _tile(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+    """Links between the sets of two blocks (or within one) that join components, found by exact counts."""
+    lv, rv = ([np.frombuffer(x["s"], np.uint64) for x in side] for side in (left, right))
+    ln, rn = (np.array([len(v) for v in side]) for side in (lv, rv))
+    values = np.intersect1d(np.unique(np.concatenate(lv)), np.unique(np.concatenate(rv)), assume_unique=True)
+    common = np.zeros((len(lv), len(rv)), dtype=np.float32)  # whole numbers, exact below 2^24
+    for k in range(0, len(values), 8192):
+        part = values[k : k + 8192]
+        common += _incidence(lv, part) @ _incidence(rv, part).T
+    both = ln[:, None] + rn[None, :]
+    linked = DEN * common >= NUM * (both - common)
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = root(left[i]["rid"]), root(right[j]["rid"])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            a, b = left[i]["rid"], right[j]["rid"]
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def _incidence(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """One row for each set, one column for each value: 1 where the set holds it."""
+    out = np.zeros((len(sets), len(values)), dtype=np.float32)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    held = values[at] == flat
+    out[row[held], at[held]] = 1
+    return out
