@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 WINDOW = 1024
 _ENCODERS: dict = {}
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     by counting: each task has numbered its rests by length, and the counts of
     the tasks before it are added.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     made = cut(tokenized(docs, tokenizer_path, window, end_id, row_id, text), "tokens")
     counts = made.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("tokens") / window)).alias("wholes"))
     counts = cut(counts, "token-counts")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The bound of labelled rows used for fitting, and of bytes taken from each of them in fitting.
 SAMPLE, SAMPLE_BYTES = 3000, 20_000
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 64 << 10, 1 << 10, 3
@@ -119,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """docs with a score column (0 to 1; higher: label 1 is likelier)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     given = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     schema = docs.drop(column).schema.add(column, "double")

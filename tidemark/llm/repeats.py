@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from . import induced
-from .common import cut, partitions, release
+from .common import cut, partitions, release, small_batches
 
 LENGTH, GRAM = 50, 16
 #: Bytes of queues that a sort holds in memory, more lie on disk; letters that are sorted at once, if no single hash has more.
 SORT_MEMORY, SORT_LETTERS = 64 << 20, 3 << 20
-_OVERLAP_PIECE = 4 << 20
+_OVERLAP_PIECE = 1 << 20
 
 
 def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -354,7 +354,7 @@ def _joined(packed: bytes | None) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' _id, _text with spans (packed starts and lengths in bytes; they may overlap) and _copy_classes (digests of texts of which the row is a copy)."""
-    buckets = partitions(docs.sparkSession)
+    buckets = partitions(small_batches(docs.sparkSession))
     rows = docs.select(F.col(row_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     long_enough = (F.octet_length("_text") >= length) & F.col("_id").isNotNull()
     keyed = rows.where(long_enough).select("_id", F.sha2("_text", 256).alias("_class"))

@@ -70,7 +70,7 @@ def _valid(kind: str, s: Column) -> Column:
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _s_email, _s_ip, _s_card, _s_phone: arrays of (start, end, text)."""
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))  # docs: internal columns and the text only
     # a text without the characters that a kind needs costs a search, not a match
     digit4 = F.col("_text").rlike("[0-9]")
     for name, pattern in BASE.items():
@@ -135,13 +135,14 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, supp
     """docs with n_email, n_ip, n_card, n_phone (long), base_spans and spans (arrays of start, kind number, end; kinds as in KINDS)."""
     names = [f"n_{k}" for k in BASE]
     kept = [c for c in docs.columns if c not in (*names, "base_spans", "spans")]
-    df = entities(docs.select(*kept), text)
+    # the input row travels as one value, so no name in it can clash with those used here
+    df = entities(docs.select(F.struct(*kept).alias("_row"), F.col(text).alias("_t")), "_t")
     base = F.concat(*(spans.tagged(F.col(f"_s_{k}"), n) for n, k in enumerate(BASE)))
-    df = df.select(*kept, *(F.size(f"_s_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.array_sort(base).alias("base_spans"))
+    df = df.select("_row", "_t", *(F.size(f"_s_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.array_sort(base).alias("base_spans"))
     terms = cut(disclosing_terms(docs, text, threshold, support), "revealing-terms")
     n = terms.count()
     if n == 0:
-        return df.withColumn("spans", F.col("base_spans"))
+        return df.select("_row.*", *names, "base_spans", F.col("base_spans").alias("spans"))
     lists = F.broadcast(terms.select(F.col("term").alias("_t"))) if n <= BROADCAST_TERMS else terms.select(F.col("term").alias("_t"))
     texts = docs.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).withColumn("_key", F.sha2("_text", 256))
     own = F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))
@@ -154,9 +155,9 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, supp
     placed = spans.located(spans.matches(texts, "_text", {"term": TERM}), ["term"])
     words = placed.select("_key", F.explode("_s_term").alias("s")).select("_key", "s.start", "s.end", F.lower("s.text").alias("_t"))
     hit = words.join(lists, "_t", "left_semi").groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("_terms"))
-    joined = df.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(hit, "_key", "left")
+    joined = df.withColumn("_key", F.sha2(F.coalesce("_t", F.lit("")), 256)).join(hit, "_key", "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return joined.withColumn("spans", F.array_sort(F.concat("base_spans", F.coalesce("_terms", empty)))).drop("_key", "_terms")
+    return joined.select("_row.*", *names, "base_spans", F.array_sort(F.concat("base_spans", F.coalesce("_terms", empty))).alias("spans"))
 
 
 def sanitized(text: str = "text", found: str = "spans") -> Column:

@@ -110,15 +110,15 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: fl
     """docs with n_assign, n_access, n_hex (long), base_spans and spans (arrays of kind number, start, end; kinds as in KINDS)."""
     kept = [c for c in docs.columns if c not in ("n_assign", "n_access", "n_hex", "spans", "base_spans")]
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": CANDIDATE}
-    df = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # the input row travels as one value, so no name in it can clash with those used here
+    df = docs.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     df = spans.located(spans.matches(df, "_text", patterns).drop("_text"), list(patterns))
-    # the value is what follows the separator: the greedy end of the match, without the "=" that separates
     value = lambda s: F.regexp_extract(s["text"], r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)
     df = df.withColumn("_s_assign", F.filter("_s_assign", lambda s: F.length(value(s)) >= 8))
     df = df.withColumn("_s_markov", F.filter("_s_markov", lambda s: ratio(s["text"], ratios) >= threshold))
     base = F.concat(*(spans.tagged(F.col(f"_s_{k}"), n) for n, k in enumerate(KINDS[:3])))
     df = df.withColumn("base_spans", F.array_sort(base)).withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), spans.tagged(F.col("_s_markov"), 3))))
-    return df.select(*kept, *(F.size(f"_s_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]), "base_spans", "spans")
+    return df.select("_row.*", *(F.size(f"_s_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]), "base_spans", "spans")
 
 
 def redact(text: str, found: str = "spans", mask: str = "[SECRET]") -> Column:
