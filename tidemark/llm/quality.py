@@ -77,7 +77,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     import zstandard as z
 
     kinds = {label: [(t or "").encode()[:SAMPLE_BYTES] for t, y in rows if y == label] for label in (1, 0)}
-    if min(map(len, kinds.values())) < 16:
+    if min(map(len, kinds.values())) < 6:
         return Model(None, [len(kinds[1]) / len(rows) if rows else 0.5], None)
     dictionaries = []
     for label in (1, 0):
