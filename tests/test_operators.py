@@ -346,3 +346,30 @@ def test_word_counts_do_not_depend_on_partitions(spark):
         got.append(sorted(map(tuple, transcripts.q44_transcript_markdown(spark, "/root/testdata/sf0.001").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1] == got[2]
+
+
+def test_answers_of_models(spark):
+    df = spark.createDataFrame([("a", "# T\n\n```md\n$$ x^2 $$\n\\[y\\]\nплюс $z$ да\n```"), ("b", None)], "k string, m string")
+    got = ocr.parse_markdown(df, "m").orderBy("pos").collect()
+    assert [(r.text, r.kind) for r in got] == [("# T", "text"), ("$x^2$", "formula"), ("$y$", "formula"), ("плюс $z$ да", "text")]
+    f = spark.createDataFrame([("\\( a  b \\)",), ("$$",), ("$c$",)], "t string").select(ocr.latex_to_markdown(F.col("t"))).collect()
+    assert [r[0] for r in f] == ["$a b$", "", "$c$"]
+
+
+def test_speech_by_energy(spark):
+    x = [0.0] * 40 + [0.5] * 60 + [0.0] * 6 + [0.5] * 30 + [0.0] * 64
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate(x)], "k string, i int, x double")
+    got = [(round(r.start, 3), round(r.end, 3)) for r in speech.detect(df, ["k"], "i", "x", 2, 0.2, min_silence=1.0, min_speech=0.2, pad=0.15).collect()]
+    assert got == [(3.85, 13.75)]
+    assert speech.vad_backend("auto", False)[0] == "energy" and speech.vad_backend("auto", True) == ("silero", [])
+
+
+def test_layout_covers_without_gaps(spark):
+    from tidemark.operators import layout
+
+    r, q = (0, 0, 100, 80), (0, 0, 50, 40)
+    shown = [None] * 5 + [r] * 30 + [q] * 30 + [r] * 3 + [None] * 2 + [r] * 30
+    df = spark.createDataFrame([("k", i, float(i), s is not None, s or r) for i, s in enumerate(shown)], "k string, i int, t double, p boolean, g struct<x:int,y:int,width:int,height:int>")
+    got = layout.layout_intervals(df, "k", "i", "t", "p", "g", 1.0, 2.0, 20.0).orderBy("piece").collect()
+    assert [(x.start, x.end, x.present) for x in got] == [(0.0, 5.0, False), (5.0, 35.0, True), (35.0, 68.0, True), (68.0, 70.0, False), (70.0, 100.0, True)]
+    assert got[0].region is None and tuple(got[1].region) == r

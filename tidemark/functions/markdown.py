@@ -36,15 +36,14 @@ def interval(start: Column, end: Column) -> Column:
 
 
 def escape(c: Column) -> Column:
-    """Text as Markdown shows it: special characters, and those that are special where a line begins, get a backslash."""
-    c = F.regexp_replace(c, r"([\\`*_{}\[\]<>$|])", r"\\$1")
-    c = F.regexp_replace(c, r"(?m)^(\s*)([#+>-])", r"$1\\$2")
-    return F.regexp_replace(c, r"(?m)^(\s*[0-9]+)([.)]\s)", r"$1\\$2")
+    """Text as Markdown shows it: special characters get a backslash, and so do those that are special where a line begins."""
+    c = F.regexp_replace(c, r"([\\`*_{}\[\]$|])", r"\\$1")
+    return F.regexp_replace(c, r"^([#>+=-])", r"\\$1")
 
 
 def link_target(path: Column) -> Column:
     """A link's target with the characters escaped that would end it."""
-    for raw, coded in (("%", "%25"), (" ", "%20"), ("(", "%28"), (")", "%29")):
+    for raw, coded in ((" ", "%20"), ("(", "%28"), (")", "%29"), ("<", "%3C"), (">", "%3E")):
         path = F.replace(path, F.lit(raw), F.lit(coded))
     return path
 

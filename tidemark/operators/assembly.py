@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import PipelineError
 from ..functions import markdown as md
 from . import cleanup, intervals, paragraphs, transcript
+from .stages import staged
 
 
 @dataclass(frozen=True)
@@ -30,10 +31,10 @@ KEY = "recording_id"
 def placed_words(words: DataFrame, slides: DataFrame, rules: AssemblyRules) -> tuple[DataFrame, DataFrame]:
     """(words with run and section_label, sections in order, short off-slide ones absorbed)."""
     labelled = intervals.overlap_labels(words, slides, KEY, "slide_index", "start_s", "end_s")
-    marked = transcript.phrase_boundaries(labelled, KEY, "pos", "text", "start_s", "end_s", rules.phrase_gap)
-    shifted = transcript.shift_boundaries(marked, KEY, "pos", "start_s", "slide_index", rules.tolerance)
+    marked = staged(transcript.phrase_boundaries(labelled, KEY, "pos", "text", "start_s", "end_s", rules.phrase_gap), "labelled-words")
+    shifted = staged(transcript.shift_boundaries(marked, KEY, "pos", "start_s", "slide_index", rules.tolerance), "shifted-words")
     found = transcript.sections(shifted, slides, KEY, "pos", "start_s", "end_s", "section_label", "run", "slide_index", "start_s", "end_s")
-    return shifted, transcript.consolidated(found, KEY, rules.short_off_slide)
+    return shifted, staged(transcript.consolidated(staged(found, "sections"), KEY, rules.short_off_slide), "consolidated")
 
 
 def check_complete(words: DataFrame, found: DataFrame) -> None:
@@ -51,14 +52,17 @@ def assemble(words: DataFrame, slides: DataFrame, ocr: DataFrame | None = None,
     markdown, unreliable; metadata: recording_id, metadata (map). All steps are
     parted by recording, so they share one exchange of the words.
     """
+    words, slides = staged(words, "words"), staged(slides, "slides")
     _, found = placed_words(words, slides, rules)
     if check:
         check_complete(words, found)
     spans = found.where(F.col("first_word").isNotNull()).select(F.col(KEY).alias("_k"), "section_pos", F.col("start").alias("section_start"), "first_word", "last_word")
     spoken = words.join(spans, (F.col(KEY) == F.col("_k")) & F.col("pos").between(F.col("first_word"), F.col("last_word"))).select(KEY, "section_pos", "section_start", "pos", "text", "start_s", "end_s")
     keys = [KEY, "section_pos"]
+    spoken = staged(spoken, "spoken")
     if rules.clean:
         spoken = cleanup.cleaned(spoken, keys, "pos", "text", "start_s", "end_s", rules.cleanup)
+    spoken = staged(spoken, "cleaned")
     info = found
     if ocr is not None:
         one = ocr.groupBy(KEY, "slide_index").agg(F.max_by(F.struct("markdown", "unreliable"), F.struct("markdown")).alias("ocr"))
@@ -67,7 +71,7 @@ def assemble(words: DataFrame, slides: DataFrame, ocr: DataFrame | None = None,
         info = info.withColumn("ocr", F.lit(None).cast("struct<markdown:string,unreliable:boolean>"))
     images = slides.select(KEY, F.col("slide_index").alias("slide"), "image_path")
     info = info.join(images, [KEY, "slide"], "left").withColumn("_content", md.signature(F.col("ocr.markdown")))
-    grouped = transcript.same_content_groups(info, KEY, ["section_pos"], "_content", F.col("slide").isNotNull())
+    grouped = transcript.same_content_groups(staged(info, "section-info"), KEY, ["section_pos"], "_content", F.col("slide").isNotNull())
     # images are told apart by path; where pictures are at hand, by their digest in a column of that name
     last = F.max_by(F.struct("slide", "ocr"), "section_pos")
     heads = grouped.groupBy(KEY, "group_id").agg(
@@ -78,8 +82,9 @@ def assemble(words: DataFrame, slides: DataFrame, ocr: DataFrame | None = None,
     # groups of one section keep its words; groups of several are one section for paragraphs
     spoken = spoken.join(to_group, keys).drop("section_pos", "section_start").join(heads.select(KEY, "group_id", F.col("start").alias("section_start")), [KEY, "group_id"])
     gkeys = [KEY, "group_id"]
+    spoken, heads = staged(spoken, "grouped-words"), staged(heads, "heads")
     parts = paragraphs.split(spoken, gkeys, "pos", "text", "start_s", "end_s", rules.paragraphs)
-    texts = paragraphs.texts(parts, gkeys, "pos", "text", "start_s")
+    texts = paragraphs.texts(staged(parts, "paragraphs"), gkeys, "pos", "text", "start_s")
     anchors = heads.select(*gkeys, F.col("start").alias("anchor"))
     coded = paragraphs.timecodes(texts.join(anchors, gkeys), gkeys, "paragraph", "start", "anchor", rules.timecode_every)
     block = F.when(F.col("timecode"), F.concat(F.lit("**["), md.timecode(F.col("start"), True), F.lit("]**\n\n"), "text", F.lit("\n"))).otherwise(F.concat("text", F.lit("\n")))

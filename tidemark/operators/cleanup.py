@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STRIP, ends_clause, ends_sentence, normalized, starts_upper
 from .islands import ordered
+from .stages import staged
 
 # The Russian dictionaries.
 FILLER_WORDS = "э ээ эээ ээээ эм эмм мм ммм мда ааа аа ээм нуу нуэ".split()
@@ -169,7 +170,7 @@ def cleaned(words: DataFrame, keys: list[str], pos: str, text: str, start: str,
     """All rules in their order; a section that would lose all its words keeps them all."""
     one = mark_fillers(words, keys, pos, text, start, end, rules).where(~F.col("filler")).drop("filler")
     two = collapse_repeats(one, keys, pos, text, rules)
-    three = mark_truncated(two, keys, pos, text).where(~F.col("truncated")).select(*keys, pos)
+    three = staged(mark_truncated(two, keys, pos, text).where(~F.col("truncated")).select(*keys, pos), "kept-words")
     some = three.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     lost = words.join(some, on, "left_anti")

@@ -89,7 +89,24 @@ def parse_recognised(df: DataFrame, json: str) -> DataFrame:
     return rows.select("*", F.col("_r.rec_texts").alias("text"), F.col("_r.rec_scores").alias("confidence"), box_of(F.col("_r.dt_polys")).alias("bbox")).drop("_r")
 
 
+def _formula_body(c: Column) -> Column:
+    """What stands between a formula's delimiters."""
+    for delimiters in ("^\\$+|\\$+$", "^\\\\\\[|\\\\\\]$", "^\\\\\\(|\\\\\\)$"):
+        c = F.trim(F.regexp_replace(c, delimiters, ""))
+    return c
+
+
 def latex_to_markdown(c: Column) -> Column:
-    """A recognised formula in dollar signs, without those and the blanks it had; empty stays empty."""
-    bare = F.trim(F.regexp_replace(F.trim(c), "^\\$+|\\$+$", ""))
+    """A recognised formula between dollar signs, blanks collapsed; nothing stays nothing."""
+    bare = F.regexp_replace(_formula_body(F.trim(c)), "\\s+", " ")
     return F.when(bare == "", F.lit("")).otherwise(F.concat(F.lit("$"), bare, F.lit("$")))
+
+
+def parse_markdown(df: DataFrame, markdown_column: str, confidence: float = 0.9) -> DataFrame:
+    """Fragments (pos, text, kind, confidence, low_confidence) of a model's Markdown answer: a line each; fences and blank lines go,
+    a line that is one delimited formula is a formula."""
+    lines = df.select("*", F.posexplode(F.split(F.col(markdown_column), "\r?\n")).alias("pos", "_l")).withColumn("_l", F.trim("_l"))
+    lines = lines.where((F.col("_l") != "") & ~F.col("_l").rlike("^```"))
+    formula = F.col("_l").rlike(r"^(\$\$?.+\$\$?|\\\[.+\\\]|\\\(.+\\\))$")
+    text = F.when(formula, F.concat(F.lit("$"), _formula_body(F.col("_l")), F.lit("$"))).otherwise(F.col("_l"))
+    return lines.select(*df.columns, "pos", text.alias("text"), F.when(formula, "formula").otherwise("text").alias("kind"), F.lit(confidence).alias("confidence"), F.lit(False).alias("low_confidence"))

@@ -38,6 +38,29 @@ def split_quiet(df: DataFrame, samples: str, rate: Column, longest: float = LONG
     return df.withColumn("cuts", run(F.col(samples), rate))
 
 
+def detect(samples: DataFrame, keys: list[str], index: str, value: str, frame: int, frame_s: float, floor: float = -45.0, relative: float = -30.0, min_silence: float = 1.0, min_speech: float = 0.2, pad: float = 0.15) -> DataFrame:
+    """keys, start, end: speech by energy. Frame levels, a mask against floor and peak, its intervals, merged and padded."""
+    from .intervals import merge_and_pad
+    from .islands import mask_intervals
+    from .statistics import energy, speech_mask
+
+    levels = speech_mask(energy(samples, keys, index, value, frame), keys, floor, relative)
+    whole = levels.groupBy(*keys).agg(((F.max("frame") + 1) * frame_s).alias("_end"))
+    found = merge_and_pad(mask_intervals(levels, keys, "frame", "speech", frame_s), keys, "start", "end", min_silence, min_speech, pad)
+    return found.join(whole, keys).select(*keys, "start", F.least("end", "_end").alias("end"))
+
+
+def vad_backend(wanted: str, available: bool) -> tuple[str, list[str]]:
+    """Which detector runs, with warnings: 'auto' takes the model if it can run, else energy."""
+    if wanted == "energy" or (wanted == "auto" and not available):
+        return "energy", [] if wanted == "energy" else ["the speech model can't run; speech is found by energy"]
+    if not available:
+        from ..errors import BackendUnavailableError
+
+        raise BackendUnavailableError(f"speech detector {wanted} can't run")
+    return "silero", []
+
+
 # ----------------------------------------------------------------- punctuation
 
 CHUNK = 64

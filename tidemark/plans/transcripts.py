@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import routing
 from ..functions.text import joined_words, line_key, normalized, term_key
-from ..operators import assembly, cleanup, glossary, intervals, islands, ocr, paragraphs, speech, statistics, transcript
+from ..operators import assembly, cleanup, glossary, intervals, islands, layout, ocr, paragraphs, speech, statistics, transcript
 from ..sources import probe
 from . import views as v
 
@@ -208,6 +208,17 @@ def q46_punctuation_align(spark, sf):
     return speech.restore_punctuation(w, [ID], "pos", "text", _marks).select(ID, "pos", "punctuated", "applied")
 
 
+def q53_detect_speech(spark, sf):
+    s = v.flags(spark, sf).select(ID, "pos", (F.col("value") / 500).alias("x"))
+    return speech.detect(s, [ID], "pos", "x", 4, 4.0, relative=-6.0, min_silence=5.0, min_speech=4.5, pad=1.0)
+
+
+def q54_layout_intervals(spark, sf):
+    f = v.flags(spark, sf, 20.0).withColumn("ts", F.col("pos").cast("double"))
+    region = F.when(F.col("pos") % 40 < 25, F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(100).alias("width"), F.lit(80).alias("height"))).otherwise(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(50).alias("width"), F.lit(40).alias("height")))
+    return layout.layout_intervals(f.withColumn("region", region), ID, "pos", "ts", "present", "region", 1.0, 3.0, 5.0).select(ID, "piece", "start", "end", "present", "region.x", "region.width")
+
+
 def q50_line_keys(spark, sf):
     f = v.fragments(spark, sf)
     return f.select("slide_index", "pos", line_key(F.col("text")).alias("line"), normalized(F.col("text")).alias("normalized"))
@@ -215,7 +226,7 @@ def q50_line_keys(spark, sf):
 
 def q51_fragment_markdown(spark, sf):
     f = ocr.mark_low(v.fragments(spark, sf)).where("pos < 5")
-    return ocr.assemble(f, ["slide_index"], "pos", md.image_link(F.lit("Slide"), F.concat(F.lit("img "), F.col("slide_index").cast("string"), F.lit(".png"))))
+    return ocr.assemble(f, ["slide_index"], "pos", F.concat(F.lit("![Slide]("), md.link_target(F.concat(F.lit("img "), F.col("slide_index").cast("string"), F.lit(" (1).png"))), F.lit(")")))
 
 
 def q52_term_keys(spark, sf):
@@ -272,7 +283,7 @@ _SECTIONS = _RUNS + """, sp AS (SELECT recording_id, run, slide, min(pos) AS fw,
         UNION ALL SELECT recording_id, slide_index, s0, s1, NULL, NULL, s0, 0, slide_index FROM slides s WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.recording_id = s.recording_id AND sp.slide = s.slide_index)),
     sections AS (SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY t, kind, tie) - 1 AS INT) AS section_pos FROM en)"""
 _STOPS = "regexp_matches(rtrim({0}), '[.?!…]$')"
-_ESC = r"regexp_replace(regexp_replace(regexp_replace(html, '([\\`*_{}\[\]<>$|])', '\\\1', 'g'), '(?m)^(\s*)([#+>-])', '\1\\\2', 'g'), '(?m)^(\s*[0-9]+)([.)]\s)', '\1\\\2', 'g')"
+_ESC = r"regexp_replace(regexp_replace(html, '([\\`*_{}\[\]$|])', '\\\1', 'g'), '^([#>+=-])', '\\\1')"
 
 
 def _pairs(some, a, b):
@@ -366,6 +377,6 @@ ORACLES = {
     "q43_media_probe": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5 AS duration_s, 1 AS video_index, round(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 4, 6) AS fps, 'ru' AS language, CAST(NULL AS VARCHAR) AS title, 48000 AS sample_rate, 1 AS n_audio FROM events""",
     "q50_line_keys": f"WITH {v.FRAGMENTS} SELECT slide_index, pos, {_LINE} AS line, {_NORM.format('text')} AS normalized FROM fragments",
     "q51_fragment_markdown": "WITH " + v.FRAGMENTS + ", e AS (SELECT slide_index, pos, " + _ESC.replace("html", "trim(text)") + """ || CASE WHEN confidence < 0.6 THEN ' _(?)_' ELSE '' END AS x FROM fragments WHERE pos < 5)
-        SELECT slide_index, string_agg(x, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || '![Slide](<img ' || slide_index || '.png>)' AS markdown FROM e GROUP BY slide_index""",
+        SELECT slide_index, string_agg(x, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || '![Slide](img%20' || slide_index || '%20%281%29.png)' AS markdown FROM e GROUP BY slide_index""",
     "q52_term_keys": f"SELECT r_regionkey, word, {_sql_key('word')} AS key FROM region, (SELECT unnest(string_split('уравнение уравнений уравнениями корень корни корней точка точками предел пределов синуса ёлка ёлки Виета день квадратный квадратного', ' ')) AS word)",
 }
