@@ -61,14 +61,31 @@ def tiles(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, ids binary, matrix binary")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of a row: higher score first, then smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+_NONE = np.iinfo(np.int64).min
+
+
+def _best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row: higher score first, then smaller id."""
+    order = np.lexsort((ids, -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    place = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+    keep = place < k
+    return row[keep], score[keep], ids[keep]
+
+
+def _tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, rows: int = 256):
+    """(query's row, score, id) of the k best of each query in a tile, and of those that tie with the last."""
+    exact = q.shape[1] * (np.abs(q).max(initial=0) * np.abs(c).max(initial=0)) < 2**53
+    out = []
+    for a in range(0, len(q), rows):
+        part = q[a : a + rows]
+        s = (part @ c.T).astype(np.int64) if exact else part.astype(np.int64) @ c.astype(np.int64).T
+        s[q_ids[a : a + rows, None] == ids[None, :]] = _NONE
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), _NONE)
+        r, col = np.nonzero((s >= least[:, None]) & (s > _NONE))
+        out.append((r + a, s[r, col], ids[col]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
@@ -86,29 +103,18 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     pairs = spread.join(blocks, "block").select("block", "q_ids", "q_matrix", "ids", "matrix", "dim")
 
     def run(batches):
-        held: dict[int, tuple] = {}
+        held: dict[int, tuple] = {}  # the best of each query so far, by block
         for batch in batches:
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, c = (np.frombuffer(r[x], np.float64).reshape(len(y), r["dim"]) for x, y in (("q_matrix", q_ids), ("matrix", ids)))
-                exact = r["dim"] * (np.abs(q).max(initial=0) * np.abs(c).max(initial=0)) < 2**53
-                got = held.get(r["block"])
-                if got is None:
-                    got = held[r["block"]] = (q_ids, [[] for _ in q_ids], [[] for _ in q_ids])
-                for a in range(0, len(q_ids), 256):
-                    part = q[a : a + 256]
-                    product = part @ c.T if exact else (part.astype(np.int64) @ c.astype(np.int64).T)
-                    for i, scores in enumerate(product.astype(np.int64)):
-                        mine = ids != q_ids[a + i]
-                        s, n = scores[mine], ids[mine]
-                        at = _best(s, n, k)
-                        s, n = np.concatenate([got[1][a + i], s[at]]).astype(np.int64), np.concatenate([got[2][a + i], n[at]]).astype(np.int64)
-                        at = _best(s, n, k)
-                        got[1][a + i], got[2][a + i] = s[at], n[at]
-        for q_ids, scores, ids in held.values():
-            sizes = [len(x) for x in ids]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(scores).astype(np.int64))], ["query_id", "vec_id", "score"])
+                found = _tile(q, q_ids, c, ids, k)
+                if r["block"] in held:
+                    found = [np.concatenate(x) for x in zip(held[r["block"]][1], found, strict=True)]
+                held[r["block"]] = (q_ids, _best(*found, k))
+        for q_ids, (row, score, ids) in held.values():
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
     partial = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     # Merge in a tree: lists are first merged in groups of tasks, then the groups' lists.
