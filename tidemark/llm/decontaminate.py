@@ -86,7 +86,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "t
     # met by hash, verified by the words themselves
     met = tokens.join(table, "hash").where((F.col("joined") == F.col("_j")) & (F.col("size") == F.col("_n")))
     found = met.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    return keyed, found
+    # a table of its own, so that the join with all rows of a hot text can be split
+    return keyed, cut(found, "hits")
 
 
 def covered(spans: Column) -> Column:
