@@ -507,10 +507,12 @@ def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: st
     labels = components(links)
     named = classes.select("k1", "k2", "n", F.col("rep").alias("node"), F.col("doc").alias("class_id")).join(labels, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
-    ids = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    named = cut(named, "named")
+    # tables of their own, so that joins with all rows of a hot component or class can be split
+    ids = cut(named.groupBy("comp").agg(F.min("class_id").alias("component_id")), "component-ids")
     ends = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "node")
     named = named.join(ids, "comp").join(ends, "node", "left").select("k1", "k2", "n", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sizes.join(named, ["k1", "k2", "n"], "left")
+    out = sizes.join(cut(named, "class-components"), ["k1", "k2", "n"], "left")
     return out.select(F.col("doc").alias(row_id), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
