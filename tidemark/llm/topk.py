@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BLOCK = 4096
 TILE = 4096
 
@@ -96,7 +98,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     which a row is a whole tile.
     """
     blocks = tiles(queries, BLOCK).withColumn("block", F.monotonically_increasing_id())
-    blocks = blocks.select("block", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    # a table of its own: a block keeps its number in both uses, whatever is lost between them
+    blocks = cut(blocks, "query-blocks").select("block", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     # one row of block numbers for each length: a number is 8 bytes for 4,096 queries
     numbers = blocks.groupBy("q_dim").agg(F.collect_list("block").alias("blocks"))
     spread = tiles(candidates, TILE).join(numbers, F.col("dim") == F.col("q_dim")).select("dim", "ids", "matrix", F.explode("blocks").alias("block"))
