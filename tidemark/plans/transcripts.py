@@ -375,6 +375,16 @@ ORACLES = {
         SELECT doc_id, CASE WHEN length(t) > 40 THEN rtrim(head, ' ,;:—–-' || chr(92)) || '…' ELSE t END AS title, printf('%d:%02d:%02d', a // 3600, a % 3600 // 60, a % 60) || '–' || printf('%d:%02d:%02d', z // 3600, z % 3600 // 60, z % 60) AS interval FROM h""",
     "q42_metadata": "SELECT conv_id AS recording_id, count(*) AS turns, count(DISTINCT role) AS n_roles, string_agg(DISTINCT role, ', ' ORDER BY role) AS roles FROM conversations GROUP BY conv_id",
     "q43_media_probe": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5 AS duration_s, 1 AS video_index, round(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 4, 6) AS fps, 'ru' AS language, CAST(NULL AS VARCHAR) AS title, 48000 AS sample_rate, 1 AS n_audio FROM events""",
+    "q53_detect_speech": f"""WITH {v.FLAGS}, e AS (SELECT recording_id, pos // 4 AS frame, 20 * log10(greatest(sqrt(avg((value / 500) * (value / 500))), 1e-12)) AS dbfs FROM flags GROUP BY ALL HAVING count(*) = 4),
+        t AS (SELECT *, dbfs >= greatest(-45.0, max(dbfs) OVER (PARTITION BY recording_id) - 6.0) AS sp FROM e), w AS (SELECT recording_id, CAST((max(frame) + 1) * 4 AS DOUBLE) AS stop FROM e GROUP BY ALL),
+        i AS (SELECT *, frame - row_number() OVER (PARTITION BY recording_id ORDER BY frame) AS g FROM t WHERE sp),
+        m AS (SELECT recording_id, CAST(min(frame) * 4 AS DOUBLE) AS a, CAST((max(frame) + 1) * 4 AS DOUBLE) AS z FROM i GROUP BY recording_id, g),
+        f AS (SELECT *, CASE WHEN a - max(z) OVER (PARTITION BY recording_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 5 THEN 1 ELSE 0 END AS f FROM m),
+        g AS (SELECT *, sum(f) OVER (PARTITION BY recording_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS g FROM f), s AS (SELECT recording_id, min(a) AS a, max(z) AS z FROM g GROUP BY recording_id, g),
+        p AS (SELECT recording_id, greatest(CAST(0 AS DOUBLE), a - 1) AS a, z + 1 AS z FROM s WHERE z - a >= 4.5),
+        f2 AS (SELECT *, CASE WHEN a - max(z) OVER (PARTITION BY recording_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 1 ELSE 0 END AS f FROM p),
+        g2 AS (SELECT *, sum(f) OVER (PARTITION BY recording_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS g FROM f2)
+        SELECT recording_id, min(a) AS start, least(max(z), any_value(stop)) AS "end" FROM g2 JOIN w USING (recording_id) GROUP BY recording_id, g""",
     "q50_line_keys": f"WITH {v.FRAGMENTS} SELECT slide_index, pos, {_LINE} AS line, {_NORM.format('text')} AS normalized FROM fragments",
     "q51_fragment_markdown": "WITH " + v.FRAGMENTS + ", e AS (SELECT slide_index, pos, " + _ESC.replace("html", "trim(text)") + """ || CASE WHEN confidence < 0.6 THEN ' _(?)_' ELSE '' END AS x FROM fragments WHERE pos < 5)
         SELECT slide_index, string_agg(x, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || '![Slide](img%20' || slide_index || '%20%281%29.png)' AS markdown FROM e GROUP BY slide_index""",
