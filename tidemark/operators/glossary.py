@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_key, term_key
+from .stages import staged
 
 #: Words that are no terms.
 STOP_WORDS = (
@@ -63,6 +64,7 @@ def decoration(fragments: DataFrame, key: str, slide: str, text: str, bbox: str,
     most of its boxes lie around the median centre, or if it has no boxes.
     """
     f = fragments.select(key, slide, F.col(text).alias("_t"), line_key(F.col(text)).alias("line"), (F.col(bbox)["x"] + F.col(bbox)["width"] / 2).alias("_x"), (F.col(bbox)["y"] + F.col(bbox)["height"] / 2).alias("_y")).where(F.col("line") != "")
+    f = staged(f, "lines")
     total = fragments.groupBy(key).agg(F.count_distinct(slide).alias("_total"))
     by = f.groupBy(key, "line").agg(F.count_distinct(slide).alias("_n"), F.percentile("_x", 0.5).alias("_mx"), F.percentile("_y", 0.5).alias("_my"))
     often = by.join(total, key).where((F.col("_total") >= rules.least_slides) & (F.col("_n") / F.col("_total") >= rules.decoration_ratio))

@@ -216,7 +216,7 @@ def q53_detect_speech(spark, sf):
 def q54_layout_intervals(spark, sf):
     f = v.flags(spark, sf, 20.0).withColumn("ts", F.col("pos").cast("double"))
     region = F.when(F.col("pos") % 40 < 25, F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(100).alias("width"), F.lit(80).alias("height"))).otherwise(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(50).alias("width"), F.lit(40).alias("height")))
-    return layout.layout_intervals(f.withColumn("region", region), ID, "pos", "ts", "present", "region", 1.0, 3.0, 5.0).select(ID, "piece", "start", "end", "present", "region.x", "region.width")
+    return layout.layout_intervals(f.withColumn("region", region), ID, "pos", "ts", "present", "region", 1.0, 3.0, 5.0).select(ID, "piece", "start", "end", "present", F.coalesce("region.width", F.lit(-1)).alias("width"))
 
 
 def q50_line_keys(spark, sf):
@@ -385,6 +385,23 @@ ORACLES = {
         f2 AS (SELECT *, CASE WHEN a - max(z) OVER (PARTITION BY recording_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 1 ELSE 0 END AS f FROM p),
         g2 AS (SELECT *, sum(f) OVER (PARTITION BY recording_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS g FROM f2)
         SELECT recording_id, min(a) AS start, least(max(z), any_value(stop)) AS "end" FROM g2 JOIN w USING (recording_id) GROUP BY recording_id, g""",
+    "q54_layout_intervals": f"""WITH {v.FLAGS.replace("30.0", "20.0")},
+        a AS (SELECT *, pos - row_number() OVER (PARTITION BY recording_id, present ORDER BY pos) AS g FROM flags),
+        b AS (SELECT recording_id, pos, present AND count(*) OVER (PARTITION BY recording_id, present, g) > 2 AS f FROM a),
+        c AS (SELECT *, pos - row_number() OVER (PARTITION BY recording_id, f ORDER BY pos) AS g FROM b),
+        d AS (SELECT *, count(*) OVER (PARTITION BY recording_id, f, g) AS n, min(pos) OVER (PARTITION BY recording_id, f, g) AS lo, max(pos) OVER (PARTITION BY recording_id, f, g) AS hi, max(pos) OVER (PARTITION BY recording_id) AS last FROM c),
+        sm AS (SELECT recording_id, pos, f OR (n < 3 AND lo > 0 AND hi < last) AS s, pos % 40 < 25 AS big FROM d),
+        r AS (SELECT *, sum(CASE WHEN pos > 0 AND s <> ps THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY pos) AS run FROM (SELECT *, lag(s) OVER (PARTITION BY recording_id ORDER BY pos) AS ps FROM sm)),
+        q AS (SELECT *, sum(CASE WHEN big <> pb THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, run ORDER BY pos) AS part FROM (SELECT *, lag(big) OVER (PARTITION BY recording_id, run ORDER BY pos) AS pb FROM r)),
+        l AS (SELECT recording_id, run, part, count(*) AS n FROM q WHERE s GROUP BY ALL),
+        m AS (SELECT *, sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, run ORDER BY part) AS g FROM l),
+        k AS (SELECT recording_id, run, sum(CASE WHEN g = 0 THEN n ELSE 0 END) AS lead, max(CASE WHEN g = 0 THEN 1 ELSE 0 END) AS has0, max(g) AS most FROM m GROUP BY ALL),
+        z AS (SELECT recording_id, run, part, CASE WHEN has0 = 1 AND lead < 5 AND most >= 1 THEN greatest(g, 1) - 1 WHEN has0 = 1 THEN g ELSE g - 1 END AS piece FROM m JOIN k USING (recording_id, run)),
+        y AS (SELECT q.recording_id, q.run, coalesce(z.piece, 0) AS p, min(pos) AS start, bool_or(s) AS present, max(CASE WHEN s THEN CASE WHEN big THEN 100 ELSE 50 END ELSE -1 END) AS width
+            FROM q LEFT JOIN z ON q.s AND q.recording_id = z.recording_id AND q.run = z.run AND q.part = z.part GROUP BY ALL),
+        e AS (SELECT recording_id, max(pos) + 1 AS stop FROM sm GROUP BY ALL)
+        SELECT recording_id, CAST(row_number() OVER w - 1 AS INT) AS piece, CAST(start AS DOUBLE) AS start, CAST(coalesce(lead(start) OVER w, stop) AS DOUBLE) AS "end", present, CAST(width AS INT) AS width
+        FROM y JOIN e USING (recording_id) WINDOW w AS (PARTITION BY recording_id ORDER BY start)""",
     "q50_line_keys": f"WITH {v.FRAGMENTS} SELECT slide_index, pos, {_LINE} AS line, {_NORM.format('text')} AS normalized FROM fragments",
     "q51_fragment_markdown": "WITH " + v.FRAGMENTS + ", e AS (SELECT slide_index, pos, " + _ESC.replace("html", "trim(text)") + """ || CASE WHEN confidence < 0.6 THEN ' _(?)_' ELSE '' END AS x FROM fragments WHERE pos < 5)
         SELECT slide_index, string_agg(x, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || '![Slide](img%20' || slide_index || '%20%281%29.png)' AS markdown FROM e GROUP BY slide_index""",
