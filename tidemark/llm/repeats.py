@@ -358,7 +358,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id"
     rows = docs.select(F.col(row_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     long_enough = (F.octet_length("_text") >= length) & F.col("_id").isNotNull()
     keyed = rows.where(long_enough).select("_id", F.sha2("_text", 256).alias("_class"))
-    first = keyed.groupBy("_class").agg(F.min("_id").alias("_first"))
+    # a table of its own, so that the join with all rows of a hot text can be split
+    first = cut(keyed.groupBy("_class").agg(F.min("_id").alias("_first")), "classes")
     firsts = first.select(F.col("_first").alias("_id")).distinct()
     texts = rows.where(long_enough).select("_id", F.xxhash64("_text").alias("_key"), "_text")
     shared = cut(_shared_hashes(texts, buckets, length).join(firsts, "_id", "left_semi"), "shared-hashes")
