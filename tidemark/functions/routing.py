@@ -40,19 +40,20 @@ def word_ratio(c: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(letters / total)
 
 
-def looks_like_formula(c: Column, weak: float = WEAK_RATIO, strong: float = STRONG_RATIO) -> Column:
-    ratio = word_ratio(c)
-    return F.when(F.trim(c) == "", F.lit(False)).when(has_strong(c), ratio <= strong).when(has_signal(c), ratio <= weak).otherwise(F.lit(False))
+def looks_like_formula(c: Column, weak: float = WEAK_RATIO, strong: float = STRONG_RATIO, signs: tuple | None = None) -> Column:
+    """signs: has_strong, has_signal and word_ratio of the line as columns, where they are at hand."""
+    is_strong, signal, ratio = signs or (has_strong(c), has_signal(c), word_ratio(c))
+    return F.when(F.trim(c) == "", F.lit(False)).when(is_strong, ratio <= strong).when(signal, ratio <= weak).otherwise(F.lit(False))
 
 
-def route(c: Column, confidence: Column, low: float = LOW_CONFIDENCE) -> Column:
+def route(c: Column, confidence: Column, low: float = LOW_CONFIDENCE, signs: tuple | None = None) -> Column:
     """'formula' or 'text'. A line read with low confidence needs a sign only, whatever its share of words."""
-    formula = F.when(F.trim(c) == "", F.lit(False)).when(confidence < low, has_signal(c)).otherwise(looks_like_formula(c))
+    formula = F.when(F.trim(c) == "", F.lit(False)).when(confidence < low, signs[1] if signs else has_signal(c)).otherwise(looks_like_formula(c, signs=signs))
     return F.when(formula, F.lit("formula")).otherwise(F.lit("text"))
 
 
-def looks_like_handwriting(c: Column, confidence: Column, least: float = HANDWRITING) -> Column:
-    return (F.trim(c) != "") & (confidence < least) & ~has_signal(c)
+def looks_like_handwriting(c: Column, confidence: Column, least: float = HANDWRITING, signs: tuple | None = None) -> Column:
+    return (F.trim(c) != "") & (confidence < least) & ~(signs[1] if signs else has_signal(c))
 
 
 def reason(c: Column, confidence: Column, low: float = LOW_CONFIDENCE) -> Column:

@@ -121,8 +121,10 @@ def q24_low_confidence(spark, sf):
 
 
 def q25_route_lines(spark, sf):
-    f, t, c = v.fragments(spark, sf), F.col("text"), F.col("confidence")
-    return f.select("slide_index", "pos", routing.route(t, c).alias("route"), F.round(routing.word_ratio(t), 6).alias("ratio"), routing.looks_like_handwriting(t, c).alias("handwriting"))
+    t, c = F.col("text"), F.col("confidence")
+    f = v.fragments(spark, sf).withColumn("_strong", routing.has_strong(t)).withColumn("_signal", routing.has_signal(t)).withColumn("_ratio", routing.word_ratio(t))
+    signs = (F.col("_strong"), F.col("_signal"), F.col("_ratio"))
+    return f.select("slide_index", "pos", routing.route(t, c, signs=signs).alias("route"), F.round("_ratio", 6).alias("ratio"), routing.looks_like_handwriting(t, c, signs=signs).alias("handwriting"))
 
 
 def q26_escape_markdown(spark, sf):
