@@ -112,7 +112,7 @@ def q22_decoration_lines(spark, sf):
 
 
 def q23_ocr_row_order(spark, sf):
-    f = v.fragments(spark, sf).where("pos < 12").select("slide_index", F.col("pos").cast("bigint").alias("pos"), F.struct((F.col("pos") * 37 % 101).alias("x"), (F.col("pos") * 17 % 90).alias("y"), F.lit(50).alias("width"), (F.length("text") % 5 * 10 + 10).alias("height")).alias("bbox"))
+    f = v.fragments(spark, sf).select("slide_index", F.col("pos").cast("bigint").alias("pos"), F.struct((F.col("pos") * 37 % 101).alias("x"), (F.col("pos") * 17 % 90).alias("y"), F.lit(50).alias("width"), (F.length("text") % 5 * 10 + 10).alias("height")).alias("bbox"))
     return ocr.reading_order(f, ["slide_index"], "pos", "bbox").select("slide_index", "pos", "row", "place")
 
 
