@@ -33,3 +33,17 @@ def test_reading_order_of_all_lines(spark, lines):
         want |= {(d, n, k, place) for place, (k, n) in enumerate(placed)}
     got = [tuple(r) for r in registry.queries()["q23_ocr_row_order"](spark, SF).select("slide_index", "pos", "row", "place").collect()]
     assert max(n for _, n, _ in lines) >= 12 and len(got) == len(lines) and set(got) == want
+
+
+def test_markdown_of_all_lines(spark, lines):
+    image = lambda d: f"![Slide](img%20{d}%20%281%29.png)"
+    letters = lambda t: "".join(c for c in t if c.isalnum())
+    want = {}
+    for d, n, t in sorted(lines):
+        want.setdefault(d, []).append(letters(t) + ("_?_" if (d * 7 + n * 13) % 100 < 60 else ""))
+    got = {r.slide_index: r.markdown for r in registry.queries()["q51_fragment_markdown"](spark, SF).collect()}
+    assert max(map(len, want.values())) > 5 and got.keys() == want.keys()
+    for d, markdown in got.items():
+        *parts, last = markdown.split("\n\n")
+        assert last == image(d)
+        assert [letters(x.removesuffix(" _(?)_")) + "_?_" * x.endswith(" _(?)_") for x in parts] == want[d]

@@ -227,7 +227,7 @@ def q50_line_keys(spark, sf):
 
 
 def q51_fragment_markdown(spark, sf):
-    f = ocr.mark_low(v.fragments(spark, sf)).where("pos < 5")
+    f = ocr.mark_low(v.fragments(spark, sf))
     return ocr.assemble(f, ["slide_index"], "pos", F.concat(F.lit("![Slide]("), md.link_target(F.concat(F.lit("img "), F.col("slide_index").cast("string"), F.lit(" (1).png"))), F.lit(")")))
 
 
