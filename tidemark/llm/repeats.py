@@ -26,6 +26,7 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -273,6 +274,26 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) ->
     return bs.routed(doc[order], value, buckets)
 
 
+class _Shard:
+    """Records of a shard as they come: their numbers in memory, their letters in a file."""
+
+    def __init__(self):
+        self.parts, self.file = [], tempfile.TemporaryFile()
+
+    def add(self, packed: bytes, plain) -> None:
+        *numbers, letters = bs.unblob(packed, *_PACKED)
+        self.parts.append([x.copy() for x in numbers])  # views would keep the letters
+        self.file.write(plain.decompress(letters))
+
+    def column(self, k: int) -> np.ndarray:
+        return np.concatenate([p[k] for p in self.parts])
+
+    def letters(self) -> np.ndarray:
+        """All records' letters, one after the other, mapped: only what is read comes to memory."""
+        self.file.flush()
+        return np.asarray(np.memmap(self.file, np.uint8, "r"))
+
+
 def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
     """What the shards find. kind 0: documents' covered spans, packed by their bucket; 1: a place of a common stretch; 2: a common stretch's runs of smallest ids."""
 
@@ -280,20 +301,19 @@ def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
         import zstandard
 
         plain = zstandard.ZstdDecompressor()
-        held: dict[int, list] = {}
+        held: dict[int, _Shard] = {}
         for batch in batches:
             for n, kind, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
                     h1, h2, doc, at = bs.unblob(packed, np.int64, np.int64, np.int64, np.int64)
                     yield _found(1, len(h1), h1=h1, h2=h2, doc=doc, at=at)
                 else:
-                    held.setdefault(n, []).append(packed)
+                    held.setdefault(n, _Shard()).add(packed, plain)
         for n in sorted(held):
-            parts = [bs.unblob(x, *_PACKED) for x in held.pop(n)]
-            h1, h2, least, common, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            doc, at = (np.concatenate([p[k] for p in parts]) for k in (6, 7))
-            at = at.astype(np.int64)
-            letters = [x for p in parts for x in np.split(np.frombuffer(plain.decompress(p[8].tobytes()), np.uint8), np.cumsum(p[4])[:-1])]
+            shard = held.pop(n)
+            h1, h2, least, common, sizes, places, doc, at = map(shard.column, range(8))
+            at, letters = at.astype(np.int64), shard.letters()
+            ends = np.cumsum(sizes.astype(np.int64))
             record = np.repeat(np.arange(len(h1)), places)
             order = np.lexsort((least, h2, h1))
             begins, counts = bs.grouped_pairs(h1[order], h2[order])
@@ -304,7 +324,7 @@ def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
             np.logical_or.at(is_common, ident, common.astype(bool))
             found = []
             for lo, hi in _portions(h1[first], sizes[first]):
-                part = _least(h1[first[lo:hi]], least[first[lo:hi]], sizes[first[lo:hi]], [letters[k] for k in first[lo:hi]], length)
+                part = _least(h1[first[lo:hi]], least[first[lo:hi]], sizes[first[lo:hi]], [letters[ends[k] - sizes[k] : ends[k]] for k in first[lo:hi]], length)
                 found.append((part[0] + lo, *part[1:]))
             stretch, lo, windows, smallest = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.argsort(stretch, kind="stable")
