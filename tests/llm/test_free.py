@@ -210,14 +210,50 @@ def test_jaccard_of_odd_rows(spark, odd):
 # ---------------------------------------------------------- repeated strings
 
 
-def test_suffix_arrays_against_sorting():
+def shared_letters(a, b, depth):
+    return next((k for k in range(depth) if k >= len(a) or k >= len(b) or a[k] != b[k]), depth)
+
+
+@pytest.mark.parametrize("limit", [0, 2000, 20_000, 1 << 28])
+def test_suffix_arrays_against_sorting(limit):
+    """With no memory at all, queues, runs and arrays lie in files, and all levels are recursion."""
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(1, 60))).astype(np.uint8)
-        assert induced.suffix_array(t, limit=int(rng.integers(0, 300))).tolist() == sorted(range(len(t)), key=lambda i: bytes(t[i:]))
-        d = int(rng.integers(1, 9))
-        heads = [bytes(t[i : i + d]) for i in induced.suffix_array(t, depth=d)]
-        assert heads == sorted(heads)
+    for n in range(250):
+        t = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(1, 120)))
+        if n % 3 == 0:
+            t = np.tile(t[: max(1, len(t) // 5)], 5)
+        depth = int(rng.choice([3, 8, 20, 254]))
+        order, values = induced.suffix_array(t, depth, limit)
+        suffixes = [tuple(t[i:]) for i in order]
+        heads = [s[:depth] for s in suffixes]
+        assert sorted(order.tolist()) == list(range(len(t))) and heads == sorted(heads)
+        assert values.tolist() == [0] + [shared_letters(a, b, depth) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+
+
+def test_a_text_ten_times_its_bound():
+    """300,000 letters of words and repeated passages under a bound that holds 3,000: recursion, files, and bounded memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    words = [rng.integers(97, 123, int(k)).astype(np.uint8) for k in rng.integers(3, 9, 300)]
+    passage = np.concatenate([words[int(k)] for k in rng.integers(0, 300, 200)])
+    text = np.concatenate([*[words[int(k)] for k in rng.integers(0, 300, 20_000)], passage, *[words[int(k)] for k in rng.integers(0, 300, 20_000)], passage])
+    assert len(text) > 200_000
+    t = np.concatenate([text.astype(np.uint16) + 2, [0]]).astype(np.uint16)
+    limit = 200_000
+    sort = induced.Sort(t, 50, limit, 257)
+    tracemalloc.start()
+    kept, last = 0, None
+    for places, values in sort.descending():
+        kept += int((values >= 50).sum())
+        pairs = zip([last, *places[:-1]], places, values, strict=True)
+        for a, b, v in list(pairs)[::97]:
+            if a is not None:
+                assert tuple(t[a : a + 50]) >= tuple(t[b : b + 50]) and v == shared_letters(t[a:], t[b:], 50)
+        last = places[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sort.levels > 1 and kept == len(passage) - 49 and peak < 20 * limit
 
 
 def brute_removed(rows, length=50):
@@ -251,6 +287,14 @@ def test_repeats_against_brute_force(spark):
     assert got == sorted(brute_removed(rows))
 
 
+def test_repeats_of_texts_that_share_an_id(spark):
+    rng = random.Random(6)
+    one, two = ("".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(2))
+    rows = [(1, one + "x"), (1, two), (1, one + two), (2, "y" + two), (2, one), (2, one), (3, one + "x"), (0, one[:60])]
+    got = sorted(tuple(r)[:5] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted(brute_removed(rows))
+
+
 def test_repeats_of_odd_rows(spark, odd):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     got = sorted((tuple(r)[:5] for r in repeats.remove_repeats(odd).collect()), key=key)

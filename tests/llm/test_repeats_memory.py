@@ -28,7 +28,7 @@ def test_letters_of_a_shard_lie_on_disk(spark):
 
     def record(h1, h2, doc, letters):
         pressed = np.frombuffer(zstandard.ZstdCompressor(level=1).compress(letters.tobytes()), np.uint8)
-        return bs.blob(np.array([h1]), np.array([h2]), np.array([doc]), np.zeros(1, np.uint8), np.array([len(letters)], np.uint32), np.ones(1, np.uint32), np.array([doc]), np.array([5], np.uint32), pressed)
+        return bs.blob(np.array([h1]), np.array([h2]), np.array([doc]), np.zeros(1, np.uint8), np.array([len(letters)], np.uint32), np.ones(1, np.uint32), np.array([doc]), np.array([doc]), np.array([5], np.uint32), pressed)
 
     def batches():
         for packed in [record(7, 1, 10, one), *(record(100 + k, 1, 20 + k, np.full(size, 65 + k, np.uint8)) for k in range(n)), record(7, 2, 11, two)]:

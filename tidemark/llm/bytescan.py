@@ -68,6 +68,12 @@ def grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.diff(np.concatenate([begins, [len(ids)]]))
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    sizes = sizes.astype(np.int64)
+    return np.repeat(starts.astype(np.int64) - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def blob(*arrays: np.ndarray) -> bytes:
     """Arrays as one value: their lengths, then their bytes."""
     head = np.array([len(a) for a in arrays], dtype=np.int64)

@@ -1,180 +1,495 @@
-"""Suffix sorting by external induced sorting.
-
-Suffixes are S- or L-type; the leftmost S-type ones (LMS) are sorted first and
-all others are induced from them: a scan in ascending order puts each suffix's
-L-type predecessor into the queue of its first letter, a scan in descending
-order the S-type ones. The queues are monotone priority queues: a letter's
-entries leave in the order in which they came, after all smaller letters'
-(larger in the second scan), and hold blocks of positions that go to disk beyond
-a memory bound, so a shard may be larger than memory. Each block is induced at
-once with array operations.
-
-LMS substrings are named by the same induction; equal names are told apart by
-their successors' ranks, level by level, until names are unique or the wanted
-depth is passed. Common prefixes of neighbours follow from the letters.
+"""Suffix sorting by external induced sorting, with prefix values.
+
+Suffixes are S- or L-type (smaller or greater than the next one); the leftmost
+S-type ones (LMS) are sorted first and all others are induced from them: a scan
+in ascending order sends each suffix's L-type predecessor to a priority queue, a
+scan in descending order the S-type ones. A queue's key is the suffix's first
+letter; entries of one letter leave in the order in which they came. An entry is
+a tuple: position, the next few preceding letters, and the prefix value (the
+number of letters shared with the entry before it in its letter's queue, up to
+the wanted depth). So a scan seldom looks into the text, and the prefix values
+of the sorted suffixes follow from those of the LMS ones: one more than the
+least value passed since the letter's last entry.
+
+LMS suffixes are sorted by their substrings (up to the next LMS place): packed
+letters go through a priority queue of sorted runs, equal ones again with the
+letters that follow. Substrings' ranks are the letters of a reduced text, a third
+as long or less; while ranks are tied, it is sorted by the same procedure,
+recursively, or, once it fits in memory, by doubling there. Its prefix values, in
+ranks, tell from which letter on LMS neighbours must be compared.
+
+All that grows with the text (queues, runs, ranks, positions) is held in memory
+up to a bound and in files beyond it, and is worked on in blocks, so a text may
+be far larger than memory. Files go with their task.
 """
 
 from __future__ import annotations
 
-import os
+import heapq
 import tempfile
+from collections import deque
 
 import numpy as np
 
+#: Preceding letters that an entry carries; when they are used up, the next ones are read from the text.
+CARRIED = 4
+#: Bytes that an entry of a sort takes in memory, all its transient arrays included.
+_ENTRY = 64
+
+
+def scratch(n: int, kind, limit: int) -> np.ndarray:
+    """An array of n zeros: in memory, if it is small beside the limit, else in a file."""
+    size = n * np.dtype(kind).itemsize
+    if size <= limit // 8:
+        return np.zeros(n, kind)
+    file = tempfile.TemporaryFile()
+    file.truncate(size)
+    return np.memmap(file, kind, "r+", shape=(n,))
+
+
+class Spill:
+    """Keeps tuples of arrays: in memory up to a number of bytes, then in a file."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.file, self.end = limit, 0, None, 0
+
+    def keep(self, arrays: tuple):
+        size = sum(a.nbytes for a in arrays)
+        if self.held + size <= self.limit:
+            self.held += size
+            return arrays
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        at = self.end
+        self.file.seek(at)
+        for a in arrays:
+            self.file.write(np.ascontiguousarray(a).data)
+        self.end = at + size
+        return at, len(arrays[0]), [a.dtype for a in arrays]
+
+    def back(self, kept) -> tuple:
+        if isinstance(kept[0], np.ndarray):
+            self.held -= sum(a.nbytes for a in kept)
+            return kept
+        at, n, kinds = kept
+        self.file.seek(at)
+        return tuple(np.frombuffer(self.file.read(n * k.itemsize), k) for k in kinds)
+
 
 class Queues:
-    """One first-in first-out queue of position blocks for each letter; blocks beyond the bound lie in a file."""
-
-    def __init__(self, letters: int, limit: int):
-        self.blocks: list[list] = [[] for _ in range(letters)]
-        self.limit, self.held, self.file = limit, 0, None
-
-    def put(self, letter: int, block: np.ndarray) -> None:
-        if self.held + block.nbytes > self.limit:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            self.file.seek(0, os.SEEK_END)
-            self.blocks[letter].append((self.file.tell(), len(block), block.dtype))
-            self.file.write(block.tobytes())
-        else:
-            self.held += block.nbytes
-            self.blocks[letter].append(block)
+    """A monotone priority queue of tuples: the least letter first (sign 1) or the greatest (sign -1); first in, first out within a letter."""
+
+    def __init__(self, sign: int, limit: int):
+        self.sign, self.store, self.letters, self.blocks = sign, Spill(limit), [], {}
+
+    def put(self, letter: int, arrays: tuple) -> None:
+        if letter not in self.blocks:
+            self.blocks[letter] = deque()
+            heapq.heappush(self.letters, self.sign * letter)
+        self.blocks[letter].append(self.store.keep(arrays))
 
-    def deal(self, letters: np.ndarray, positions: np.ndarray) -> None:
-        """Append positions to their letters' queues, in their order."""
+    def deal(self, letters: np.ndarray, arrays: tuple) -> None:
+        """Tuples, sorted by letter, to their letters' queues."""
         if not len(letters):
             return
-        order = np.argsort(letters, kind="stable")
-        sorted_letters, sorted_positions = letters[order], positions[order]
-        cuts = (np.flatnonzero(sorted_letters[1:] != sorted_letters[:-1]) + 1).tolist()
+        cuts = (np.flatnonzero(letters[1:] != letters[:-1]) + 1).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(letters)], strict=True):
-            self.put(int(sorted_letters[a]), sorted_positions[a:b])
-
-    def take(self, letter: int):
-        """The letter's blocks, first come first, each once."""
-        blocks, self.blocks[letter] = self.blocks[letter], []
-        for b in blocks:
-            if isinstance(b, tuple):
-                self.file.seek(b[0])
-                yield np.frombuffer(self.file.read(b[1] * b[2].itemsize), b[2])
-            else:
-                self.held -= b.nbytes
-                yield b
-
-
-def types(t: np.ndarray) -> np.ndarray:
-    """True where the suffix is S-type: smaller than the next one. t ends with a letter smaller than all others."""
-    rises = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32)).astype(np.int8)
-    n = len(rises)
-    at = np.where(rises != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    s = np.ones(n + 1, dtype=bool)
-    s[:-1] = rises[np.minimum(nearest, n - 1)] > 0
-    return s
-
-
-def induce(t: np.ndarray, s: np.ndarray, letters: int, lms: np.ndarray, limit: int) -> np.ndarray:
-    """All suffixes in order, from the LMS suffixes in order."""
-    lms_letter = t[lms]
-    bounds = np.searchsorted(lms_letter, np.arange(letters + 1))
-    up, done = Queues(letters, limit), [None] * letters
-    for c in range(letters):
-        out = []
-        while up.blocks[c]:  # what comes from smaller letters, then round by round what the letter's own suffixes induce in it
-            for block in up.take(c):
-                out.append(block)
-                before = block[block > 0] - 1
-                before = before[~s[before]]
-                up.deal(t[before], before)
-        # L-type suffixes of a letter stand before its S-type ones, of which the LMS ones induce further
-        seeds = lms[bounds[c] : bounds[c + 1]]
-        before = seeds[seeds > 0] - 1
-        up.deal(t[before], before)
-        done[c] = np.concatenate(out) if out else np.zeros(0, dtype=lms.dtype)
-    down, result = Queues(letters, limit), [None] * letters
-    for c in range(letters - 1, -1, -1):
-        falling = []
-        while down.blocks[c]:
-            for block in down.take(c):
-                falling.append(block)
-                before = block[block > 0] - 1
-                before = before[s[before]]
-                down.deal(t[before], before)
-        large = done[c]
-        back = large[::-1]
-        before = back[back > 0] - 1
-        before = before[s[before]]
-        down.deal(t[before], before)
-        small = np.concatenate(falling)[::-1] if falling else np.zeros(0, dtype=lms.dtype)
-        result[c] = np.concatenate([large, small])
-    result[0] = np.array([len(t) - 1], dtype=lms.dtype)  # the sentinel
-    return np.concatenate(result)
-
-
-def _names(t: np.ndarray, ordered: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """True where an LMS substring differs from the one before it in order."""
-    a, b = ordered[:-1], ordered[1:]
-    la, lb = length[:-1], length[1:]
-    differs = la != lb
-    left, k = np.flatnonzero(~differs), 0
-    while len(left):
-        left = left[la[left] > k]
-        if not len(left):
-            break
-        off = t[a[left] + k] != t[b[left] + k]
-        differs[left[off]] = True
-        left, k = left[~off], k + 1
-    return np.concatenate([[True], differs])
+            self.put(int(letters[a]), tuple(x[a:b] for x in arrays))
+
+    def first(self) -> int | None:
+        return self.sign * self.letters[0] if self.letters else None
+
+    def done(self, letter: int) -> None:
+        """The letter, which has no entries left, leaves the queue."""
+        if self.first() == letter and not self.blocks[letter]:
+            heapq.heappop(self.letters)
+            del self.blocks[letter]
+
+    def take(self, letter: int, most: int) -> tuple | None:
+        """About `most` tuples of the letter; None if there are none."""
+        held, out, n = self.blocks.get(letter), [], 0
+        while held and n < most:
+            out.append(self.store.back(held.popleft()))
+            n += len(out[-1][0])
+        if not out:
+            return None
+        return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Runs:
+    """A priority queue that is filled first and emptied then: keys and values in sorted runs, on disk beyond the limit."""
 
+    def __init__(self, limit: int):
+        self.limit, self.held, self.buffer, self.runs = limit, 0, [], []
 
-def suffix_array(text: np.ndarray, depth: int | None = None, limit: int = 256 << 20) -> np.ndarray:
-    """Positions of all suffixes in order; with depth, order is exact in the first `depth` letters at least.
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.buffer.append((keys, values))
+        self.held += keys.nbytes + values.nbytes
+        if self.held > self.limit:
+            self._flush()
 
-    text: non-negative small integers (letters). limit: bytes that the queues hold in memory.
+    def _sorted(self):
+        keys, values = (np.concatenate(x) for x in zip(*self.buffer, strict=True))
+        self.buffer, self.held = [], 0
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]
+
+    def _flush(self) -> None:
+        run = []
+        for a in self._sorted():
+            run.append(np.memmap(tempfile.TemporaryFile(), a.dtype, "w+", shape=a.shape))
+            run[-1][:] = a
+        self.runs.append(run)
+
+    def take(self, most: int):
+        """All (keys, values) in ascending order, about `most` at a time."""
+        if not self.runs:
+            if self.buffer:
+                keys, values = self._sorted()
+                for k in range(0, len(keys), most):
+                    yield keys[k : k + most], values[k : k + most]
+            return
+        if self.buffer:
+            self._flush()
+        at, share = [0] * len(self.runs), max(1, most // len(self.runs))
+        while True:
+            live = [r for r in range(len(at)) if at[r] < len(self.runs[r][0])]
+            if not live:
+                return
+            # up to the least of the keys at which the runs' shares end, all are there
+            bound = min(self.runs[r][0][min(at[r] + share, len(self.runs[r][0])) - 1] for r in live)
+            parts = []
+            for r in live:
+                keys, values = self.runs[r]
+                stop = at[r] + int(np.searchsorted(keys[at[r] : at[r] + share], bound, side="right"))
+                parts.append((np.asarray(keys[at[r] : stop]), np.asarray(values[at[r] : stop])))
+                at[r] = stop
+            keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys, kind="stable")
+            yield keys[order], values[order]
+
+
+class Sort:
+    """Sorts the suffixes of a text, exactly in the first `depth` letters at least.
+
+    text: non-negative integers (an array, in memory or mapped), of which the
+    last is 0 and no other is. depth: 1 to 254. limit: bytes that the sort
+    holds in memory, about.
     """
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
-    t = np.empty(n + 1, dtype=np.int16 if int(text.max(initial=0)) < 32_000 else np.int32)
-    t[:n] = text
-    t[:n] += 1
-    t[n] = 0
-    letters = int(t.max()) + 1
-    s = types(t)
-    is_lms = np.zeros(n + 1, dtype=bool)
-    is_lms[1:] = s[1:] & ~s[:-1]
-    place = np.int32 if n < 1 << 31 else np.int64
-    lms = np.flatnonzero(is_lms).astype(place)
-    # The sentinel is the last LMS suffix. Its order with others of their first letter only is enough to sort LMS substrings.
-    rough = lms[np.argsort(t[lms], kind="stable")]
-    order = induce(t, s, letters, rough, limit)
-    ordered = order[is_lms[order]]
-    index = np.empty(n + 1, dtype=place)
-    index[lms] = np.arange(len(lms), dtype=place)
-    ends = np.concatenate([lms[1:], [n]]).astype(place)
-    length = (ends - lms + 1)[index[ordered]]
-    length[ordered == n] = 1
-    rank = np.empty(len(lms), dtype=np.int64)
-    rank[index[ordered]] = np.cumsum(_names(t, ordered, length)) - 1
-    if len(lms) and rank.max() + 1 < len(lms):
-        rank = _told_apart(rank, lms, depth)
-    sorted_lms = lms[np.argsort(rank, kind="stable")]
-    return induce(t, s, letters, sorted_lms, limit)[1:]
-
-
-def _told_apart(rank: np.ndarray, lms: np.ndarray, depth: int | None) -> np.ndarray:
-    """Ranks of the reduced text's suffixes: ranks of twice as many names at each level, of tied suffixes only."""
+
+    def __init__(self, text: np.ndarray, depth: int, limit: int, letters: int):
+        self.text, self.depth, self.limit = text, depth, limit
+        self.bits = int(letters + 1).bit_length()
+        self.mask = (1 << self.bits) - 1  # greater than all letters
+        self.carried = max(1, min(CARRIED, 62 // self.bits))
+        self.block = max(64, limit // (4 * _ENTRY))
+        self.place = np.int32 if len(text) < 1 << 31 else np.int64
+        #: Texts sorted: this one, and those of the recursion.
+        self.levels = 1
+
+    def descending(self):
+        """(positions, prefix values) of all suffixes, greatest first, in blocks; a value tells how many letters a suffix shares with the one given before it."""
+        order, links = self._lms_order(self._lms())
+        stacks, store = self._ascend(order, links)
+        yield from self._descend(stacks, store)
+
+    # ------------------------------------------------------------- LMS suffixes
+
+    def _lms(self) -> np.ndarray:
+        """Positions of the LMS suffixes, ascending; the last letter's is one."""
+        n = len(self.text)
+        out = scratch(n // 2 + 1, self.place, self.limit)
+        at, smaller = len(out) - 1, True  # the type of the suffix right of a block
+        out[at] = n - 1
+        for b in range(n - 1, 0, -self.block):
+            a = max(0, b - self.block)
+            t = self.text[a : b + 1].astype(np.int64)
+            rises = np.sign(t[1:] - t[:-1])
+            nearest = np.minimum.accumulate(np.where(rises != 0, np.arange(b - a), b - a)[::-1])[::-1]
+            s = np.where(nearest < b - a, rises[np.minimum(nearest, b - a - 1)] > 0, smaller)
+            smaller = bool(s[0])
+            before = np.concatenate([self.text[a - 1 : a].astype(np.int64) if a else t[:1], t[:-2]])
+            found = np.flatnonzero(s & (before > t[:-1])) + a
+            out[at - len(found) : at] = found
+            at -= len(found)
+        return out[at:]
+
+    def _packed(self, at: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+        """The n letters from `at` as one number each; those beyond the `left` ones of the substring count as greater than all letters."""
+        key, last = np.zeros(len(at), np.uint64), len(self.text) - 1
+        for k in range(n):
+            letter = np.where(left > k, self.text[np.minimum(at + k, last)], self.mask)
+            key = (key << np.uint64(self.bits)) | letter.astype(np.uint64)
+        return key
+
+    def _substrings(self, lms: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and sizes of the LMS substrings a to b."""
+        begin = np.asarray(lms[a:b], np.int64)
+        following = np.asarray(lms[a + 1 : b + 1], np.int64)
+        if len(following) < len(begin):
+            following = np.append(following, begin[-1])
+        return begin, following - begin + 1
+
+    def _ranks(self, lms: np.ndarray) -> tuple[np.ndarray, bool]:
+        """For each LMS substring the number of those that are smaller; whether some are tied. Letters beyond the depth don't count."""
+        m = len(lms)
+        rank, size = scratch(m, self.place, self.limit), scratch(m, self.place, self.limit)
+        queue, read = Runs(self.limit // 4), max(1, 63 // self.bits)
+        for a in range(0, m, self.block):
+            begin, n = self._substrings(lms, a, min(m, a + self.block))
+            queue.put(self._packed(begin, n, read), np.arange(a, a + len(begin), dtype=self.place))
+        count, group, last = 0, 0, None
+        for keys, which in queue.take(self.block):
+            new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(count, count + len(keys)), group))
+            rank[which] = first
+            np.add.at(size, first, 1)
+            count, group, last = count + len(keys), int(first[-1]), keys[-1]
+        # ties among substrings that go on are told apart by the letters that follow
+        if m >= 1 << 32:
+            raise ValueError("a text of more than 2^32 LMS suffixes")
+        more = max(1, min(read, 32 // self.bits))
+        while read < self.depth:
+            queue, any_ = Runs(self.limit // 4), False
+            for a in range(0, m, self.block):
+                begin, n = self._substrings(lms, a, min(m, a + self.block))
+                r = np.asarray(rank[a : a + len(begin)], np.int64)
+                on = np.flatnonzero((n >= read) & (np.asarray(size[r]) > 1))
+                if len(on):
+                    any_ = True
+                    key = (r[on].astype(np.uint64) << np.uint64(more * self.bits)) | self._packed(begin[on] + read, n[on] - read, more)
+                    queue.put(key, (on + a).astype(self.place))
+            if not any_:
+                break
+            base, place, group, last = -1, 0, 0, None  # the rank at hand, entries of it seen, rank of the subgroup at hand
+            for keys, which in queue.take(self.block):
+                old = (keys >> np.uint64(more * self.bits)).astype(np.int64)
+                fresh = np.concatenate([[old[0] != base], old[1:] != old[:-1]])
+                index = np.arange(len(keys))
+                start = np.maximum.accumulate(np.where(fresh, index, 0))
+                seen = index - start + np.where(start == 0, 0 if fresh[0] else place, 0)
+                new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
+                begins = np.flatnonzero(new)
+                value = old + seen
+                current = np.where(np.cumsum(new) > 0, value[begins[np.maximum(np.cumsum(new) - 1, 0)]] if len(begins) else 0, group)
+                size[value[begins]] = 0
+                np.add.at(size, current, 1)
+                rank[which] = current
+                base, place, group, last = int(old[-1]), int(seen[-1]) + 1, int(current[-1]), keys[-1]
+            read += more
+        tied = any(bool((np.asarray(size[a : a + self.block]) > 1).any()) for a in range(0, m, self.block))
+        return rank, tied
+
+    def _lms_order(self, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """LMS suffixes in ascending order, and how many letters each shares with the one before."""
+        m = len(lms)
+        rank, tied = self._ranks(lms)
+        order, shared = scratch(m, self.place, self.limit), None
+        if not tied:
+            for a in range(0, m, self.block):
+                order[rank[a : a + self.block]] = np.arange(a, min(m, a + self.block))
+        elif m * _ENTRY <= self.limit:
+            order[:] = np.argsort(_told_apart(np.asarray(rank, np.int64), np.asarray(lms), self.depth), kind="stable")
+            shared = _equal_names(rank, order, lms, self.depth)
+        else:
+            inner = Sort(rank, min(254, self.depth // 2 + 1), self.limit, m)
+            shared, at = scratch(m, np.uint8, self.limit), m
+            for places, links in inner.descending():
+                order[at - len(places) : at] = places[::-1]
+                # a value tells of the suffix given before, the greater one, which stands one place on
+                shared[at - len(places) + 1 : at] = links[1:][::-1]
+                if at < m:
+                    shared[at] = links[0]
+                at -= len(places)
+            self.levels = 1 + inner.levels
+        sorted_, links = scratch(m, self.place, self.limit), scratch(m, np.uint8, self.limit)
+        for a in range(0, m, self.block):
+            part = np.asarray(order[max(0, a - 1) : a + self.block], np.int64)
+            skip = np.asarray(shared[a : a + self.block], np.int64) if shared is not None else np.zeros(len(part) - (a > 0), np.int64)
+            places = np.asarray(lms[part], np.int64)
+            if a == 0:
+                sorted_[: self.block] = places
+                skip, one, two, at = skip[1:], part[:-1], part[1:], 1
+            else:
+                sorted_[a : a + self.block] = places[1:]
+                one, two, at = part[:-1], part[1:], a
+            far = np.asarray(lms[np.minimum(two + skip, m - 1)], np.int64) - np.asarray(lms[two], np.int64)
+            links[at : at + len(two)] = self._compared(np.asarray(lms[one], np.int64), np.asarray(lms[two], np.int64), far)
+        return sorted_, links
+
+    def _compared(self, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """How many letters the suffixes at a and b share, up to the depth, of which `known` are known."""
+        out = np.minimum(known, self.depth)
+        left = np.flatnonzero(out < self.depth)
+        while len(left):
+            k = out[left]
+            left = left[self.text[a[left] + k] == self.text[b[left] + k]]  # the last letter is unique: no place is passed
+            out[left] += 1
+            left = left[out[left] < self.depth]
+        return out
+
+    # ----------------------------------------------------------------- induction
+
+    def _before(self, at: np.ndarray) -> np.ndarray:
+        """The letters before `at`, nearest lowest; what lies above them are ones, which stand for letters not carried."""
+        word = np.full(len(at), -1, np.int64)
+        for k in range(self.carried, 0, -1):
+            letter = np.where(at >= k, self.text[np.maximum(at - k, 0)], self.mask).astype(np.int64)
+            word = (word << self.bits) | letter
+        return word
+
+    def _induced(self, scan: _Scan, sign: int, letter: int, at, word, link, own: bool):
+        """(letters, tuples) of the predecessors that a block of one letter induces, by letter. own: also those with the same letter."""
+        before = word & self.mask
+        out = np.flatnonzero((before == self.mask) & (at > 0))
+        if len(out):
+            word = word.copy()
+            word[out] = self._before(at[out])
+            before[out] = word[out] & self.mask
+        keep = (at > 0) & ((before >= letter if own else before > letter) if sign > 0 else (before <= letter if own else before < letter))
+        kept = np.flatnonzero(keep)
+        letters = before[kept].astype(np.uint16 if self.bits <= 16 else np.int64)
+        by = np.argsort(letters, kind="stable")
+        kept, letters = kept[by], letters[by]
+        values = scan.values(link, kept, letters)
+        return letters, ((at[kept] - 1).astype(self.place), word[kept] >> self.bits, values)
+
+    def _ascend(self, order: np.ndarray, links: np.ndarray):
+        """L-type suffixes from the LMS ones: for each letter, its blocks of (position, letters before, prefix value), ascending."""
+        queue, scan, store, stacks = Queues(1, self.limit // 4), _Scan(self), Spill(self.limit // 4), {}
+        m, k = len(order), 0
+        while k < m or queue.first() is not None:
+            letter = queue.first()
+            seed = int(self.text[order[k]]) if k < m else None
+            if letter is None or (seed is not None and seed < letter):
+                letter = seed
+            last = None
+            while (found := queue.take(letter, self.block)) is not None:
+                at, word, link = found
+                at = at.astype(np.int64)
+                last = int(at[-1])
+                stacks.setdefault(letter, []).append(store.keep(found))
+                queue.deal(*self._induced(scan, 1, letter, at, word, link, True))
+            queue.done(letter)
+            while k < m and seed == letter:
+                at = np.asarray(order[k : k + self.block], np.int64)
+                other = np.flatnonzero(self.text[at] != letter)
+                at = at[: other[0]] if len(other) else at
+                link = np.array(links[k : k + len(at)])
+                if last is not None:
+                    link[0] = self._compared(np.array([last]), at[:1], np.zeros(1, np.int64))[0]
+                    last = None
+                queue.deal(*self._induced(scan, 1, letter, at, self._before(at), link, True))
+                k += len(at)
+                seed = int(self.text[order[k]]) if k < m else None
+        return stacks, store
+
+    def _descend(self, stacks: dict, store: Spill):
+        """All suffixes, greatest first: S-type ones are induced, L-type ones taken back."""
+        queue, scan = Queues(-1, self.limit // 4), _Scan(self)
+        waiting = sorted(stacks)
+        while waiting or queue.first() is not None:
+            letter = queue.first()
+            if letter is None or (waiting and waiting[-1] > letter):
+                letter = waiting[-1]
+            last, later = None, 0
+            while (found := queue.take(letter, self.block)) is not None:
+                at, word, link = found
+                at = at.astype(np.int64)
+                last = int(at[-1])
+                yield at, link
+                queue.deal(*self._induced(scan, -1, letter, at, word, link, True))
+            if waiting and waiting[-1] == letter:
+                waiting.pop()
+                blocks = stacks.pop(letter)
+                while blocks:
+                    at, word, link = (x[::-1] for x in store.back(blocks.pop()))
+                    at = at.astype(np.int64)
+                    if last is not None:
+                        later = self._compared(np.array([last]), at[:1], np.zeros(1, np.int64))[0]
+                        last = None
+                    # a value tells of the entry before in ascending order: it belongs to the next one here
+                    shifted = np.concatenate([np.array([later], np.uint8), link[:-1]])
+                    later = link[-1]
+                    yield at, shifted
+                    queue.deal(*self._induced(scan, -1, letter, at, word, shifted, False))
+            queue.done(letter)
+        yield np.array([len(self.text) - 1]), np.zeros(1, np.uint8)
+
+
+class _Scan:
+    """Prefix values of induced entries: one more than the least value scanned since the letter's last entry."""
+
+    def __init__(self, sort: Sort):
+        self.depth, self.at = sort.depth, 0
+        self.entry = np.full(sort.mask + 1, -1, np.int64) if sort.bits <= 16 else scratch(sort.mask + 1, np.int64, sort.limit) - 1
+        #: For each value, the last place of the scan with that value or less.
+        self.last = np.full(sort.depth + 1, -1, np.int64)
+
+    def values(self, link: np.ndarray, kept: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """link: values of the block scanned; kept: places in it that induce an entry, by letter. The values of those entries."""
+        n = len(link)
+        least = np.zeros(len(kept), np.int64)
+        if len(kept):
+            first = np.concatenate([[True], letters[1:] != letters[:-1]])
+            within = np.flatnonzero(~first)
+            if len(within):
+                least[within] = _range_min(link, kept[within - 1] + 1, kept[within])
+            begin = np.flatnonzero(first)
+            known = letters[begin]
+            before = self.entry[known]
+            earlier = np.searchsorted(self.last, before, side="right")  # the least value since, in the blocks before
+            value = np.minimum(earlier, np.minimum.accumulate(link)[kept[begin]])
+            least[begin] = np.where(before < 0, -1, value)
+            ends = np.concatenate([begin[1:], [len(kept)]]) - 1
+            self.entry[known] = self.at + kept[ends]
+        seen = np.full(self.depth + 1, -1, np.int64)
+        seen[link] = np.arange(self.at, self.at + n)
+        self.last = np.maximum(self.last, np.maximum.accumulate(seen))
+        self.at += n
+        return np.minimum(least + 1, self.depth).astype(np.uint8)
+
+
+def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of values[lo..hi], both included, for each pair: minima of stretches of doubling length."""
+    span = hi - lo + 1
+    level = np.frexp(span.astype(np.float64))[1] - 1
+    out, table = np.empty(len(lo), values.dtype), values
+    for k in range(int(level.max()) + 1):
+        mine = np.flatnonzero(level == k)
+        out[mine] = np.minimum(table[lo[mine]], table[hi[mine] - (1 << k) + 1])
+        if len(table) > 1 << k:
+            table = np.minimum(table[: -(1 << k)], table[1 << k :])
+    return out
+
+
+def _equal_names(rank: np.ndarray, order: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """How many ranks each suffix of the reduced text shares with the one before it in order, as far as the depth asks."""
+    m = len(rank)
+    out = np.zeros(m, np.int64)
+    left = np.arange(1, m)
+    while len(left):
+        a, b = order[left - 1] + out[left], order[left] + out[left]
+        same = (a < m) & (b < m)
+        left, a, b = left[same], a[same], b[same]
+        left = left[rank[a] == rank[b]]
+        out[left] += 1
+        far = np.minimum(order[left] + out[left], m - 1)
+        left = left[lms[far] - lms[order[left]] < depth]
+    return out
+
+
+def _told_apart(rank: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the reduced text's suffixes, in memory: ranks of twice as many names at each level, of tied suffixes only."""
     m, step = len(rank), 1
-    rank = _dense(rank)
     while True:
         tied = np.flatnonzero(np.bincount(rank, minlength=m + 1)[rank] > 1)
-        if depth is not None and len(tied):  # ties beyond the depth don't matter
-            far = np.minimum(tied + step, m - 1)
-            tied = tied[(lms[far] - lms[tied] < depth) & (tied + step < m)]
+        far = np.minimum(tied + step, m - 1)
+        tied = tied[(lms[far] - lms[tied] < depth) & (tied + step < m)]  # ties beyond the depth don't matter
         if not len(tied) or step >= m:
             return rank
-        follow = np.where(tied + step < m, rank[np.minimum(tied + step, m - 1)], -1)
-        at = np.argsort(rank[tied] * np.int64(m + 1) + follow + 1)
+        follow = rank[tied + step]
+        at = np.argsort(rank[tied] * np.int64(m + 1) + follow + 1, kind="stable")
         a, f, r = tied[at], follow[at], rank[tied][at]
         new_group = np.concatenate([[True], r[1:] != r[:-1]])
         first = np.maximum.accumulate(np.where(new_group, np.arange(len(a)), 0))
@@ -185,17 +500,10 @@ def _told_apart(rank: np.ndarray, lms: np.ndarray, depth: int | None) -> np.ndar
         step *= 2
 
 
-def _dense(rank: np.ndarray) -> np.ndarray:
-    """Each group's rank is the number of suffixes in smaller groups, so groups can be split in place."""
-    sizes = np.bincount(rank)
-    return (np.cumsum(sizes) - sizes)[rank]
-
-
-def common_prefix_at_least(text: np.ndarray, order: np.ndarray, depth: int, block: int = 100_000) -> np.ndarray:
-    """For each place in order: whether its suffix shares `depth` letters with the one before it. All suffixes given have that many letters."""
-    same = np.zeros(len(order), dtype=bool)
-    steps = np.arange(depth)
-    for k in range(1, len(order), block):
-        cur, before = order[k : k + block], order[k - 1 : k - 1 + len(order[k : k + block])]
-        same[k : k + len(cur)] = (text[cur[:, None] + steps] == text[before[:, None] + steps]).all(axis=1)
-    return same
+def suffix_array(text: np.ndarray, depth: int = 64, limit: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all suffixes of a text in order, exact in `depth` letters, and how many letters (up to depth) each shares with the one before."""
+    t = np.concatenate([text.astype(np.int64) + 1, [0]])
+    found = list(Sort(t.astype(np.uint16 if t.max() < 1 << 16 else np.int64), depth, limit, int(t.max())).descending())
+    order = np.concatenate([x for x, _ in found])[::-1]
+    later = np.concatenate([x for _, x in found])[::-1]
+    return order[1:], np.concatenate([[0], later[1:-1]])[: len(order) - 1]

@@ -6,21 +6,26 @@ a string together:
 
 1. Equal texts are one text, with the smallest id of them; its copies are
    covered wholly.
-2. Each window of `length` bytes is filed under the smallest hash of its 16-byte
-   strings. Equal windows have equal hashes, so a hash that one text alone has
-   holds no repeated window; nearly all text ends here.
+2. Each window of `length` bytes is filed under the smallest hash of its
+   GRAM-byte strings. Equal windows have equal hashes, so a hash that one text
+   alone has holds no repeated window; nearly all text ends here.
 3. Of texts with shared hashes, the stretches filed under those are gathered,
    equal stretches as one with their smallest id, and dealt by hash into shards.
-   Each shard's stretches are suffix-sorted by external induced sorting
-   (tidemark.llm.induced); neighbours that share `length` bytes form groups, and
-   the smallest id of each group is carried to its windows.
+   A shard is one text, which external induced sorting sorts
+   (tidemark.llm.induced); neighbours whose prefix value reaches `length` form
+   groups, and the smallest id of each group is carried to its windows.
 4. The smallest ids go back to the stretches' documents, which mark the windows
    with an id smaller than their own.
 
+The number of shards follows from the bytes of the distinct texts; a shard's
+letters and all arrays of its sort lie in files beyond SORT_MEMORY.
+
 Defined results: a null text is an empty one; a row with a null id takes no part
 (nothing is removed from it, or because of it); rows with equal ids don't affect
-each other; texts of any length are scanned whole; an empty table gives an
-empty result; extra columns are not read.
+each other, whether their texts are equal or not; strings found in several
+documents count for the smallest id (ties are one document); texts of any length
+are scanned whole; an empty table gives an empty result; extra columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,11 +40,13 @@ from pyspark.sql import functions as F
 
 from . import bytescan as bs
 from . import induced
-from .common import cut, partitions, release, small_batches
+from .common import cut, drop, fewer, partitions
 
-LENGTH, GRAM = 50, 16
-#: Bytes of queues that a sort holds in memory, more lie on disk; letters that are sorted at once, if no single hash has more.
-SORT_MEMORY, SORT_LETTERS = 64 << 20, 3 << 20
+LENGTH, GRAM = 50, 24
+#: Bytes that a sort holds in memory, about; more lie in files.
+SORT_MEMORY = 192 << 20
+#: Bytes of distinct texts for each shard.
+SHARD_BYTES = 64 << 20
 _OVERLAP_PIECE = 1 << 20
 
 
@@ -49,9 +56,12 @@ def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
     two = b[:-1].astype(np.uint16) | (b[1:].astype(np.uint16) << np.uint16(8))
     four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
     eight = four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))
-    h = eight[:-8] * bs.C1
-    h ^= h >> bs.M(29)
-    h += eight[8:]
+    n = len(eight) - (GRAM - 8)
+    h = eight[:n] * bs.C1
+    for k in range(8, GRAM, 8):
+        h ^= h >> bs.M(29)
+        h += eight[k : k + n]
+        h *= bs.C2
     h = bs.mix(h)
     width = length - GRAM + 1
     have = 1
@@ -94,7 +104,7 @@ def _stretches(offsets: np.ndarray, data: np.ndarray, length: int):
 
 
 def _shared_hashes(texts: DataFrame, buckets: int, length: int) -> DataFrame:
-    """_id, flags (bucket and upper half of each shared hash as one number, packed): texts has _id, _key, _text."""
+    """_rid, flags (bucket and upper half of each shared hash as one number, packed): texts has _rid, _key, _text."""
 
     def scan(batches):
         turn = 0
@@ -127,7 +137,7 @@ def _shared_hashes(texts: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _by_document(routed: DataFrame, buckets: int, kind, name: str) -> DataFrame:
-    """_id and its values, packed as one array: routed pairs brought together by document."""
+    """_rid and its values, packed as one array: routed pairs brought together by row."""
 
     def run(batches):
         held: list[bytes] = []
@@ -138,23 +148,24 @@ def _by_document(routed: DataFrame, buckets: int, kind, name: str) -> DataFrame:
         at, n = bs.grouped(r)
         for k in range(0, len(at), 5000):
             packed = [v[x : x + y].tobytes() for x, y in zip(at[k : k + 5000], n[k : k + 5000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(r[at[k : k + 5000]], pa.int64()), pa.array(packed, pa.binary())], ["_id", name])
+            yield pa.RecordBatch.from_arrays([pa.array(r[at[k : k + 5000]], pa.int64()), pa.array(packed, pa.binary())], ["_rid", name])
 
-    return routed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, f"_id long, {name} binary")
+    return routed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, f"_rid long, {name} binary")
 
 
 #: A stretch that more documents of one chunk have is common: its places travel apart from its bytes.
 COMMON = 16
 _DEALT = "bucket int, kind int, packed binary"
-_PACKED = (np.int64, np.int64, np.int64, np.uint8, np.uint32, np.uint32, np.int64, np.uint32, np.uint8)
+_PACKED = (np.int64, np.int64, np.int64, np.uint8, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint8)
 
 
 def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Stretches of texts (_id, _text, flags: packed hashes) under shared hashes, packed by shard.
+    """Stretches of texts (_id, _rid, _text, flags: packed hashes) under shared hashes, packed by shard.
 
     kind 0: a chunk's distinct stretches of a shard: hash, digest, least id,
-    common or not, size, number of places, the places' ids and starts (of those
-    that are not common), bytes (compressed). kind 1: places of common stretches.
+    common or not, size, number of places, the places' ids, rows and starts (of
+    those that are not common), bytes (compressed). kind 1: places of common
+    stretches.
     """
 
     def scan(batches):
@@ -162,8 +173,8 @@ def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
 
         turn, pressed = 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, flags = batch.column(0).to_numpy(), batch.column(2)
-            offsets, data = bs.buffers(batch.column(1))
+            ids, rids, flags = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            offsets, data = bs.buffers(batch.column(2))
             for a, b in bs.runs(offsets):
                 turn += 1
                 row, start, count, h = _stretches(offsets[a : b + 1], data, length)
@@ -183,95 +194,94 @@ def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                 flat = data[offsets[a] : offsets[b]]
                 size = count + length - 1
                 digest = bs.digests(bs.prefix_sums(flat), start, start + size)
-                doc = ids[a:b][row]
+                doc, rid = ids[a:b][row], rids[a:b][row]
                 at = start - (offsets[a : b + 1] - offsets[a])[row]
                 h1, h2 = h.view(np.int64), digest.view(np.int64)
                 bucket = (h % bs.M(buckets)).astype(np.int64)
                 order = np.lexsort((doc, h2, h1, bucket))
-                bucket, h1, h2, doc, at, start, size = (x[order] for x in (bucket, h1, h2, doc, at, start, size))
+                bucket, h1, h2, doc, rid, at, start, size = (x[order] for x in (bucket, h1, h2, doc, rid, at, start, size))
                 begins, places = bs.grouped_pairs(h1, h2)
                 common = places > COMMON
                 apart = np.repeat(common, places)
-                out = [(turn % buckets, 1, bs.blob(h1[apart], h2[apart], doc[apart], at[apart]))] if apart.any() else []
+                out = [(turn % buckets, 1, bs.blob(h1[apart], h2[apart], doc[apart], rid[apart], at[apart]))] if apart.any() else []
                 cuts = np.searchsorted(bucket[begins], np.arange(buckets + 1))
                 for n in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[n], cuts[n + 1])
                     first, own = begins[part], np.arange(begins[cuts[n]], begins[cuts[n + 1]] if cuts[n + 1] < len(begins) else len(h1))
                     own = own[~apart[own]]
-                    letters = np.concatenate([flat[s : s + k] for s, k in zip(start[first], size[first], strict=True)])
+                    letters = flat[bs.spread(start[first], size[first])]
                     kept = np.where(common[part], 0, places[part]).astype(np.uint32)
-                    out.append((int(n), 0, bs.blob(h1[first], h2[first], doc[first], common[part].astype(np.uint8), size[first].astype(np.uint32), kept, doc[own], at[own].astype(np.uint32), np.frombuffer(pressed.compress(letters.tobytes()), np.uint8))))
+                    out.append((int(n), 0, bs.blob(h1[first], h2[first], doc[first], common[part].astype(np.uint8), size[first].astype(np.uint32), kept, doc[own], rid[own], at[own].astype(np.uint32), np.frombuffer(pressed.compress(letters.tobytes()), np.uint8))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "packed"])
 
     return texts.mapInArrow(scan, _DEALT)
 
 
-def _runs(sizes: np.ndarray, begins: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of equal ids in the windows of texts that lie one after the other: (text, first window in it, windows, id)."""
-    n_windows = sizes - length + 1
-    text = np.repeat(np.arange(len(sizes)), n_windows)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    values = windows[begins[text] + place]
-    at, counts = bs.grouped_pairs(text, values)
-    return text[at], place[at], counts, values[at]
-
-
-def _least(h1: np.ndarray, least: np.ndarray, sizes: np.ndarray, letters: list, length: int):
-    """Runs of the smallest id of each window: (stretch, first window, windows, id). Distinct stretches, sorted by h1.
+def _least(h1: np.ndarray, least: np.ndarray, sizes: np.ndarray, starts: np.ndarray, letters: np.ndarray, length: int):
+    """Runs of the smallest id of each window: (stretch, first window, windows, id). Distinct stretches, sorted by h1; starts: their places in letters.
 
     A stretch alone under its hash has one id for all windows; all others are suffix-sorted together.
     """
-    begins, counts = bs.grouped(h1)
+    _, counts = bs.grouped(h1)
     alone = np.repeat(counts == 1, counts)
     one = np.flatnonzero(alone)
-    out = [(one, np.zeros(len(one), np.int64), sizes[one] - length + 1, least[one])]
+    yield one, np.zeros(len(one), np.int64), sizes[one].astype(np.int64) - length + 1, least[one]
     many = np.flatnonzero(~alone)
-    if len(many):
-        n = sizes[many].astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(n + 1)])
-        text = np.zeros(at[-1], dtype=np.int16)  # 0 parts the stretches; letters are 1 to 256
-        for a, k, m in zip(at, n, many, strict=False):
-            text[a : a + k] = letters[m]
-            text[a : a + k] += 1
-        owner = np.repeat(np.arange(len(many)), n + 1)
-        order = induced.suffix_array(text, depth=length, limit=SORT_MEMORY)
-        order = order[order + length <= at[owner[order] + 1] - 1]
-        group = np.cumsum(~induced.common_prefix_at_least(text, order, length)) - 1
-        smallest = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, group, least[many][owner[order]])
-        windows = np.full(len(text), -1, np.int64)
-        windows[order] = smallest[group]
-        t, first, k, values = _runs(n, at[:-1], windows, length)
-        out.append((many[t], first, k, values))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
-
-
-def _portions(h1: np.ndarray, sizes: np.ndarray):
-    """Ranges of stretches sorted together: whole hashes, about SORT_LETTERS letters."""
-    begins, counts = bs.grouped(h1)
-    letters = np.add.reduceat(sizes.astype(np.int64), begins) if len(begins) else begins
-    total, start = np.cumsum(letters), 0
-    while start < len(begins):
-        base = total[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, base + SORT_LETTERS, side="right")))
-        yield int(begins[start]), int(begins[stop - 1] + counts[stop - 1])
-        start = stop
-
-
-_FOUND = "kind int, h1 long, h2 long, doc long, at long, bucket int, packed binary"
+    if not len(many):
+        return
+    n = sizes[many].astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(n + 1)])
+    total, few = int(at[-1]), max(1, int(SORT_MEMORY // (64 * n.mean())))
+    # one text: letters are 2 to 257, 1 parts the stretches, 0 ends all
+    text = induced.scratch(total + 1, np.uint16, SORT_MEMORY)
+    owner = induced.scratch(total + 1, np.int32, SORT_MEMORY)
+    for a in range(0, len(many), few):
+        part = slice(a, a + few)
+        text[at[a] : at[min(len(many), a + few)]] = 1
+        text[bs.spread(at[:-1][part], n[part])] = letters[bs.spread(starts[many[part]], n[part])].astype(np.uint16) + 2
+        owner[at[a] : at[min(len(many), a + few)]] = np.repeat(np.arange(a, a + len(n[part]), dtype=np.int32), n[part] + 1)
+    # suffixes come greatest first: a window opens a group unless it shares `length` letters with the one before
+    group_of = induced.scratch(total + 1, np.int32 if total < 1 << 31 else np.int64, SORT_MEMORY)
+    smallest = induced.scratch(total + 1, np.int64, SORT_MEMORY)
+    group, ids = -1, least[many]
+    for place, shared in induced.Sort(text, length, SORT_MEMORY, 257).descending():
+        mine = owner[place]
+        fits = place + length < at[mine + 1]
+        if not fits.any():
+            continue
+        place, mine, new = place[fits], mine[fits], shared[fits] < length
+        opened = np.cumsum(new)
+        group_of[place] = group + opened
+        begins = np.flatnonzero(new)
+        first = int(begins[0]) if len(begins) else len(place)
+        if first:
+            smallest[group] = min(int(smallest[group]), int(ids[mine[:first]].min()))
+        if len(begins):
+            smallest[group + 1 : group + 1 + len(begins)] = np.minimum.reduceat(ids[mine], begins)
+        group += int(opened[-1])
+    for a in range(0, len(many), few):
+        windows = n[a : a + few] - length + 1
+        values = smallest[group_of[bs.spread(at[:-1][a : a + few], windows)]]
+        stretch = np.repeat(np.arange(a, a + len(windows)), windows)
+        first = np.arange(len(stretch)) - np.repeat(np.cumsum(windows) - windows, windows)
+        begins, counts = bs.grouped_pairs(stretch, values)
+        yield many[stretch[begins]], first[begins], counts, values[begins]
+
+
+_FOUND = "kind int, h1 long, h2 long, doc long, rid long, at long, bucket int, packed binary"
 
 
 def _found(kind: int, n: int, **columns) -> pa.RecordBatch:
-    names = ["h1", "h2", "doc", "at", "bucket", "packed"]
-    types = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    names = ["h1", "h2", "doc", "rid", "at", "bucket", "packed"]
+    types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32())] + [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], ["kind", *names])
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Spans packed by their document's bucket; a span is one number, its start and its length."""
-    order = np.lexsort((start, doc))
+def _spans(rid: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Spans packed by their row's bucket; a span is one number, its start and its length."""
+    order = np.lexsort((start, rid))
     value = (start[order].astype(np.uint64) << bs.M(32)) | (end - start)[order].astype(np.uint64)
-    return bs.routed(doc[order], value, buckets)
+    return bs.routed(rid[order], value, buckets)
 
 
 class _Shard:
@@ -295,7 +305,7 @@ class _Shard:
 
 
 def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
-    """What the shards find. kind 0: documents' covered spans, packed by their bucket; 1: a place of a common stretch; 2: a common stretch's runs of smallest ids."""
+    """What the shards find. kind 0: rows' covered spans, packed by their bucket; 1: a place of a common stretch; 2: a common stretch's runs of smallest ids."""
 
     def run(batches):
         import zstandard
@@ -305,13 +315,13 @@ def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
         for batch in batches:
             for n, kind, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
-                    h1, h2, doc, at = bs.unblob(packed, np.int64, np.int64, np.int64, np.int64)
-                    yield _found(1, len(h1), h1=h1, h2=h2, doc=doc, at=at)
+                    h1, h2, doc, rid, at = bs.unblob(packed, np.int64, np.int64, np.int64, np.int64, np.int64)
+                    yield _found(1, len(h1), h1=h1, h2=h2, doc=doc, rid=rid, at=at)
                 else:
                     held.setdefault(n, _Shard()).add(packed, plain)
         for n in sorted(held):
             shard = held.pop(n)
-            h1, h2, least, common, sizes, places, doc, at = map(shard.column, range(8))
+            h1, h2, least, common, sizes, places, doc, rid, at = map(shard.column, range(9))
             at, letters = at.astype(np.int64), shard.letters()
             ends = np.cumsum(sizes.astype(np.int64))
             record = np.repeat(np.arange(len(h1)), places)
@@ -322,10 +332,7 @@ def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
             first = order[begins]
             is_common = np.zeros(len(begins), bool)
             np.logical_or.at(is_common, ident, common.astype(bool))
-            found = []
-            for lo, hi in _portions(h1[first], sizes[first]):
-                part = _least(h1[first[lo:hi]], least[first[lo:hi]], sizes[first[lo:hi]], [letters[ends[k] - sizes[k] : ends[k]] for k in first[lo:hi]], length)
-                found.append((part[0] + lo, *part[1:]))
+            found = list(_least(h1[first], least[first], sizes[first], (ends - sizes)[first], letters, length))
             stretch, lo, windows, smallest = (np.concatenate(x) for x in zip(*found, strict=True))
             by = np.argsort(stretch, kind="stable")
             stretch, lo, windows, smallest = stretch[by], lo[by], windows[by], smallest[by]
@@ -336,7 +343,7 @@ def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
             r = cuts[mine][place] + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
             hit = smallest[r] < doc[place]
             place, r = place[hit], r[hit]
-            sent = _spans(doc[place], at[place] + lo[r], at[place] + lo[r] + windows[r] + length - 1, buckets)
+            sent = _spans(rid[place], at[place] + lo[r], at[place] + lo[r] + windows[r] + length - 1, buckets)
             yield _found(0, sent.num_rows, bucket=sent.column(0), packed=sent.column(1))
             which = np.flatnonzero(is_common)
             if len(which):
@@ -347,16 +354,16 @@ def _sorted(dealt: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def _marked(places: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Spans packed by their document's bucket: windows of common stretches with a smaller id than their document's; places has doc, at, packed."""
+    """Spans packed by their row's bucket: windows of common stretches with a smaller id than their document's; places has doc, rid, at, packed."""
 
     def run(batches):
         for batch in batches:
             ids, starts, ends = [], [], []
-            for doc, at, least in zip(*(batch.column(n).to_pylist() for n in ("doc", "at", "packed")), strict=True):
+            for doc, rid, at, least in zip(*(batch.column(n).to_pylist() for n in ("doc", "rid", "at", "packed")), strict=True):
                 counts, docs = bs.unblob(least, np.int32, np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 for k in np.flatnonzero(docs < doc):
-                    ids.append(doc)
+                    ids.append(rid)
                     starts.append(at + int(bounds[k]))
                     ends.append(at + int(bounds[k + 1]) + length - 1)
             if ids:
@@ -373,62 +380,60 @@ def _joined(packed: bytes | None) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' _id, _text with spans (packed starts and lengths in bytes; they may overlap) and _copy_classes (digests of texts of which the row is a copy)."""
-    buckets = partitions(small_batches(docs.sparkSession))
-    rows = docs.select(F.col(row_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    long_enough = (F.octet_length("_text") >= length) & F.col("_id").isNotNull()
-    keyed = rows.where(long_enough).select("_id", F.sha2("_text", 256).alias("_class"))
+    """docs' _id, _text with spans (packed starts and lengths in bytes; they may overlap) and _copy (whether an equal text has a smaller id)."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(row_id).cast("long").alias("_id"), t.alias("_text"))
+    rows = rows.withColumn("_rid", F.when((F.octet_length("_text") >= length) & F.col("_id").isNotNull(), F.xxhash64("_id", "_text")))
+    long_enough = F.col("_rid").isNotNull()
+    keyed = rows.where(long_enough).select("_id", "_rid", F.octet_length("_text").alias("_n"), F.sha2("_text", 256).alias("_class"))
     # a table of its own, so that the join with all rows of a hot text can be split
-    first = cut(keyed.groupBy("_class").agg(F.min("_id").alias("_first")), "classes")
-    firsts = first.select(F.col("_first").alias("_id")).distinct()
-    texts = rows.where(long_enough).select("_id", F.xxhash64("_text").alias("_key"), "_text")
-    shared = cut(_shared_hashes(texts, buckets, length).join(firsts, "_id", "left_semi"), "shared-hashes")
-    release(docs.sparkSession)
-    met = rows.where(long_enough).join(shared, "_id").select("_id", "_text", "flags")
+    first = cut(keyed.groupBy("_class").agg(F.min(F.struct("_id", "_rid")).alias("_first"), F.max("_n").alias("_n")), "classes")
+    size = first.agg(F.sum("_n")).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+    firsts = first.select(F.col("_first._rid").alias("_rid")).distinct()
+    texts = rows.where(long_enough).select("_rid", F.xxhash64("_text").alias("_key"), "_text")
+    shared = cut(_shared_hashes(texts, buckets, length).join(firsts, "_rid", "left_semi"), "shared-hashes")
+    met = rows.where(long_enough).join(shared, "_rid").select("_id", "_rid", "_text", "flags")
     found = cut(_sorted(_gather(met, buckets, length), buckets, length), "repeats")
-    del met
-    release(docs.sparkSession)
-    places = found.where("kind = 1").select("h1", "h2", "doc", "at").join(found.where("kind = 2").select("h1", "h2", "packed"), ["h1", "h2"])
-    sent = found.where("kind = 0").select("bucket", "packed").union(_marked(places.select("doc", "at", "packed"), length, buckets))
+    drop(shared)
+    places = found.where("kind = 1").select("h1", "h2", "doc", "rid", "at").join(found.where("kind = 2").select("h1", "h2", "packed"), ["h1", "h2"])
+    sent = found.where("kind = 0").select("bucket", "packed").union(_marked(places.select("doc", "rid", "at", "packed"), length, buckets))
     spans = _by_document(sent, buckets, np.uint64, "spans")
-    copies = keyed.join(first, "_class").where(F.col("_id") > F.col("_first")).groupBy("_id").agg(F.collect_set("_class").alias("_copy_classes"))
-    marks = cut(spans.join(copies, "_id", "full"), "marks")
-    return rows.join(marks, "_id", "left")
+    copies = keyed.join(first, "_class").where(F.col("_id") > F.col("_first._id")).select("_rid").distinct().withColumn("_copy", F.lit(True))
+    marks = cut(spans.join(copies, "_rid", "full"), "marks")
+    drop(found, first)
+    return rows.join(marks, "_rid", "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id", text: str = "text", kept: bool = True) -> DataFrame:
     """row_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (the remaining bytes, binary)."""
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, max(1, batch.num_rows), 500):
-                few = batch.slice(k, 500)
-                out = []
-                for t, spans, classes in zip(*(few.column(n).to_pylist() for n in ("_text", "spans", "_copy_classes")), strict=True):
-                    data = t.encode("utf-8", "surrogatepass")
-                    whole = bool(classes) and hashlib.sha256(data).hexdigest() in classes
-                    if whole:
-                        out.append((len(data), len(data), 1, hashlib.sha256(b"").hexdigest(), b""))
+        for few in fewer(batches):
+            out = []
+            for t, spans, copy in zip(*(few.column(n).to_pylist() for n in ("_text", "spans", "_copy")), strict=True):
+                data = t.encode("utf-8", "surrogatepass")
+                if copy:
+                    out.append((len(data), len(data), 1, hashlib.sha256(b"").hexdigest(), b""))
+                    continue
+                left, removed, n, at, last = [], 0, 0, 0, -1
+                for a, b in _joined(spans):
+                    if b <= last:
                         continue
-                    left, removed, n, at, last = [], 0, 0, 0, -1
-                    for a, b in _joined(spans):
-                        if b <= last or b > len(data):
-                            continue
-                        if a > last:
-                            n += 1
-                            left.append(data[at:a])
-                            removed += b - a
-                        else:
-                            removed += b - last
-                        at = last = b
-                    left.append(data[at:])
-                    rest = b"".join(left)
-                    out.append((len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                arrays = [few.column(0)] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays[: 5 + kept], ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept])
+                    if a > last:
+                        n += 1
+                        left.append(data[at:a])
+                        removed += b - a
+                    else:
+                        removed += b - last
+                    at = last = b
+                left.append(data[at:])
+                rest = b"".join(left)
+                out.append((len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            arrays = [few.column(0)] + [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays[: 5 + kept], ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept])
 
     found = repeated_spans(docs, length, row_id, text)
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
-    return found.select("_id", "_text", "spans", "_copy_classes").mapInArrow(run, schema).withColumnRenamed("_id", row_id)
+    return found.select("_id", "_text", "spans", "_copy").mapInArrow(run, schema).withColumnRenamed("_id", row_id)
