@@ -57,6 +57,14 @@ def test_packing_of_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), contracts.tokenizer()).count() == 0
 
 
+def test_packing_joins_counts_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_PARTS", 0)
+    rows = [(k, "word " * (k % 700)) for k in range(900)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), contracts.tokenizer()).collect()
+    got, want, padding = check_pieces(found, [t for _, t in rows])
+    assert got == want and padding < 1024
+
+
 def test_special_token_strings_are_text(spark):
     df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     assert 50256 not in np.frombuffer(bytes(packing.pack(df, contracts.tokenizer()).first().ids), "<u4")
@@ -187,7 +195,7 @@ def near_copies(rng, n, words, edits):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("heavy", [2, 24])
+@pytest.mark.parametrize("heavy", [(2,), (6, 12, 24, 48)])
 def test_jaccard_against_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
     rng = random.Random(1)
@@ -200,6 +208,54 @@ def test_jaccard_against_brute_force(spark, monkeypatch, heavy):
     assert got == brute_components(rows)
 
 
+def test_texts_that_share_an_id_are_sets_of_their_own(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "pq")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (9, "alone among all of these")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (9, 1, 9)])
+
+
+class Plan:
+    """Stands for a DataFrame: gives back the function that would run in a task."""
+
+    def select(self, *a):
+        return self
+
+    def mapInArrow(self, f, schema):
+        return f
+
+
+def test_uncertain_sets_meet_by_their_smallest_elements(monkeypatch):
+    """With no deletion signature at all, and no certainty, linked sets share a signature, and it is an element's."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "deletion_signatures", lambda v, b: (np.zeros(0, np.uint64), False))
+    rng = np.random.default_rng(4)
+    for n in (30, 90, 300):
+        for _ in range(30):
+            x = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.sort(np.concatenate([x[rng.permutation(n)[: n - n // 14]], rng.integers(0, 1 << 63, n // 14).astype(np.uint64)]))
+            assert 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y))
+            band = sorted(set(jaccard.bands(len(x))) & set(jaccard.bands(len(y))))
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([x.tobytes(), y.tobytes()], pa.binary()), pa.array([band, band], pa.list_(pa.int32()))], ["rid", "s", "bands"])
+            out = next(iter(jaccard._deleted(Plan())([batch])))
+            sigs = {k: {s for s, r in zip(*(c.to_pylist() for c in out.columns), strict=True) if r == k} for k in (1, 2)}
+            assert sigs[1] & sigs[2]
+
+
+def test_far_parts_of_a_cluster_are_compared(spark, monkeypatch):
+    """A chain: neighbours are linked, ends are not; blocks of few sets, so that tiles of one cluster are many."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard, "HEAVY", (2,))
+    rng = random.Random(5)
+    words, rows = [f"c{k}" for k in range(120)], []
+    for d in range(60):
+        rows += [(3 * d + k, " ".join(words[: len(words) - k])) for k in range(3)]
+        words = words[2:] + [f"n{rng.randint(0, 10**9)}" for _ in range(2)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == brute_components(rows)
+
+
 def test_jaccard_of_odd_rows(spark, odd):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(odd).collect()), key=key)

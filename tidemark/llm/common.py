@@ -110,13 +110,3 @@ def fewer(batches, rows: int = 500):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-
-
-def release(spark: SparkSession) -> None:
-    """Nothing to do: cut lets shuffle files go."""
-
-
-def small_batches(spark: SparkSession) -> SparkSession:
-    """The session, set to hand texts to Python in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark

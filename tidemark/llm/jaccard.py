@@ -11,20 +11,27 @@ class of equal sets and its component of links.
    their size band. Hashing splits the universe into more than H segments for
    each band, so linked sets agree in some whole segment. Each non-empty segment
    is a signature; small bands use single shingles as segments.
-3. Allocation by cost. A signature that more than HEAVY sets share is costly and
-   skipped. A set whose spare segments outnumber its skipped ones finds its
-   partners by the rest. The others (mostly members of large near-copy groups)
-   are indexed again by one-deletion neighbourhoods: in half as many segments,
-   linked sets differ by at most one element in one of them.
-4. Links. In each signature group all members are verified exactly against one;
-   afterwards only members of different components still need a look, so a
-   group of near copies costs its size, not its square. Components come from
-   rounds of minimum labels over verified links, on the cluster.
+3. Allocation by cost. A signature that many sets share is costly and skipped;
+   the bound is the one with the least estimated cost, from the lists' lengths.
+   A set whose spare segments outnumber its skipped ones finds its partners by
+   the rest. The others (mostly members of large near-copy groups) are indexed
+   again by one-deletion neighbourhoods: in half as many segments, linked sets
+   differ by at most one element in one of them. That is certain if one of the
+   two has segments of two elements and more to spare; a set that has not also
+   gets the smallest of its elements (prefix filter) as signatures, so two such
+   sets meet there.
+4. Links. All pairs of short lists are verified exactly. Of long lists, each set
+   is first verified against one other; what that leaves in several components
+   is compared in tiles, all but pairs within a cluster's largest component, so
+   a group of near copies costs its size where most resemble one of them.
+   Components come from rounds of minimum labels over verified links, on the
+   cluster.
 
 Defined results: null, empty and wordless texts have size 0 and are their own
 component; a row with a null id takes part, and its component is the smallest id
-in it, if any; repeated rows share a class; an empty table gives an empty
-result; extra columns are not read. Texts are processed whole.
+in it, if any; repeated rows share a class; rows of one id with different texts
+are sets of their own; an empty table gives an empty result; extra columns,
+whatever their names, are not read. Texts are processed whole.
 """
 
 from __future__ import annotations
@@ -35,13 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import cut, partitions, release, small_batches
+from .common import cut, drop, partitions
 
 SHINGLE, NUM, DEN = 5, 3, 4
 #: Share of the hash range that the screen counts; sets of this size or less have single shingles as segments.
 SCREEN, SMALL = 0.45, 64
-#: A signature that more sets share is skipped where its sets can afford that.
-HEAVY = 24
+#: Bounds among which the one with the least cost is chosen: a signature that more sets share is skipped where its sets can afford that.
+HEAVY = (6, 12, 24, 48)
+#: Estimated costs: of a pair that is met in a list, and of an entry in the index of one-deletion neighbourhoods, in the same unit.
+PAIR_COST, ENTRY_COST = 1.0, 1.5
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -285,6 +294,11 @@ def deletion_signatures(v: np.ndarray, b: int) -> tuple[np.ndarray, bool]:
     return np.unique(out), int((sizes >= 2).sum()) - difference(n, b) // 2 >= 1
 
 
+def prefix_signatures(v: np.ndarray, b: int) -> np.ndarray:
+    """The smallest elements in band b's order: linked sets share one of them, whatever their segments look like."""
+    return bs.mix(np.sort(_salted(v, b))[: len(v) - -(-len(v) * NUM // DEN) + 1] ^ bs.C1)
+
+
 def _signed(sets: DataFrame, buckets: int) -> DataFrame:
     """Records for the index: (bucket, kind, packed). kind 0: rows, counts, signatures; 1: rows, bands, spare signatures."""
 
@@ -322,9 +336,10 @@ GROUPS = "kind int, gid long, members array<long>, rid long, value long, bucket
 _FIELDS = ["kind", "gid", "members", "rid", "value", "bucket", "packed"]
 
 
-def _grouped(signed: DataFrame, buckets: int, heavy: int) -> DataFrame:
-    """What the index's buckets say. kind 0: a group of members (at most `heavy`), once for each distinct group of the bucket;
-    1: how many signatures in heavy lists rows have (routed); 2: rid and band (gid) have `value` signatures for certain."""
+def _grouped(signed: DataFrame, buckets: int, bounds: tuple[int, ...]) -> DataFrame:
+    """What the index's buckets say. kind 0: a group of members (at most the greatest bound), once for each distinct group of the bucket,
+    with its length (value); 1: how many signatures rows have in lists beyond each bound (routed, one number for all bounds);
+    2: rid and band (gid) have `value` signatures for certain."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -344,18 +359,49 @@ def _grouped(signed: DataFrame, buckets: int, heavy: int) -> DataFrame:
             keep = np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1])])
             r, x = r[keep], x[keep]
             begins, sizes = bs.grouped(x)
-            light = (sizes > 1) & (sizes <= heavy)
+            light = (sizes > 1) & (sizes <= bounds[-1])
             yield from _groups(r, begins[light], sizes[light])
-            heavies = r[np.repeat(sizes > heavy, sizes)]
-            if len(heavies):
-                # which bands a skipped signature counts for is not told apart: it counts for all of a set's bands
-                rid, times = np.unique(heavies, return_counts=True)
-                sent = bs.routed(rid, times.astype(np.int64), buckets)
+            # which bands a skipped signature counts for is not told apart: it counts for all of a set's bands
+            rid, where = np.unique(r[np.repeat(sizes > bounds[0], sizes)], return_inverse=True)
+            if len(rid):
+                long = np.repeat(sizes, sizes)[np.repeat(sizes > bounds[0], sizes)]
+                times = np.stack([np.bincount(where[long > bound], minlength=len(rid)) for bound in bounds], axis=1)
+                sent = bs.routed(rid, times.astype(np.int32), buckets)
                 yield _record(1, sent.num_rows, bucket=sent.column(0), packed=sent.column(1))
 
     return signed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, GROUPS)
 
 
+def _skips(found: DataFrame, buckets: int, bounds: tuple[int, ...]) -> DataFrame:
+    """rid, skips: for each bound, how many signatures a set has in longer lists."""
+    kind = np.dtype((np.int32, (len(bounds),)))
+
+    def run(batches):
+        held: list[bytes] = []
+        for batch in batches:
+            held += batch.column(1).to_pylist()
+        r, v = bs.unrouted(held, kind)
+        at, _ = bs.grouped(r)
+        sums = np.add.reduceat(v, at, axis=0) if len(at) else v
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(bounds), pa.int32()), pa.array(sums.astype(np.int32).ravel(), pa.int32()))
+        yield _batch([r[at], lists], ["rid", "skips"])
+
+    sent = found.where("kind = 1").select("bucket", "packed")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "rid long, skips array<int>")
+
+
+def _cheapest(found: DataFrame, spare: DataFrame, bounds: tuple[int, ...]) -> int:
+    """The place of the bound with the least estimated cost: pairs of the lists that are kept, and index entries of the sets that skipping leaves unsure.
+
+    found: the index's records; spare: rid, n, sure, skips of sets and bands.
+    """
+    lists = found.where("kind = 0").groupBy("gid").agg(F.max("value").cast("double").alias("g"))
+    pairs = lists.agg(*(F.sum(F.when(F.col("g") <= h, F.col("g") * (F.col("g") - 1) / 2)) for h in bounds)).first()
+    entries = spare.agg(*(F.sum(F.when(F.col("sure") - F.get("skips", F.lit(k)) < 1, F.col("n").cast("double"))) for k in range(len(bounds)))).first()
+    costs = [PAIR_COST * (p or 0) + ENTRY_COST * (e or 0) for p, e in zip(pairs, entries, strict=True)]
+    return costs.index(min(costs))
+
+
 def _groups(r: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
     """Distinct groups of members as records of kind 0; gid is a hash of the member list."""
     if not len(begins):
@@ -366,12 +412,12 @@ def _groups(r: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
     begins, sizes, gid = begins[at], sizes[at], gid[at]
     flat = np.repeat(begins - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(r[flat]))
-    yield _record(0, len(begins), gid=gid.view(np.int64), members=lists)
+    yield _record(0, len(begins), gid=gid.view(np.int64), members=lists, value=sizes.astype(np.int64))
 
 
 def _record(kind: int, n: int, **columns) -> pa.RecordBatch:
     types = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    made = [columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(_FIELDS[1:], types, strict=True)]
+    made = [pa.array(columns[c], t) if isinstance(columns.get(c), np.ndarray) else columns[c] if c in columns else pa.nulls(n, t) for c, t in zip(_FIELDS[1:], types, strict=True)]
     return _batch([pa.array([kind] * n, pa.int32()), *made], _FIELDS)
 
 
@@ -384,7 +430,9 @@ def _deleted(sets: DataFrame) -> DataFrame:
             for rid, s, which in zip(*(batch.column(n).to_pylist() for n in ("rid", "s", "bands")), strict=True):
                 v = np.frombuffer(s, np.uint64)
                 for b in which:
-                    made, _ = deletion_signatures(v, b)
+                    made, sure = deletion_signatures(v, b)
+                    if not sure:
+                        made = np.concatenate([made, prefix_signatures(v, b)])
                     rows.append(np.full(len(made), rid, np.int64))
                     sigs.append(made.view(np.int64))
             if rows:
@@ -439,6 +487,17 @@ def _contracted(links: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long")
 
 
+#: A look-up's answer is repeated so often, so that rows of one hot key are spread over as many tasks.
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, by: str, salt: str) -> DataFrame:
+    """rows joined with a table of few columns on key = by; rows of a hot key are dealt by the column `salt`."""
+    spread = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))).withColumnRenamed(by, "_by")
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, (F.col(key) == F.col("_by")) & (F.col("_deal") == F.col("_salt"))).drop("_by", "_salt", "_deal")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp: each node's smallest reachable node. links has a, b.
 
@@ -450,11 +509,14 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(both.distinct(), "stars")
     labels = both.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "node")
     while True:
-        named = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
-        low = both.join(named, "b").groupBy("a").agg(F.min("c").alias("c"), F.max(F.when(F.col("a") == F.col("b"), F.col("c"))).alias("old"))
-        jump = low.select(F.col("a").alias("c"), F.col("c").alias("comp"))
-        labels = cut(low.join(jump, "c").select(F.col("a").alias("node"), "comp", "old"), "labels")
+        named = labels.select("node", F.col("comp").alias("c"))
+        low = looked_up(both, "b", named, "node", "a").groupBy("a").agg(F.min("c").alias("c"), F.max(F.when(F.col("a") == F.col("b"), F.col("c"))).alias("old"))
+        jump = low.select("a", F.col("c").alias("comp")).withColumnRenamed("a", "to")
+        new = cut(looked_up(low, "c", jump, "to", "a").select(F.col("a").alias("node"), "comp", "old"), "labels")
+        drop(labels)
+        labels = new
         if not labels.where("comp <> old").limit(1).count():
+            drop(both)
             return labels.select("node", "comp")
 
 
@@ -473,11 +535,12 @@ def _pairs(groups: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row_id, n_shingles, class_id (smallest id with the same set), component_id, n_links (verified links of the class that were needed)."""
+    """row_id, n_shingles, class_id (smallest id with the same set), component_id, n_links (links of the class that hold its component together)."""
     spark = docs.sparkSession
-    buckets = partitions(small_batches(spark))
+    buckets = partitions(spark)
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(row_id).cast("long"), F.xxhash64(t)).alias("rid"), F.col(row_id).cast("long").alias("doc"), t.alias("_text"))
+    # a row is told by its id and its text: two texts may have one id
+    rows = docs.select(F.col(row_id).cast("long").alias("doc"), t.alias("_text")).select(F.xxhash64("doc", "_text").alias("rid"), "doc", "_text")
     sizes = cut(sized(rows, width), "sets")
     classes = cut(sizes.where(F.col("n") > 0).groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep"), F.min("doc").alias("doc"), F.max("x").alias("x")), "classes")
     counts = shared_counts(rows.select("rid", "_text"), buckets, width)
@@ -485,34 +548,35 @@ def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: st
     # sets of one or two shingles link with equal ones only
     near = classes.where(F.col("n") > 2).join(counts, F.col("rep") == F.col("rid"), "left").where(F.coalesce("shared", F.lit(0)) >= least)
     near = cut(near.select(F.col("rep").alias("rid"), "k1", "k2"), "near")
-    release(spark)
     # a merge at every size: this list grows with the corpus
     met = rows.select("rid", "_text").join(near.hint("merge"), "rid").select("rid", "k1", "k2", "_text")
-    sets = cut(sets_of(met, width).dropDuplicates(["rid"]), "screened")
-    release(spark)
+    screened = cut(sets_of(met, width).dropDuplicates(["rid"]), "screened")
     # once more among the sets left, with all shingles: a set may have a quarter that no other has
-    again = shared_in_sets(sets, buckets)
-    sets = cut(sets.join(again, "rid").where(F.col("shared") >= F.col("n") - F.floor(F.col("n") * (DEN - NUM) / DEN)).select("rid", "n", (F.col("n") - F.col("shared")).alias("lone"), "s"), "sets")
-    release(spark)
+    again = shared_in_sets(screened, buckets)
+    sets = cut(screened.join(again, "rid").where(F.col("shared") >= F.col("n") - F.floor(F.col("n") * (DEN - NUM) / DEN)).select("rid", "n", (F.col("n") - F.col("shared")).alias("lone"), "s"), "sets")
+    drop(near, screened)
     found = cut(_grouped(_signed(sets, buckets), buckets, HEAVY), "groups")
-    groups = found.where("kind = 0").select("gid", "members")
-    skipped = summed(found.where("kind = 1").select("bucket", "packed"), buckets).withColumnRenamed("value", "skipped")
-    sure = found.where("kind = 2").select("rid", F.col("gid").cast("int").alias("band"), F.col("value").alias("sure"))
-    unsure = sure.join(skipped, "rid", "left").where(F.col("sure") - F.coalesce("skipped", F.lit(0)) < 1)
-    unsure = unsure.groupBy("rid").agg(F.collect_list("band").alias("bands"))
+    none = F.array(*(F.lit(0) for _ in HEAVY))
+    spare = found.where("kind = 2").select("rid", F.col("gid").cast("int").alias("band"), F.col("value").alias("sure")).join(sets.select("rid", "n"), "rid")
+    spare = cut(spare.join(_skips(found, buckets, HEAVY), "rid", "left").withColumn("skips", F.coalesce("skips", none)), "spare")
+    chosen = _cheapest(found, spare, HEAVY)
+    groups = found.where((F.col("kind") == 0) & (F.col("value") <= HEAVY[chosen])).select("gid", "members")
+    unsure = spare.where(F.col("sure") - F.get("skips", F.lit(chosen)) < 1).groupBy("rid").agg(F.collect_list("band").alias("bands"))
     entries = _deleted(sets.join(unsure, "rid"))
     shared = entries.groupBy("sig").agg(F.count("*").alias("_n"), F.min("rid").alias("_first")).where("_n > 1")
     entries = cut(entries.join(shared, "sig").select("sig", "rid", F.col("_first").alias("first")), "deletions")
     links = _linked(groups, entries, sets)
+    drop(found, spare, entries, sets)
     labels = components(links)
     named = classes.select("k1", "k2", "n", F.col("rep").alias("node"), F.col("doc").alias("class_id")).join(labels, "node", "left")
-    named = named.withColumn("comp", F.coalesce("comp", "node"))
-    named = cut(named, "named")
+    named = cut(named.withColumn("comp", F.coalesce("comp", "node")), "named")
     # tables of their own, so that joins with all rows of a hot component or class can be split
-    ids = cut(named.groupBy("comp").agg(F.min("class_id").alias("component_id")), "component-ids")
-    ends = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "node")
-    named = named.join(ids, "comp").join(ends, "node", "left").select("k1", "k2", "n", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sizes.join(cut(named, "class-components"), ["k1", "k2", "n"], "left")
+    ids = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    ends = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "end")
+    found = looked_up(named, "comp", ids, "comp", "node").join(ends, F.col("node") == F.col("end"), "left").select("k1", "k2", "n", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = cut(found, "class-components")
+    drop(named, classes, links)
+    out = sizes.join(found, ["k1", "k2", "n"], "left")
     return out.select(F.col("doc").alias(row_id), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -523,32 +587,52 @@ BLOCK_BYTES, BLOCK_SETS = 1 << 20, 512
 def _linked(groups: DataFrame, entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified links (a, b) that join all components.
 
-    groups: member lists of at most HEAVY, whose pairs are compared one by one.
-    entries: one-deletion lists (sig, rid, first) of any length, whose sets are
-    compared in tiles.
+    groups: short member lists, whose pairs are compared one by one. entries:
+    one-deletion lists (sig, rid, first) of any length, whose sets are compared
+    in tiles.
     """
     pairs = cut(_pairs(groups, sets.select("rid", "n", "lone")), "pairs")
-    short = verified(pairs, sets).where("linked").select("a", "b")
-    return cut(short.union(_tiled(entries, sets)).distinct(), "links")
+    # of the long lists, each set with the first one of the list that most of its signatures name
+    times = entries.where("rid <> first").groupBy("rid", "first").count().groupBy("rid").agg(F.max(F.struct("count", F.col("first").alias("to"))).alias("m"))
+    stars = times.select(F.greatest("rid", "m.to").alias("b"), F.least("rid", "m.to").alias("a"))
+    known = cut(verified(pairs.union(stars.select("a", "b")).distinct(), sets).where("linked").select("a", "b"), "known-links")
+    out = cut(known.union(_tiled(entries, sets, known)).distinct(), "links")
+    drop(pairs, known)
+    return out
 
 
-def _tiled(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links a, b between sets that one-deletion lists bring together, as many as join their components.
+def _tiled(entries: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Links a, b between sets that one-deletion lists bring together, as many as join the components that known links leave apart.
 
-    Lists that share sets form clusters. A cluster's sets are dealt into blocks
-    of bounded bytes, and each pair of blocks is a tile: a product of two
-    incidence matrices gives all common counts, and only links that join two
-    components leave the tile.
+    Lists that share sets form clusters. Where known links already make one
+    component of a cluster, there is nothing to compare. Elsewhere the cluster's
+    largest component and its other sets are dealt into blocks of bounded bytes,
+    and each pair of blocks, but for two of the largest component, is a tile: a
+    product of two incidence matrices gives all common counts, and only links
+    that join two components leave the tile.
     """
     bound = entries.select(F.col("rid").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     clusters = components(bound).select(F.col("node").alias("rid"), F.col("comp").alias("cluster"))
-    docs = cut(clusters.join(sets.select("rid", "s"), "rid").select("cluster", "rid", "s"), "tile-sets")
-    size = docs.groupBy("cluster").agg(F.greatest(F.ceil(F.sum(F.octet_length("s")) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    placed = docs.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    blocks = placed.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("rid", "s")).alias("rows"))
-    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rows")
-    tiles = keyed.groupBy("cluster", "i", "j").agg(F.collect_list("rows").alias("rows")).select("rows")
+    comps = components(known).select(F.col("node").alias("rid"), "comp")
+    placed = cut(clusters.join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), "clusters")
+    sizes = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    apart = sizes.where("parts > 1").select("cluster", "main")
+    docs = looked_up(placed, "cluster", apart.withColumnRenamed("cluster", "of"), "of", "rid").withColumn("main", F.col("comp") == F.col("main"))
+    docs = cut(docs.join(sets.select("rid", "s"), "rid").select("cluster", "main", "rid", "s"), "tile-sets")
+    drop(placed)
+    count = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.octet_length("s"))) / BLOCK_BYTES), F.ceil(F.sum(which.cast("int")) / BLOCK_SETS)).cast("int")
+    size = cut(docs.groupBy("cluster").agg(count(F.col("main")).alias("mains"), count(~F.col("main")).alias("others")), "cluster-blocks")
+    dealt = looked_up(docs, "cluster", size.withColumnRenamed("cluster", "of"), "of", "rid")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    blocks = dealt.groupBy("cluster", "main", "block", "mains", "others").agg(F.collect_list(F.struct("rid", "s")).alias("rows"))
+    # tiles are named by the other sets' block and its partner: (i, false, j) with i <= j, or (i, true, block of the largest component)
+    number = lambda n: F.sequence(F.lit(0), n - 1)
+    tile = lambda i, main, j: F.struct(i.alias("i"), main.alias("with"), j.alias("j"))
+    mine = F.col("block")
+    of_main = F.transform(number(F.col("others")), lambda i: tile(i, F.lit(True), mine))
+    of_other = F.concat(F.transform(number(F.col("others")), lambda k: tile(F.least(mine, k), F.lit(False), F.greatest(mine, k))), F.transform(number(F.col("mains")), lambda j: tile(mine, F.lit(True), j)))
+    keyed = blocks.select("cluster", F.explode(F.when(F.col("main"), of_main).otherwise(of_other)).alias("tile"), "rows")
+    tiles = keyed.groupBy("cluster", "tile").agg(F.collect_list("rows").alias("rows")).select("rows")
 
     def run(batches):
         for batch in batches:

@@ -2,15 +2,18 @@
 
 Documents become token ids, are cut into whole windows and one rest each, and
 the histogram of rest lengths (at most window - 1 numbers, whatever the input)
-is packed: shallow combinations of up to three lengths that fill the window
+is packed: all combinations of two and three lengths that fill the window
 exactly are enumerated, their repeat counts are solved against the histogram by
-non-negative least squares, rounded down, and what is left is packed greedily
-end to end, cut where a window is full. Rows find their places by their rank in
-their length, so assignment is distributed and needs no driver loop.
-
-Defined results: a null or empty text is the single end id; repeated rows are
-packed each; null doc_ids are kept; an empty table gives no pieces; other
-columns of the input are not read.
+non-negative least squares, rounded to the nearest number that the rests left
+allow, and what is left is packed greedily end to end, cut where a window is
+full. Rows find their places by their rank in their length, so assignment is
+distributed and needs no driver loop.
+
+Defined results: a null or empty text is the single end id; a text of any length
+is whole windows and a rest; equal lengths (ties) and repeated rows take places
+by the order in which their task reads them; null doc_ids are kept; an empty
+table gives no pieces; other columns of the input, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, fewer
 
 WINDOW = 1024
 _ENCODERS: dict = {}
@@ -69,16 +72,16 @@ def encoder(json_path: str):
     return _ENCODERS[json_path]
 
 
-def combinations(window: int = WINDOW, third_step: int = 16) -> list[tuple[int, ...]]:
-    """Pairs that fill the window exactly, and triples whose smallest length is a multiple of third_step; longest first."""
+def combinations(window: int = WINDOW) -> list[tuple[int, ...]]:
+    """All pairs and triples of lengths that fill the window exactly, pairs first."""
     found = [(window - a, a) for a in range(1, window // 2 + 1)]
-    for c in range(third_step, window // 3 + 1, third_step):
+    for c in range(1, window // 3 + 1):
         found += [(window - b - c, b, c) for b in range(c, (window - c) // 2 + 1)]
     return found
 
 
 def solve(histogram: np.ndarray, combos: list[tuple[int, ...]], rounds: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - histogram|: projected gradient steps with momentum, then rounded down within what is there."""
+    """Repeat counts x >= 0 that minimise |A x - histogram|: projected gradient steps with momentum, then rounded within what is there."""
     if not combos or not histogram.sum():
         return np.zeros(len(combos), dtype=np.int64)
     rows = np.concatenate([np.asarray(c) for c in combos])
@@ -141,24 +144,22 @@ def tokenized(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id
 
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer_path)
         seen, wholes = np.zeros(window, dtype=np.int64), 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                few = batch.slice(k, 500)
-                tokens, rests, nth, whole, blobs = [], [], [], [], []
-                for t in few.column(1).to_pylist():
-                    found = encode(t) if t else []
-                    found.append(end_id)
-                    a = np.asarray(found, dtype="<u4")
-                    blobs.append((a.astype("<u2") if a.max() < 1 << 16 else a).tobytes())
-                    n, rest = divmod(len(found), window)
-                    tokens.append(len(found))
-                    rests.append(rest)
-                    nth.append(int(seen[rest]))
-                    whole.append(wholes)
-                    seen[rest] += 1
-                    wholes += n
-                columns = [few.column(0), pa.array([part] * len(tokens), pa.int32()), pa.array(tokens, pa.int64()), pa.array(rests, pa.int32()), pa.array(nth, pa.int64()), pa.array(whole, pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "part", "tokens", "rest", "nth", "whole", "ids"])
+        for few in fewer(batches):
+            tokens, rests, nth, whole, blobs = [], [], [], [], []
+            for t in few.column(1).to_pylist():
+                found = encode(t) if t else []
+                found.append(end_id)
+                a = np.asarray(found, dtype="<u4")
+                blobs.append((a.astype("<u2") if a.max() < 1 << 16 else a).tobytes())
+                n, rest = divmod(len(found), window)
+                tokens.append(len(found))
+                rests.append(rest)
+                nth.append(int(seen[rest]))
+                whole.append(wholes)
+                seen[rest] += 1
+                wholes += n
+            columns = [few.column(0), pa.array([part] * len(tokens), pa.int32()), pa.array(tokens, pa.int64()), pa.array(rests, pa.int32()), pa.array(nth, pa.int64()), pa.array(whole, pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "part", "tokens", "rest", "nth", "whole", "ids"])
 
     few = docs.select(F.col(row_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     return few.mapInArrow(run, "_id long, part int, tokens long, rest int, nth long, whole long, ids binary")
@@ -175,7 +176,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     by counting: each task has numbered its rests by length, and the counts of
     the tasks before it are added.
     """
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     made = cut(tokenized(docs, tokenizer_path, window, end_id, row_id, text), "tokens")
     counts = made.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("tokens") / window)).alias("wholes"))
     counts = cut(counts, "token-counts")
@@ -199,33 +200,31 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         p = given.value
         ends = np.searchsorted(p["length"], np.arange(window + 1))
         head = int(p["sequences"][0])
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                docs_, out = batch.slice(k, 500).to_pylist(), []
-                for r in docs_:
-                    tokens, rest, blob = r["tokens"], r["rest"], r["ids"]
-                    held = np.frombuffer(blob, "<u2" if len(blob) == 2 * tokens else "<u4").astype("<u4")
-                    n = tokens // window
-                    pieces = [(j * window, window, first_whole + r["first_whole"] + r["whole"] + j, 0) for j in range(n)]
-                    start, rank = n * window, r["first"] + r["nth"]
-                    if rest and rank < p["used"][rest]:
-                        a, b = ends[rest], ends[rest + 1]
-                        i = a + int(np.searchsorted(p["lo"][a:b], rank, side="right")) - 1
-                        pieces.append((start, rest, int(p["sequence"][i] + rank - p["lo"][i]), int(p["offset"][i])))
-                    elif rest:
-                        position = int(p["starts"][rest] + (rank - p["used"][rest]) * rest)
-                        while rest:
-                            sequence, offset = divmod(position, window)
-                            length = min(rest, window - offset)
-                            pieces.append((start, length, head + sequence, offset))
-                            start, position, rest = start + length, position + length, rest - length
-                    for at, length, sequence, offset in pieces:
-                        piece = held[at : at + length].tobytes()
-                        out.append((r["_id"], at, length, zlib.crc32(piece), tokens, sequence, offset) + ((piece,) if ids else ()))
-                names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * ids
-                kinds = [pa.int64()] * 7 + [pa.binary()] * ids
-                columns = list(zip(*out, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        for few in fewer(batches):
+            out = []
+            for r in few.to_pylist():
+                tokens, rest, blob = r["tokens"], r["rest"], r["ids"]
+                held = np.frombuffer(blob, "<u2" if len(blob) == 2 * tokens else "<u4").astype("<u4")
+                n = tokens // window
+                pieces = [(j * window, window, first_whole + r["first_whole"] + r["whole"] + j, 0) for j in range(n)]
+                start, rank = n * window, r["first"] + r["nth"]
+                if rest and rank < p["used"][rest]:
+                    a, b = ends[rest], ends[rest + 1]
+                    i = a + int(np.searchsorted(p["lo"][a:b], rank, side="right")) - 1
+                    pieces.append((start, rest, int(p["sequence"][i] + rank - p["lo"][i]), int(p["offset"][i])))
+                elif rest:
+                    position = int(p["starts"][rest] + (rank - p["used"][rest]) * rest)
+                    while rest:
+                        sequence, offset = divmod(position, window)
+                        length = min(rest, window - offset)
+                        pieces.append((start, length, head + sequence, offset))
+                        start, position, rest = start + length, position + length, rest - length
+                for at, length, sequence, offset in pieces:
+                    piece = held[at : at + length].tobytes()
+                    out.append((r["_id"], at, length, zlib.crc32(piece), tokens, sequence, offset) + ((piece,) if ids else ()))
+            names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * ids
+            kinds = [pa.int64()] * 7 + [pa.binary()] * ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     joined = made.join(F.broadcast(firsts) if parts <= BROADCAST_PARTS else firsts, ["part", "rest"])
     schema = "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids
