@@ -350,7 +350,7 @@ ORACLES = {
         g AS (SELECT recording_id, key, CAST(sum(n) AS BIGINT) AS total, min(f) AS f, arg_min(surface, (-n, length(surface), surface)) AS term FROM forms GROUP BY ALL)
         SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY total DESC, f, term) AS INT) AS rank, term, total FROM g QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY total DESC, f, term) <= 50""",
     "q22_decoration_lines": f"WITH {_decoration(0.1, 0.2, 100)} SELECT recording_id, line FROM deco",
-    "q23_ocr_row_order": f"""WITH RECURSIVE {v.FRAGMENTS}, f AS (SELECT slide_index, pos, pos * 37 % 101 AS x, pos * 17 % 90 AS y, CAST(length(text) % 5 * 10 + 10 AS DOUBLE) AS h FROM fragments WHERE pos < 12),
+    "q23_ocr_row_order": f"""WITH RECURSIVE {v.FRAGMENTS}, f AS (SELECT slide_index, pos, pos * 37 % 101 AS x, pos * 17 % 90 AS y, CAST(length(text) % 5 * 10 + 10 AS DOUBLE) AS h FROM fragments),
         o AS (SELECT *, row_number() OVER (PARTITION BY slide_index ORDER BY y, x, pos) AS k FROM f),
         r AS (SELECT slide_index, pos, x, k, 0 AS row, y + h / 2 AS mean, 1 AS n, h AS tall FROM o WHERE k = 1
             UNION ALL SELECT slide_index, pos, x, k, CASE WHEN j THEN row ELSE row + 1 END, CASE WHEN j THEN (mean * n + c) / (n + 1) ELSE c END, CASE WHEN j THEN n + 1 ELSE 1 END, CASE WHEN j THEN greatest(tall, h) ELSE h END FROM (
@@ -405,7 +405,7 @@ ORACLES = {
         SELECT recording_id, CAST(row_number() OVER w - 1 AS INT) AS piece, CAST(start AS DOUBLE) AS start, CAST(coalesce(lead(start) OVER w, stop) AS DOUBLE) AS "end", present, CAST(width AS INT) AS width
         FROM y JOIN e USING (recording_id) WINDOW w AS (PARTITION BY recording_id ORDER BY start)""",
     "q50_line_keys": f"WITH {v.FRAGMENTS} SELECT slide_index, pos, {_LINE} AS line, {_NORM.format('text')} AS normalized FROM fragments",
-    "q51_fragment_markdown": "WITH " + v.FRAGMENTS + ", e AS (SELECT slide_index, pos, " + _ESC.replace("html", "trim(text)") + """ || CASE WHEN confidence < 0.6 THEN ' _(?)_' ELSE '' END AS x FROM fragments WHERE pos < 5)
+    "q51_fragment_markdown": "WITH " + v.FRAGMENTS + ", e AS (SELECT slide_index, pos, " + _ESC.replace("html", "trim(text)") + """ || CASE WHEN confidence < 0.6 THEN ' _(?)_' ELSE '' END AS x FROM fragments)
         SELECT slide_index, string_agg(x, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) || '![Slide](img%20' || slide_index || '%20%281%29.png)' AS markdown FROM e GROUP BY slide_index""",
     "q52_term_keys": f"SELECT r_regionkey, word, {_sql_key('word')} AS key FROM region, (SELECT unnest(string_split('уравнение уравнений уравнениями корень корни корней точка точками предел пределов синуса ёлка ёлки Виета день квадратный квадратного', ' ')) AS word)",
 }
