@@ -41,6 +41,6 @@ def test_letters_of_a_shard_lie_on_disk(spark):
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
-    ids, spans = bs.unrouted([x for b in out for x in b.column(6).to_pylist()], np.uint64)
+    ids, spans = bs.unrouted([x for b in out for x in b.column("packed").to_pylist()], np.uint64)
     assert ids.tolist() == [11] and (int(spans[0]) >> 32, int(spans[0]) & 0xFFFFFFFF) == (5, 100)
     assert peak < 12 << 20

@@ -10,6 +10,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401 makes pa.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,3 +111,14 @@ def fewer(batches, rows: int = 500):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+#: A look-up's answer is repeated so often, so that rows of one hot key are spread over as many tasks.
+SALTS = 16
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, by: str, *salt: str) -> DataFrame:
+    """rows joined with a small-rowed table on key = by; rows of a hot key are dealt by the columns `salt`."""
+    spread = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))).withColumnRenamed(by, "_by")
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, (F.col(key) == F.col("_by")) & (F.col("_deal") == F.col("_salt"))).drop("_by", "_salt", "_deal")

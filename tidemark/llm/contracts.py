@@ -16,8 +16,8 @@ def tokenizer() -> str:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratios = secrets.train(secrets.samples(spark))
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.samples(docs)))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans.listed(F.col("base_spans"), secrets.KINDS), 256).alias("base_sha256"), spans.listed(F.col("spans"), secrets.KINDS).alias("spans"))
 
 
@@ -45,7 +45,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(table(spark, sf_dir, "conversations"))
+    found = chat.dialogues(chat.rotate(table(spark, sf_dir, "conversations")))
+    masks = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.withColumn("masks", masks)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,18 +111,18 @@ ORACLES = {
         FROM h LEFT JOIN t USING (doc_id)
     """,
     "op6_chat_formatting": """
-        WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content FROM conversations),
+        WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<\\|') AS content FROM conversations),
         v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'),
         m AS (
             SELECT r.conv_id, perspective, turn, speaker, content,
                 CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
             FROM r JOIN v ON r.conv_id IS NOT DISTINCT FROM v.conv_id
-        ), h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM m),
-        s AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM h)
-        SELECT conv_id, perspective, turn, speaker, role, segment,
-            CAST(CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS INT) AS mask_start,
-            CAST(CASE WHEN role = 'assistant' THEN length(segment) ELSE 0 END AS INT) AS mask_end, role = 'assistant' AS trained
-        FROM s
+        ), h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '[^\\p{L}\\p{N}_.-]', '_', 'g') ELSE '' END || chr(10) AS head FROM m),
+        s AS (SELECT *, turn // 256 AS part, head || content || '<|im_end|>' || chr(10) AS segment FROM h),
+        p AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, segment ROWS UNBOUNDED PRECEDING) AS stop FROM s)
+        SELECT conv_id, perspective, part, CAST(count(*) AS INT) AS turns, string_agg(segment, '' ORDER BY stop) AS text,
+            coalesce(string_agg((stop - length(segment) + length(head)) || ':' || stop, ',' ORDER BY stop) FILTER (role = 'assistant'), '') AS masks
+        FROM p GROUP BY conv_id, perspective, part
     """,
     "op9_decontamination": """
         WITH d AS (

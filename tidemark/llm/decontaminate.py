@@ -4,14 +4,14 @@ The benchmark's windows (ten words; all of a shorter item) are a hash set that
 is broadcast when it is small enough, as a benchmark is, and joined by a shuffle
 when it isn't. Places in texts are first screened where they are: a window can
 only begin with two words that some window begins with. Windows at the places
-left are looked up by hash and verified word by word, and hits are gathered for
-each distinct text, so copies of a text cost one look-up.
-Only built-in functions run.
-
-Defined results: null and empty texts have no words and are clean; an item
-without words has no windows; items with the same text count each; repeated
-rows and null ids are answered each; an empty benchmark leaves all texts clean;
-extra columns are kept, but for those named as the results.
+left are looked up by hash and verified word by word, and hits are gathered by
+text, so that copies share one record of hits. Only built-in functions run.
+
+Defined results: null and empty texts have no words and are clean; texts of any
+length are scanned whole; an item without words has no windows; items with the
+same text (ties) count each; repeated rows and null ids are answered each; an
+empty benchmark leaves all texts clean; extra columns are kept, but for those
+named as the results.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SIZE = 10
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bounds within which windows are broadcast, and within which their first words screen places; beyond, windows are joined, and all places are taken.
 BROADCAST_WINDOWS, SCREEN_HEADS = 200_000, 50_000
+#: So many digests of texts with hits at most are broadcast, so that clean texts stay where they are; more are joined by a shuffle.
+BROADCAST_HITS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -110,7 +112,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
     """docs without those that hold a window of the benchmark; columns unchanged."""
     keyed, found = hits(docs, benchmark, size, text)
-    return keyed.join(found.select("_key"), "_key", "left_anti").select("_row.*")
+    gone = found.select("_key")
+    few = found.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    return keyed.join(F.broadcast(gone) if few else gone, "_key", "left_anti").select("_row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:

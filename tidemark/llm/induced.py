@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import heapq
 import tempfile
-from collections import deque
 
 import numpy as np
 
@@ -77,45 +76,114 @@ class Spill:
 
 
 class Queues:
-    """A monotone priority queue of tuples: the least letter first (sign 1) or the greatest (sign -1); first in, first out within a letter."""
+    """A monotone priority queue of tuples: the least letter first (sign 1) or the greatest (sign -1); first in, first out within a letter.
 
-    def __init__(self, sign: int, limit: int):
-        self.sign, self.store, self.letters, self.blocks = sign, Spill(limit), [], {}
+    Letters are kept apart from `width` to `width`; only when the first of them
+    is wanted are a stretch's tuples dealt to the letters. So a wide alphabet
+    costs no queue for each letter.
+    """
+
+    def __init__(self, sign: int, limit: int, width: int = 1):
+        self.sign, self.store, self.width = sign, Spill(limit), width
+        self.letters, self.blocks = [], {}  # of the stretches dealt: letters as a heap, and each one's blocks
+        self.far, self.stretches, self.dealt = {}, [], set()
 
-    def put(self, letter: int, arrays: tuple) -> None:
-        if letter not in self.blocks:
-            self.blocks[letter] = deque()
-            heapq.heappush(self.letters, self.sign * letter)
-        self.blocks[letter].append(self.store.keep(arrays))
+    def _near(self, letters: np.ndarray, arrays: tuple) -> None:
+        for a, b in _cuts(letters):
+            letter = int(letters[a])
+            if letter not in self.blocks:
+                self.blocks[letter] = []
+                heapq.heappush(self.letters, self.sign * letter)
+            self.blocks[letter].append(self.store.keep(tuple(x[a:b] for x in arrays)))
 
     def deal(self, letters: np.ndarray, arrays: tuple) -> None:
         """Tuples, sorted by letter, to their letters' queues."""
         if not len(letters):
             return
-        cuts = (np.flatnonzero(letters[1:] != letters[:-1]) + 1).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(letters)], strict=True):
-            self.put(int(letters[a]), tuple(x[a:b] for x in arrays))
+        if self.width == 1:
+            self._near(letters, arrays)
+            return
+        which = letters // self.width
+        for a, b in _cuts(which):
+            stretch, part = int(which[a]), tuple(x[a:b] for x in arrays)
+            if stretch in self.dealt:
+                self._near(letters[a:b], part)
+                continue
+            if stretch not in self.far:
+                self.far[stretch] = []
+                heapq.heappush(self.stretches, self.sign * stretch)
+            self.far[stretch].append(self.store.keep((letters[a:b], *part)))
 
     def first(self) -> int | None:
+        while self.stretches and (not self.letters or self.stretches[0] <= self.sign * (self.sign * self.letters[0] // self.width)):
+            stretch = self.sign * heapq.heappop(self.stretches)
+            self.dealt.add(stretch)
+            for kept in self.far.pop(stretch):
+                letters, *arrays = self.store.back(kept)
+                by = np.argsort(letters, kind="stable")
+                self._near(letters[by], tuple(x[by] for x in arrays))
         return self.sign * self.letters[0] if self.letters else None
 
     def done(self, letter: int) -> None:
         """The letter, which has no entries left, leaves the queue."""
-        if self.first() == letter and not self.blocks[letter]:
+        if self.letters and self.sign * self.letters[0] == letter and not self.blocks[letter]:
             heapq.heappop(self.letters)
             del self.blocks[letter]
 
     def take(self, letter: int, most: int) -> tuple | None:
         """About `most` tuples of the letter; None if there are none."""
-        held, out, n = self.blocks.get(letter), [], 0
-        while held and n < most:
-            out.append(self.store.back(held.popleft()))
+        held, out, n = self.blocks.get(letter, ()), [], 0
+        while len(out) < len(held) and n < most:
+            out.append(self.store.back(held[len(out)]))
             n += len(out[-1][0])
         if not out:
             return None
+        del held[: len(out)]
         return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+class Stack:
+    """Tuples in the order of their letters, last in, first out, in blocks of a size."""
+
+    def __init__(self, limit: int, block: int):
+        self.store, self.block, self.kept, self.buffer, self.held, self.top_ = Spill(limit), block, [], [], 0, None
+
+    def push(self, letter: int, arrays: tuple) -> None:
+        self.buffer.append((np.full(len(arrays[0]), letter, np.int64 if letter >> 16 else np.uint16), *arrays))
+        self.held += len(arrays[0])
+        if self.held >= self.block:
+            self._flush()
+
+    def _flush(self) -> None:
+        self.kept.append(self.store.keep(tuple(np.concatenate(x) for x in zip(*self.buffer, strict=True))))
+        self.buffer, self.held = [], 0
+
+    def letter(self) -> int | None:
+        """The letter of the tuple that came last; None if there is none."""
+        if self.buffer:
+            self._flush()
+        if self.top_ is None or not len(self.top_[0]):
+            if not self.kept:
+                return None
+            self.top_ = self.store.back(self.kept.pop())
+        return int(self.top_[0][-1])
+
+    def pop(self) -> tuple:
+        """A block of tuples of that letter, the last one first."""
+        letters = self.top_[0]
+        other = np.flatnonzero(letters != letters[-1])
+        a = int(other[-1]) + 1 if len(other) else 0
+        out = tuple(x[a:][::-1] for x in self.top_[1:])
+        self.top_ = tuple(x[:a] for x in self.top_)
+        return out
+
+
+def _cuts(values: np.ndarray):
+    """Begins and ends of runs of equal values."""
+    inner = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()
+    return zip([0, *inner], [*inner, len(values)], strict=True)
+
+
 class Runs:
     """A priority queue that is filled first and emptied then: keys and values in sorted runs, on disk beyond the limit."""
 
@@ -184,14 +252,15 @@ class Sort:
         self.carried = max(1, min(CARRIED, 62 // self.bits))
         self.block = max(64, limit // (4 * _ENTRY))
         self.place = np.int32 if len(text) < 1 << 31 else np.int64
+        #: Letters that a queue keeps together until they are wanted.
+        self.width = 1 if letters < 1024 else -(-letters // 512)
         #: Texts sorted: this one, and those of the recursion.
         self.levels = 1
 
     def descending(self):
         """(positions, prefix values) of all suffixes, greatest first, in blocks; a value tells how many letters a suffix shares with the one given before it."""
         order, links = self._lms_order(self._lms())
-        stacks, store = self._ascend(order, links)
-        yield from self._descend(stacks, store)
+        yield from self._descend(self._ascend(order, links))
 
     # ------------------------------------------------------------- LMS suffixes
 
@@ -354,9 +423,9 @@ class Sort:
         values = scan.values(link, kept, letters)
         return letters, ((at[kept] - 1).astype(self.place), word[kept] >> self.bits, values)
 
-    def _ascend(self, order: np.ndarray, links: np.ndarray):
-        """L-type suffixes from the LMS ones: for each letter, its blocks of (position, letters before, prefix value), ascending."""
-        queue, scan, store, stacks = Queues(1, self.limit // 4), _Scan(self), Spill(self.limit // 4), {}
+    def _ascend(self, order: np.ndarray, links: np.ndarray) -> Stack:
+        """L-type suffixes from the LMS ones: (position, letters before, prefix value), ascending."""
+        queue, scan, large = Queues(1, self.limit // 4, self.width), _Scan(self), Stack(self.limit // 4, self.block)
         m, k = len(order), 0
         while k < m or queue.first() is not None:
             letter = queue.first()
@@ -368,7 +437,7 @@ class Sort:
                 at, word, link = found
                 at = at.astype(np.int64)
                 last = int(at[-1])
-                stacks.setdefault(letter, []).append(store.keep(found))
+                large.push(letter, found)
                 queue.deal(*self._induced(scan, 1, letter, at, word, link, True))
             queue.done(letter)
             while k < m and seed == letter:
@@ -382,16 +451,13 @@ class Sort:
                 queue.deal(*self._induced(scan, 1, letter, at, self._before(at), link, True))
                 k += len(at)
                 seed = int(self.text[order[k]]) if k < m else None
-        return stacks, store
+        return large
 
-    def _descend(self, stacks: dict, store: Spill):
+    def _descend(self, large: Stack):
         """All suffixes, greatest first: S-type ones are induced, L-type ones taken back."""
-        queue, scan = Queues(-1, self.limit // 4), _Scan(self)
-        waiting = sorted(stacks)
-        while waiting or queue.first() is not None:
-            letter = queue.first()
-            if letter is None or (waiting and waiting[-1] > letter):
-                letter = waiting[-1]
+        queue, scan = Queues(-1, self.limit // 4, self.width), _Scan(self)
+        while queue.first() is not None or large.letter() is not None:
+            letter = max(x for x in (queue.first(), large.letter()) if x is not None)
             last, later = None, 0
             while (found := queue.take(letter, self.block)) is not None:
                 at, word, link = found
@@ -399,20 +465,17 @@ class Sort:
                 last = int(at[-1])
                 yield at, link
                 queue.deal(*self._induced(scan, -1, letter, at, word, link, True))
-            if waiting and waiting[-1] == letter:
-                waiting.pop()
-                blocks = stacks.pop(letter)
-                while blocks:
-                    at, word, link = (x[::-1] for x in store.back(blocks.pop()))
-                    at = at.astype(np.int64)
-                    if last is not None:
-                        later = self._compared(np.array([last]), at[:1], np.zeros(1, np.int64))[0]
-                        last = None
-                    # a value tells of the entry before in ascending order: it belongs to the next one here
-                    shifted = np.concatenate([np.array([later], np.uint8), link[:-1]])
-                    later = link[-1]
-                    yield at, shifted
-                    queue.deal(*self._induced(scan, -1, letter, at, word, shifted, False))
+            while large.letter() == letter:
+                at, word, link = large.pop()
+                at = at.astype(np.int64)
+                if last is not None:
+                    later = self._compared(np.array([last]), at[:1], np.zeros(1, np.int64))[0]
+                    last = None
+                # a value tells of the entry before in ascending order: it belongs to the next one here
+                shifted = np.concatenate([np.array([later], np.uint8), link[:-1]])
+                later = link[-1]
+                yield at, shifted
+                queue.deal(*self._induced(scan, -1, letter, at, word, shifted, False))
             queue.done(letter)
         yield np.array([len(self.text) - 1]), np.zeros(1, np.uint8)
 
@@ -422,7 +485,8 @@ class _Scan:
 
     def __init__(self, sort: Sort):
         self.depth, self.at = sort.depth, 0
-        self.entry = np.full(sort.mask + 1, -1, np.int64) if sort.bits <= 16 else scratch(sort.mask + 1, np.int64, sort.limit) - 1
+        self.entry = scratch(sort.mask + 1, np.int64, sort.limit)
+        self.entry[:] = -1
         #: For each value, the last place of the scan with that value or less.
         self.last = np.full(sort.depth + 1, -1, np.int64)
 

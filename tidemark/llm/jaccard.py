@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as bs
-from .common import cut, drop, partitions
+from .common import cut, drop, looked_up, partitions
 
 SHINGLE, NUM, DEN = 5, 3, 4
 #: Share of the hash range that the screen counts; sets of this size or less have single shingles as segments.
@@ -487,17 +487,6 @@ def _contracted(links: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long")
 
 
-#: A look-up's answer is repeated so often, so that rows of one hot key are spread over as many tasks.
-SALTS = 16
-
-
-def looked_up(rows: DataFrame, key: str, table: DataFrame, by: str, salt: str) -> DataFrame:
-    """rows joined with a table of few columns on key = by; rows of a hot key are dealt by the column `salt`."""
-    spread = table.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))).withColumnRenamed(by, "_by")
-    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-    return dealt.join(spread, (F.col(key) == F.col("_by")) & (F.col("_deal") == F.col("_salt"))).drop("_by", "_salt", "_deal")
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, comp: each node's smallest reachable node. links has a, b.
 
@@ -534,13 +523,36 @@ def _pairs(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     return met.where(near).select("a", "b")
 
 
+def row_key(row_id: str, text: str):
+    """A row is told by its id and its text: two texts may have one id."""
+    return F.xxhash64(F.col(row_id).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
 def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row_id, n_shingles, class_id (smallest id with the same set), component_id, n_links (links of the class that hold its component together)."""
+    return joined(docs, width, row_id, text).select(F.col("doc").alias(row_id), "n_shingles", "class_id", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id (of the smallest row key, where texts share it; one, where rows repeat). Rows without words all stay."""
+    found = cut(joined(docs, width, row_id, text).where("n_shingles > 0").select("rid", "doc", "comp"), "members")
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid")).alias("b")).select(F.col("b.rid").alias("rid"))
+    times = found.groupBy("rid").count()
+    gone = cut(times.join(best, "rid", "left_anti").select(F.col("rid").alias("_rid")), "gone")
+    twice = cut(times.where("count > 1").join(best, "rid", "left_semi").select(F.col("rid").alias("_rid")), "repeated")
+    drop(found)
+    # the input row travels as one value, so no name in it can clash with those used here
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), row_key(row_id, text).alias("_rid")).join(gone, "_rid", "left_anti")
+    if not twice.isEmpty():
+        rows = rows.join(twice, "_rid", "left_anti").unionByName(rows.join(twice, "_rid", "left_semi").dropDuplicates(["_rid"]))
+    return rows.select("_row.*")
+
+
+def joined(docs: DataFrame, width: int, row_id: str, text: str) -> DataFrame:
+    """rid (row_key), doc (the id), n_shingles, class_id, component_id, n_links and comp, a name of the component that no other has (null for rows without words)."""
     spark = docs.sparkSession
     buckets = partitions(spark)
-    t = F.coalesce(F.col(text), F.lit(""))
-    # a row is told by its id and its text: two texts may have one id
-    rows = docs.select(F.col(row_id).cast("long").alias("doc"), t.alias("_text")).select(F.xxhash64("doc", "_text").alias("rid"), "doc", "_text")
+    rows = docs.select(row_key(row_id, text).alias("rid"), F.col(row_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     sizes = cut(sized(rows, width), "sets")
     classes = cut(sizes.where(F.col("n") > 0).groupBy("k1", "k2", "n").agg(F.min("rid").alias("rep"), F.min("doc").alias("doc"), F.max("x").alias("x")), "classes")
     counts = shared_counts(rows.select("rid", "_text"), buckets, width)
@@ -571,13 +583,13 @@ def join(docs: DataFrame, width: int = SHINGLE, row_id: str = "doc_id", text: st
     named = classes.select("k1", "k2", "n", F.col("rep").alias("node"), F.col("doc").alias("class_id")).join(labels, "node", "left")
     named = cut(named.withColumn("comp", F.coalesce("comp", "node")), "named")
     # tables of their own, so that joins with all rows of a hot component or class can be split
-    ids = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    ids = named.groupBy("comp").agg(F.min("class_id").alias("component_id")).withColumnRenamed("comp", "of")
     ends = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "end")
-    found = looked_up(named, "comp", ids, "comp", "node").join(ends, F.col("node") == F.col("end"), "left").select("k1", "k2", "n", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = looked_up(named, "comp", ids, "of", "node").join(ends, F.col("node") == F.col("end"), "left").select("k1", "k2", "n", "class_id", "comp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     found = cut(found, "class-components")
     drop(named, classes, links)
     out = sizes.join(found, ["k1", "k2", "n"], "left")
-    return out.select(F.col("doc").alias(row_id), F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("rid", "doc", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "comp")
 
 
 #: Bytes of sets and number of sets in a block of the tiled comparison.

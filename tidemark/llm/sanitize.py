@@ -1,17 +1,19 @@
 """Sanitisation of personal data by what terms disclose.
 
 Protected entities (addresses, numbers) are found by pattern. Over the corpus,
-the co-occurrence of terms and entities in distinct lines estimates how much a
-term tells about an entity: with p(e) and p(e|t) by lines, the pointwise mutual
+the co-occurrence of terms and entities in different texts estimates how much a
+term tells about an entity: with p(e) and p(e|t) by texts, the pointwise mutual
 information log p(e|t) / p(e), as a share of the entity's information content
 -log p(e). A term whose share reaches the disclosure threshold, with enough
-lines behind it, reveals the entity and is removed like the entity itself; an
-entity is generalised to its kind. Copies of a line count once, so repeated
-documents reveal nothing by being repeated. Only built-in functions run.
+texts behind it, reveals the entity and is removed like the entity itself; an
+entity is generalised to its kind. Copies of a text count once, so a text
+reveals nothing by being repeated. All counts are exact. Only built-in functions
+run.
 
 Defined results: a null text is an empty one; texts are scanned whole; repeated
-rows and null ids are answered each; an empty table gives an empty result;
-input columns are kept, except those named n_*, spans and base_spans, which are
+rows, equal texts (ties) and null ids are answered each; spans that start together
+are ordered by kind; an empty table gives an empty result; input columns are
+kept, except those named n_* of a base kind, spans and base_spans, which are
 replaced.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import cut
+from .common import cut, drop
 
 #: The base patterns, written so that no text makes matching quadratic or deep: a match begins where its run of characters
 #: begins (or at the end of the match before, \\G), and loops don't give back.
@@ -32,14 +34,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "term"]
 BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=False))
 
-#: A term reveals an entity if its share of the entity's information reaches THRESHOLD and SUPPORT distinct lines hold both.
+#: A term reveals an entity if its share of the entity's information reaches THRESHOLD and SUPPORT different texts hold both.
 THRESHOLD, SUPPORT = 0.9, 3
-#: Terms are runs of four letters or digits and more, in lower case; beyond ASCII, of all characters but punctuation blocks.
-TERM = r"[0-9A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]{4,}"
-#: So many revealing terms at most are broadcast; more are joined by a shuffle.
+#: Terms are runs of three letters or digits and more, in lower case; beyond ASCII, of all characters but punctuation blocks.
+TERM = r"[0-9A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]{3,}"
+#: So many terms at most are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
-#: So many at most are compared with texts in place; with more, texts are found by a join.
-SCREEN_TERMS = 2_000
 
 
 def _digits(s: Column) -> Column:
@@ -89,41 +89,79 @@ def _kept(name: str) -> Column:
     return F.filter(f"_s_{name}", lambda s: _valid(name, s))
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """term, share: what each revealing term discloses at most, from counts over all distinct lines of the corpus.
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """_key (a digest), _text of all rows with a text."""
+    return docs.select(F.col(text).alias("_text")).where(F.length("_text") > 0).select(F.sha2("_text", 256).alias("_key"), "_text")
+
+
+def disclosure(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(revealing, places): term and share, what each revealing term discloses at most; and _key, n, term: each text's n-th term, of those and other candidates.
 
-    Terms beside entities are counted first; only those with enough support are
-    then counted over all lines, by a broadcast of their hashes while they are
-    few, else by a join.
+    Terms beside entities are counted first. Those with enough support, and few
+    enough texts among these, are candidates, and one pass over the terms of all
+    texts finds their places, from which they are counted.
     """
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    marked = lines.where(F.col("line").rlike(r"@[A-Za-z0-9-]+\.|[0-9][\x20.-]?[0-9]|\+[0-9]"))
-    found = entities(marked, "line")
+    texts = _texts(docs, text)
+    marked = texts.where(F.col("_text").rlike(r"@[A-Za-z0-9-]+\.|[0-9][\x20.-]?[0-9]|\+[0-9]"))
+    found = entities(marked.withColumnRenamed("_text", "_t"), "_t")
     named = F.array_distinct(F.flatten(F.array(*(F.transform(f"_s_{k}", _named(k)) for k in BASE))))
-    bare = F.regexp_replace(F.col("line"), "|".join(BASE.values()), " ")
-    beside = found.select(F.xxhash64("line").alias("line"), named.alias("entities"), F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0))).alias("terms")).where(F.size("entities") > 0)
-    # an entity that stands in fewer lines than the support can't be revealed: most are left here, before terms are paired with them
-    apart = cut(beside.dropDuplicates(["line"]), "entity-lines")
-    totals = lines.where(F.length("line") > 0)
-    n_lines = totals.select(F.approx_count_distinct(F.xxhash64("line"), 0.02)).first()[0] + 1
-    by_entity = apart.select("line", "terms", F.explode("entities").alias("entity"))
-    often = by_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    together = by_entity.join(often, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    # a term's lines are at least those with any entity: that alone rules out common words, before all lines are counted
+    bare = F.regexp_replace(F.col("_t"), "|".join(BASE.values()), " ")
+    beside = found.select("_key", "_t", named.alias("entities")).where(F.size("entities") > 0).select("_key", "entities", F.array_distinct(F.transform(_terms(bare), F.lower)).alias("terms"))
+    apart = cut(beside.dropDuplicates(["_key"]), "entity-texts")
+    n_texts = texts.select("_key").distinct().count()
+    # an entity that stands in fewer texts than the support can't be revealed: most are left here, before terms are paired with them
+    by_entity = apart.select("_key", F.explode("entities").alias("entity"))
+    often = cut(by_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
+    held = by_entity.join(often, "entity").groupBy("_key").agg(F.collect_set(F.struct("entity", "n_e")).alias("often"))
+    pairs = apart.join(held, "_key").select(F.explode("often").alias("e"), "terms").select("e.*", F.explode("terms").alias("term"))
+    together = pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    # a term's texts are at least those with any entity: that alone rules out common words, before all texts are counted
     among = apart.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_among"))
-    least = F.pow(F.col("n_e") / n_lines, 1 - threshold)
-    together = together.join(among, "term").where(F.col("n_et") >= F.col("n_among") * least * (1 - 1e-9)).drop("n_among")
-    together = cut(together, "term-entities")
-    terms = together.select(F.xxhash64("term").alias("h")).distinct()
-    n_terms = terms.count()
-    if n_terms == 0:
-        return together.select("term", F.lit(0.0).alias("share")).limit(0)
-    words = totals.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term")).withColumn("h", F.xxhash64("term"))
-    words = words.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "h", "left_semi")
-    spread = words.select("line", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    p_e, p_et = F.col("n_e") / n_lines, F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))
+    least = F.pow(F.col("n_e") / max(1, n_texts), 1 - threshold)
+    together = cut(together.join(among, "term").where(F.col("n_et") >= F.col("n_among") * least * (1 - 1e-9)).drop("n_among"), "term-entities")
+    drop(apart, often)
+    terms = together.select("term").distinct()
+    if terms.isEmpty():
+        return together.select("term", F.lit(0.0).alias("share")), texts.select("_key", F.lit(0).alias("n"), F.lit("").alias("term")).limit(0)
+    words = texts.select("_key", F.posexplode(_terms(F.col("_text"))).alias("n", "term")).withColumn("term", F.lower("term"))
+    places = cut(words.join(_given(terms), "term", "left_semi").distinct(), "term-places")
+    spread = places.select("_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    p_e, p_et = F.col("n_e") / n_texts, F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))
     share = F.log(p_et / p_e) / F.greatest(-F.log(p_e), F.lit(1e-9))
-    return together.join(spread, "term").select("term", share.alias("share")).where(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("share"))
+    revealing = together.join(spread, "term").select("term", share.alias("share")).where(F.col("share") >= threshold).groupBy("term").agg(F.max("share").alias("share"))
+    return cut(revealing, "revealing-terms"), places
+
+
+def _given(terms: DataFrame) -> DataFrame:
+    """Terms to be joined with all words: broadcast while they are few."""
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
+def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """term, share: what each revealing term discloses at most, from counts over all different texts of the corpus."""
+    return disclosure(docs, text, threshold, support)[0]
+
+
+def _hits(docs: DataFrame, text: str, threshold: float, support: int) -> DataFrame | None:
+    """_key, _terms: the places (start, kind, end) of the revealing terms of texts that hold one; None if there are none."""
+    revealing, places = disclosure(docs, text, threshold, support)
+    if revealing.isEmpty():
+        return None
+    chosen = cut(places.join(_given(revealing.select("term")), "term", "left_semi").select("_key", "n"), "chosen-places")
+    drop(places)
+    # few texts hold a term that reveals: only in those are words placed
+    texts = _texts(docs, text).join(chosen.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    placed = spans.located(spans.matches(texts, "_text", {"term": TERM}).drop("_text"), ["term"])
+    words = placed.select("_key", F.posexplode("_s_term").alias("n", "s")).select("_key", "n", "s.start", "s.end")
+    hit = words.join(chosen, ["_key", "n"], "left_semi").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("_terms"))
+    # a table of its own, so that the join with all rows of a hot text can be split
+    made = cut(hit, "term-hits")
+    drop(chosen, revealing)
+    return made
 
 
 def _named(kind: str):
@@ -139,22 +177,9 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, supp
     df = entities(docs.select(F.struct(*kept).alias("_row"), F.col(text).alias("_t")), "_t")
     base = F.concat(*(spans.tagged(F.col(f"_s_{k}"), n) for n, k in enumerate(BASE)))
     df = df.select("_row", "_t", *(F.size(f"_s_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.array_sort(base).alias("base_spans"))
-    terms = cut(disclosing_terms(docs, text, threshold, support), "revealing-terms")
-    n = terms.count()
-    if n == 0:
+    hit = _hits(docs, text, threshold, support)
+    if hit is None:
         return df.select("_row.*", *names, "base_spans", F.col("base_spans").alias("spans"))
-    lists = F.broadcast(terms.select(F.col("term").alias("_t"))) if n <= BROADCAST_TERMS else terms.select(F.col("term").alias("_t"))
-    texts = docs.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).withColumn("_key", F.sha2("_text", 256))
-    own = F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))
-    # a term that reveals is rare, so few texts hold one: only in those are words placed
-    if n <= SCREEN_TERMS:
-        texts = texts.where(F.arrays_overlap(own, F.array(*[F.lit(r["term"]) for r in terms.collect()])))
-    else:
-        holds = texts.select("_key", F.explode(own).alias("_t")).join(lists, "_t", "left_semi").select("_key").distinct()
-        texts = texts.join(holds, "_key", "left_semi")
-    placed = spans.located(spans.matches(texts, "_text", {"term": TERM}), ["term"])
-    words = placed.select("_key", F.explode("_s_term").alias("s")).select("_key", "s.start", "s.end", F.lower("s.text").alias("_t"))
-    hit = words.join(lists, "_t", "left_semi").groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("_terms"))
     joined = df.withColumn("_key", F.sha2(F.coalesce("_t", F.lit("")), 256)).join(hit, "_key", "left")
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return joined.select("_row.*", *names, "base_spans", F.array_sort(F.concat("base_spans", F.coalesce("_terms", empty))).alias("spans"))

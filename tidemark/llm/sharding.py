@@ -9,9 +9,11 @@ until each splitter meets its target within the tolerance or its interval holds
 a single key. One exchange then deals the rows.
 
 Defined results: a null text has no bytes and the crc of no bytes; empty texts
-are one key; rows with a null doc_id take part like all others; repeated rows
-are all kept; an empty table gives an empty result; other columns of the input
-are not read.
+are one key; texts of any length count with all their bytes, and none travels;
+equal texts (ties) share a shard, so a text that outweighs a share makes its
+shard heavier; rows with a null doc_id take part like all others; repeated rows
+are all kept, each with a slot; an empty table gives an empty result; other
+columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -52,7 +54,6 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.001, probes: i
         found[n] = LOW + SPAN
     while open_:
         bounds = sorted({(low, w) for low, w, _ in open_.values()})
-        near = keyed.where(F.lit(False))
         chosen, sub = None, None
         for low, w in bounds:
             step = max(1, w // probes)
@@ -97,7 +98,8 @@ def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, r
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"),
     )
-    keyed = cut(rows, "shard-keys")
+    # the row's place tells equal rows apart, so that they can be dealt over ranges
+    keyed = cut(rows.withColumn("place", F.monotonically_increasing_id()), "shard-keys")
     ends = splitters(keyed.select("key", "size"), shards, tolerance)
     shard = F.lit(0)
     for n, end in enumerate(ends, 1):
@@ -105,15 +107,15 @@ def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, r
             shard = F.when(F.col("key") >= F.lit(end), F.lit(n)).otherwise(shard)
     count = keyed.count()
     bits = max(0, (count // max(1, shards) // RANGE_ROWS).bit_length())
-    spread = F.xxhash64("_id", "text_crc32")
+    spread = F.xxhash64("_id", "text_crc32", "place")
     placed = keyed.select(
-        "_id", "size", "text_crc32", shard.cast("int").alias("shard"), spread.alias("spread"),
+        "_id", "size", "text_crc32", "place", shard.cast("int").alias("shard"), spread.alias("spread"),
         (F.shiftrightunsigned(spread, 64 - bits) if bits else F.lit(0)).cast("long").alias("range"),
     )
     ranges = placed.groupBy("shard", "range").count()
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(F.col("shard").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "range").orderBy("spread", "_id", "text_crc32")
+    within = Window.partitionBy("shard", "range").orderBy("spread", "place")
     numbered = placed.withColumn("n", F.row_number().over(within))
     return numbered.join(ranges, (F.col("shard") == F.col("_s")) & (F.col("range") == F.col("_r"))).select(
         F.col("_id").alias(row_id), "size", "text_crc32", "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot")

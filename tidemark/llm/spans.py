@@ -15,10 +15,16 @@ SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
 _BLOCK = 128
 
 
-def matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """Adds, for each name, its pattern's leftmost non-overlapping matches and the gaps before them (null where there are none)."""
+def matches(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, for each name, its pattern's leftmost non-overlapping matches and the gaps before them (null where there are none).
+
+    needs: conditions without which a pattern has no matches of interest; where they fail, it is not searched for.
+    """
     for name, pattern in patterns.items():
-        df = df.withColumn(f"_m_{name}", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        if needs and name in needs:
+            found = F.when(needs[name], found).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn(f"_m_{name}", found)
     for name, pattern in patterns.items():
         df = df.withColumn(f"_g_{name}", F.when(F.size(f"_m_{name}") > 0, F.split(F.col(text), pattern, -1)))
     return df

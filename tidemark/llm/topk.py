@@ -1,14 +1,16 @@
 """Exact top-k search by tiled matrix products.
 
-Candidates are packed into tiles (ids and one matrix), queries into blocks. Each
-block meets each tile once: a matrix product, then the best k of each query in
-that tile; a task keeps one running list for each query over its tiles, and
-the lists of all tasks are merged by a partial, then a final selection.
+Candidates are packed into tiles (ids and one matrix, bounded by rows and bytes),
+queries into blocks. Each block meets each tile once: a matrix product, then the
+best k of each query in that tile; a task keeps one running list for each query
+over its tiles, and the lists of all tasks are merged in a tree, FAN of them at
+a time. A block's tiles are dealt over SALTS tasks or more.
 
 Vectors that are null, or hold null or non-finite components, take no part.
-Vectors are compared with those of their own length only. Ties go to the
-smaller id; ids that occur more than once are candidates each. Null ids take no
-part. An empty table gives an empty result.
+Vectors are compared with those of their own length only, whatever that is. Ties
+go to the smaller id; ids that occur more than once (repeated rows) are
+candidates each. Null ids take no part. An empty table gives an empty result.
+Columns other than the two are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
+#: Most rows of a block and of a tile, and most bytes of either.
 BLOCK = 4096
 TILE = 4096
+TILE_BYTES = 8 << 20
+#: Tasks over which a block's tiles are dealt at least; lists that are merged at a time.
+SALTS, FAN = 8, 16
 
 
 def usable(vectors: DataFrame, row_id: str, column: str, scale: float) -> DataFrame:
@@ -33,7 +39,10 @@ def usable(vectors: DataFrame, row_id: str, column: str, scale: float) -> DataFr
 
 
 def tiles(vectors: DataFrame, rows: int) -> DataFrame:
-    """Tiles of up to so many vectors of one length: dim, ids and matrix as bytes. No shuffle: a tile holds rows of one task."""
+    """Tiles of up to so many vectors of one length, by ascending id: dim, ids and matrix as bytes. No shuffle: a tile holds rows of one task."""
+
+    def most(dim):
+        return max(1, min(rows, TILE_BYTES // (8 * max(1, dim))))
 
     def run(batches):
         held: dict[int, list] = {}
@@ -42,9 +51,12 @@ def tiles(vectors: DataFrame, rows: int) -> DataFrame:
             ids = np.concatenate([x[0] for x in held[dim]])
             flat = np.concatenate([x[1] for x in held[dim]])
             del held[dim]
-            for k in range(0, len(ids), rows):
-                n = len(ids[k : k + rows])
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[k : k + rows].tobytes()], pa.binary()), pa.array([flat[k * dim : (k + n) * dim].tobytes()], pa.binary())], ["dim", "ids", "matrix"])
+            by = np.argsort(ids, kind="stable")
+            ids, flat = ids[by], flat.reshape(len(ids), dim)[by].ravel()
+            size = most(dim)
+            for k in range(0, len(ids), size):
+                n = len(ids[k : k + size])
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[k : k + size].tobytes()], pa.binary()), pa.array([flat[k * dim : (k + n) * dim].tobytes()], pa.binary())], ["dim", "ids", "matrix"])
 
         for batch in batches:
             lists = batch.column(1)
@@ -55,7 +67,7 @@ def tiles(vectors: DataFrame, rows: int) -> DataFrame:
                 at = np.flatnonzero(sizes == dim)
                 block = values if len(at) == len(sizes) else np.concatenate([values[begins[i] : begins[i] + dim] for i in at])
                 held.setdefault(int(dim), []).append((ids[at], block))
-                if sum(len(x[0]) for x in held[int(dim)]) >= rows:
+                if sum(len(x[0]) for x in held[int(dim)]) >= most(int(dim)):
                     yield from out(int(dim))
         for dim in list(held):
             yield from out(dim)
@@ -77,7 +89,7 @@ def _best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[
 
 
 def _tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, rows: int = 256):
-    """(query's row, score, id) of the k best of each query in a tile, and of those that tie with the last."""
+    """(query's row, score, id) of the k best of each query in a tile, whose ids ascend; of those that tie with the last, the smallest ids."""
     exact = q.shape[1] * (np.abs(q).max(initial=0) * np.abs(c).max(initial=0)) < 2**53
     out = []
     for a in range(0, len(q), rows):
@@ -85,7 +97,13 @@ def _tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, ids: np.ndarray, k: i
         s = (part @ c.T).astype(np.int64) if exact else part.astype(np.int64) @ c.astype(np.int64).T
         s[q_ids[a : a + rows, None] == ids[None, :]] = _NONE
         least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), _NONE)
-        r, col = np.nonzero((s >= least[:, None]) & (s > _NONE))
+        best = (s >= least[:, None]) & (s > _NONE)
+        many = np.flatnonzero(best.sum(axis=1) > k)
+        if len(many):  # ties beyond the k-th place
+            ties = s[many] == least[many, None]
+            room = k - (best[many] & ~ties).sum(axis=1)
+            best[many] &= ~ties | (np.cumsum(ties, axis=1) <= room[:, None])
+        r, col = np.nonzero(best)
         out.append((r + a, s[r, col], ids[col]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
@@ -102,8 +120,10 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     blocks = cut(blocks, "query-blocks").select("block", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     # one row of block numbers for each length: a number is 8 bytes for 4,096 queries
     numbers = blocks.groupBy("q_dim").agg(F.collect_list("block").alias("blocks"))
-    spread = tiles(candidates, TILE).join(numbers, F.col("dim") == F.col("q_dim")).select("dim", "ids", "matrix", F.explode("blocks").alias("block"))
-    pairs = spread.join(blocks, "block").select("block", "q_ids", "q_matrix", "ids", "matrix", "dim")
+    spread = tiles(candidates, TILE).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
+    spread = spread.join(numbers, F.col("dim") == F.col("q_dim")).select("dim", "ids", "matrix", "salt", F.explode("blocks").alias("block"))
+    salted = blocks.withColumn("salt", F.explode(F.array(*(F.lit(n).cast("long") for n in range(SALTS)))))
+    pairs = spread.join(salted, ["block", "salt"]).select("block", "q_ids", "q_matrix", "ids", "matrix", "dim")
 
     def run(batches):
         held: dict[int, tuple] = {}  # the best of each query so far, by block
@@ -120,8 +140,11 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
     partial = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    # Merge in a tree: lists are first merged in groups of tasks, then the groups' lists.
-    leaf = Window.partitionBy("query_id", "leaf").orderBy(F.desc("score"), "vec_id")
+    # Merge in a tree: lists of neighbouring tasks, then lists of neighbouring groups, until one is left.
+    lists, tasks = partial.withColumn("task", F.spark_partition_id()), max(partitions(partial.sparkSession), SALTS)
+    while tasks > FAN:
+        lists = lists.withColumn("task", F.floor(F.col("task") / FAN))
+        leaf = Window.partitionBy("query_id", "task").orderBy(F.desc("score"), "vec_id")
+        lists, tasks = lists.withColumn("n", F.row_number().over(leaf)).where(F.col("n") <= k).drop("n"), -(-tasks // FAN)
     root = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    leaves = partial.withColumn("leaf", F.shiftright(F.spark_partition_id(), 4)).withColumn("n", F.row_number().over(leaf)).where(F.col("n") <= k)
-    return leaves.withColumn("rank", F.row_number().over(root)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return lists.withColumn("rank", F.row_number().over(root)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
