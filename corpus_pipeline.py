@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs. All but the last return the
 columns of documents.
+
+Defined results: null and empty texts are scored like all (they have no
+evidence), have no words, no secrets, and are packed as a single end id; texts of
+any length are worked on whole; of equal texts and of repeated rows with words one
+row stays; rows with a null id go through all stages; extra columns are kept up
+to the packing, whatever their names; empty documents give no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import contracts, decontaminate, jaccard, packing, quality, secrets
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, drop, drop_since, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join, the document with the smallest id stays; a row without an id stays too."""
-    found = jaccard.join(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of the Jaccard join one row stays: that of the smallest id. Rows without words, linked with nothing, all stay."""
+    return jaccard.one_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; n_chars follows where a text has changed."""
-    found = secrets.scan(docs, secrets.train(secrets.samples(spark)))
+    found = secrets.scan(docs, secrets.train(secrets.samples(docs)))
     changed = F.size("spans") > 0
     out = found.withColumn("text", secrets.redact("text"))
     if "n_chars" in docs.columns:
@@ -63,5 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        mark = written()
+        made = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_since(mark, made)
+        drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
