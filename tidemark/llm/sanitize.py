@@ -38,7 +38,7 @@ BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=False))
 THRESHOLD, SUPPORT = 0.9, 3
 #: Terms are runs of three letters or digits and more, in lower case; beyond ASCII, of all characters but punctuation blocks.
 TERM = r"[0-9A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]{3,}"
-#: So many terms at most are broadcast; more are joined by a shuffle.
+#: So many terms, or digests of texts, at most are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
 
 
@@ -68,14 +68,19 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _s_email, _s_ip, _s_card, _s_phone: arrays of (start, end, text)."""
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))  # docs: internal columns and the text only
+def _found(docs: DataFrame) -> DataFrame:
+    """docs with _m_email and so on: what the base patterns match in _text, valid or not."""
     # a text without the characters that a kind needs costs a search, not a match
     digit4 = F.col("_text").rlike("[0-9]")
     for name, pattern in BASE.items():
         needs = F.col("_text").contains("@") if name == "email" else F.col("_text").contains("+") & digit4 if name == "phone" else digit4
-        df = df.withColumn(f"_m_{name}", F.when(needs, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        docs = docs.withColumn(f"_m_{name}", F.when(needs, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    return docs
+
+
+def entities(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _s_email, _s_ip, _s_card, _s_phone: arrays of (start, end, text)."""
+    df = _found(docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))  # docs: internal columns and the text only
     for name, pattern in BASE.items():
         df = df.withColumn(f"_g_{name}", F.when(F.size(f"_m_{name}") > 0, F.split("_text", pattern, -1)))
     df = spans.located(df.drop("_text"), list(BASE))
@@ -106,24 +111,27 @@ def disclosure(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
     texts finds their places, from which they are counted.
     """
     texts = _texts(docs, text)
-    marked = texts.where(F.col("_text").rlike(r"@[A-Za-z0-9-]+\.|[0-9][\x20.-]?[0-9]|\+[0-9]"))
-    found = entities(marked.withColumnRenamed("_text", "_t"), "_t")
-    named = F.array_distinct(F.flatten(F.array(*(F.transform(f"_s_{k}", _named(k)) for k in BASE))))
-    bare = F.regexp_replace(F.col("_t"), "|".join(BASE.values()), " ")
-    beside = found.select("_key", "_t", named.alias("entities")).where(F.size("entities") > 0).select("_key", "entities", F.array_distinct(F.transform(_terms(bare), F.lower)).alias("terms"))
-    apart = cut(beside.dropDuplicates(["_key"]), "entity-texts")
+    marked = _found(texts.where(F.col("_text").rlike(r"@[A-Za-z0-9-]+\.|[0-9][\x20.-]?[0-9]|\+[0-9]")))
+    names = F.array_distinct(F.flatten(F.array(*(F.transform(F.filter(F.transform(f"_m_{k}", lambda t: F.struct(t.alias("text"))), _valid_of(k)), _named(k)) for k in BASE))))
+    # a filter of one value, so that names are made once
+    one = F.filter(F.array(F.struct(names.alias("entities"), F.col("_text"))), lambda s: F.size(s["entities"]) > 0)
+    beside = cut(marked.select("_key", F.explode(one).alias("s")).select("_key", "s.*").dropDuplicates(["_key"]), "entity-texts")
     n_texts = texts.select("_key").distinct().count()
     # an entity that stands in fewer texts than the support can't be revealed: most are left here, before terms are paired with them
-    by_entity = apart.select("_key", F.explode("entities").alias("entity"))
-    often = cut(by_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
-    held = by_entity.join(often, "entity").groupBy("_key").agg(F.collect_set(F.struct("entity", "n_e")).alias("often"))
-    pairs = apart.join(held, "_key").select(F.explode("often").alias("e"), "terms").select("e.*", F.explode("terms").alias("term"))
+    by_entity = beside.select("_key", F.explode("entities").alias("entity"))
+    often = by_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    held = by_entity.join(often, "entity").groupBy("_key").agg(F.collect_list(F.struct("entity", "n_e")).alias("often"))
+    bare = F.col("_text")
+    for pattern in BASE.values():
+        bare = F.regexp_replace(bare, pattern, " ")
+    apart = cut(beside.join(held, "_key").select("often", F.array_distinct(F.transform(_terms(bare), F.lower)).alias("terms")), "terms-beside")
+    pairs = apart.select(F.explode("often").alias("e"), "terms").select("e.*", F.explode("terms").alias("term"))
     together = pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     # a term's texts are at least those with any entity: that alone rules out common words, before all texts are counted
-    among = apart.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_among"))
+    among = beside.select(F.explode(F.array_distinct(F.transform(_terms(F.col("_text")), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("n_among"))
     least = F.pow(F.col("n_e") / max(1, n_texts), 1 - threshold)
     together = cut(together.join(among, "term").where(F.col("n_et") >= F.col("n_among") * least * (1 - 1e-9)).drop("n_among"), "term-entities")
-    drop(apart, often)
+    drop(apart, beside)
     terms = together.select("term").distinct()
     if terms.isEmpty():
         return together.select("term", F.lit(0.0).alias("share")), texts.select("_key", F.lit(0).alias("n"), F.lit("").alias("term")).limit(0)
@@ -137,10 +145,15 @@ def disclosure(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD
 
 
 def _given(terms: DataFrame) -> DataFrame:
-    """Terms to be joined with all words: broadcast while they are few."""
+    """Terms, or texts' digests, to be joined with all words or texts: broadcast while they are few."""
     return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
 
 
+def _chosen(texts: DataFrame, keyed: DataFrame) -> DataFrame:
+    """texts whose _key a table has; they stay where they are while the table is small."""
+    return texts.join(_given(cut(keyed.select("_key").distinct(), "chosen-texts")), "_key", "left_semi")
+
+
 def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """term, share: what each revealing term discloses at most, from counts over all different texts of the corpus."""
     return disclosure(docs, text, threshold, support)[0]
@@ -154,16 +167,21 @@ def _hits(docs: DataFrame, text: str, threshold: float, support: int) -> DataFra
     chosen = cut(places.join(_given(revealing.select("term")), "term", "left_semi").select("_key", "n"), "chosen-places")
     drop(places)
     # few texts hold a term that reveals: only in those are words placed
-    texts = _texts(docs, text).join(chosen.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    texts = _chosen(_texts(docs, text), chosen).dropDuplicates(["_key"])
     placed = spans.located(spans.matches(texts, "_text", {"term": TERM}).drop("_text"), ["term"])
-    words = placed.select("_key", F.posexplode("_s_term").alias("n", "s")).select("_key", "n", "s.start", "s.end")
-    hit = words.join(chosen, ["_key", "n"], "left_semi").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("_terms"))
+    hit = placed.join(chosen.groupBy("_key").agg(F.sort_array(F.collect_set("n")).alias("which")), "_key")
+    word = lambda n: F.get(F.col("_s_term"), n)
+    hit = hit.select("_key", F.transform("which", lambda n: F.struct(word(n)["start"].alias("start"), F.lit(4).alias("kind"), word(n)["end"].alias("end"))).alias("_terms"))
     # a table of its own, so that the join with all rows of a hot text can be split
     made = cut(hit, "term-hits")
     drop(chosen, revealing)
     return made
 
 
+def _valid_of(kind: str):
+    return lambda s: _valid(kind, s)
+
+
 def _named(kind: str):
     """An entity as compared: its kind and its characters, digits only where the kind's separators vary."""
     return lambda s: F.concat(F.lit(kind + ":"), _digits(s["text"]) if kind in ("card", "phone") else F.lower(s["text"]))

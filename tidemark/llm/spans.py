@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
-_BLOCK = 128
+_BLOCK = 32
 
 
 def matches(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str, Column] | None = None) -> DataFrame:
@@ -32,18 +32,19 @@ def matches(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str,
 
 def _running(lengths: Column) -> Column:
     """array<struct<g, m>> of gap and match lengths -> array<struct<start, end>>."""
-    def block(acc, k):
-        def one(a, x):
-            end = a["at"] + x["g"] + x["m"]
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), end.alias("end")))).alias("out"))
-
-        empty = F.array().cast("array<struct<start:int,end:int>>")
-        inner = F.aggregate(F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK)), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
-        return F.named_struct(F.lit("at"), inner["at"], F.lit("out"), F.concat(acc["out"], F.array(inner["out"])))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
-    return F.flatten(F.aggregate(blocks, start, block)["out"])
+    spans = "array<struct<start:int,end:int>>"
+    empty = F.array().cast(spans)
+
+    def step(acc, x):
+        place = F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))
+        full = F.size(acc["block"]) >= _BLOCK
+        return F.struct(
+            (acc["at"] + x["g"] + x["m"]).alias("at"), F.when(full, place).otherwise(F.concat(acc["block"], place)).alias("block"),
+            F.when(full, F.concat(acc["out"], F.array(acc["block"]))).otherwise(acc["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), empty.alias("block"), F.array().cast(f"array<{spans}>").alias("out"))
+    return F.aggregate(lengths, start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["block"]))))
 
 
 def located(df: DataFrame, names: list[str]) -> DataFrame:
