@@ -1,11 +1,12 @@
-"""python -m tidemark.cli: run registered queries over a folder of tables and write their results as Parquet."""
+"""python -m tidemark.cli: run registered queries over a folder of tables and write their results as Parquet; 'settings' instead of a folder prints all settings with the changes given."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from .errors import PipelineError
+from . import config
+from .errors import ConfigError, PipelineError
 
 
 def main(args: list[str] | None = None) -> int:
@@ -18,7 +19,16 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("queries", nargs="*", help="names; none: list them")
     p.add_argument("--out", help="folder for results; without it, rows are shown")
     p.add_argument("--explain", action="store_true", help="print the plans")
+    p.add_argument("--set", action="append", default=[], metavar="SECTION.KEY=VALUE", help="a change of settings")
     a = p.parse_args(args)
+    try:
+        settings = config.changed(config.Settings(), a.set)
+    except ConfigError as e:
+        print(e, file=sys.stderr)
+        return 2
+    if a.tables == "settings":
+        print(config.as_text(settings), end="")
+        return 0
     known = registry.queries()
     if not a.queries:
         print("\n".join(known))

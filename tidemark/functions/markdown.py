@@ -31,6 +31,13 @@ def timecode(seconds: Column, hours: bool = False) -> Column:
     return long_ if hours else F.when(h > 0, long_).otherwise(F.format_string("%02d:%02d", m, r))
 
 
+def duration(seconds: Column) -> Column:
+    """A time taken, for people: '12.3 с' below a minute, else 'M мин SS с'."""
+    whole = F.floor(seconds).cast("long")
+    long = F.concat(F.floor(whole / 60).cast("string"), F.lit(" мин "), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit(" с"))
+    return F.when(seconds < 60, F.format_string("%.1f с", F.bround(seconds, 1))).otherwise(long)
+
+
 def interval(start: Column, end: Column) -> Column:
     return F.concat(timecode(start, True), F.lit("–"), timecode(end, True))
 

@@ -48,12 +48,15 @@ def core(c: Column) -> Column:
 
 
 def line_key(c: Column) -> Column:
-    """A line as compared: lower case, without punctuation, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}_\\s]+", " "), "\\s+", " "))
+    """A line as compared: folded, ё as е, without punctuation, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(folded(c), "ё", "е"), "[^\\p{L}\\p{N}_\\s]+", " "), "\\s+", " "))
 
 
 def term_key(c: Column) -> Column:
-    """A word's key: lower case, ё as е, without its ending (four letters stay), a second soft tail and a fleeting vowel."""
+    """A word's key: lower case, ё as е, without its ending (four letters stay), a second soft tail and a fleeting vowel.
+
+    A column expression that lambdas can hold; `folded`, which they can't, goes first where a word may hold other forms of its letters.
+    """
     endings = "|".join(sorted(ENDINGS, key=len, reverse=True))
     k = F.trim(F.translate(F.lower(c), "ё", "е"), F.lit("-'"))
     k = F.regexp_replace(k, f"^(.{{4,}}?)(?:{endings})$", "$1")

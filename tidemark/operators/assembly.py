@@ -30,7 +30,7 @@ KEY = "recording_id"
 
 def placed_words(words: DataFrame, slides: DataFrame, rules: AssemblyRules) -> tuple[DataFrame, DataFrame]:
     """(words with run and section_label, sections in order, short off-slide ones absorbed)."""
-    labelled = intervals.overlap_labels(words, slides, KEY, "slide_index", "start_s", "end_s")
+    labelled = intervals.overlap_labels(words, slides, KEY, "slide_index", "start_s", "end_s", bucket=60.0)
     marked = staged(transcript.phrase_boundaries(labelled, KEY, "pos", "text", "start_s", "end_s", rules.phrase_gap), "labelled-words")
     shifted = staged(transcript.shift_boundaries(marked, KEY, "pos", "start_s", "slide_index", rules.tolerance), "shifted-words")
     found = transcript.sections(shifted, slides, KEY, "pos", "start_s", "end_s", "section_label", "run", "slide_index", "start_s", "end_s")
@@ -48,7 +48,8 @@ def assemble(words: DataFrame, slides: DataFrame, ocr: DataFrame | None = None,
     """recording_id, markdown.
 
     words: recording_id, pos, text, start_s, end_s; slides: recording_id,
-    slide_index, start_s, end_s, image_path; ocr: recording_id, slide_index,
+    slide_index, start_s, end_s, image_path and, where pictures are at hand,
+    image_digest (of their bytes; equal ones are linked once); ocr: recording_id, slide_index,
     markdown, unreliable; metadata: recording_id, metadata (map). All steps are
     parted by recording, so they share one exchange of the words.
     """
@@ -69,14 +70,16 @@ def assemble(words: DataFrame, slides: DataFrame, ocr: DataFrame | None = None,
         info = info.join(one.withColumnRenamed("slide_index", "slide"), [KEY, "slide"], "left")
     else:
         info = info.withColumn("ocr", F.lit(None).cast("struct<markdown:string,unreliable:boolean>"))
-    images = slides.select(KEY, F.col("slide_index").alias("slide"), "image_path")
+    # pictures are told apart by what they hold; one that can't be read, by its path
+    path = F.coalesce(F.col("image_path"), F.lit(""))
+    digest = F.coalesce("image_digest", F.concat(F.lit("path:"), path)) if "image_digest" in slides.columns else F.concat(F.lit("path:"), path)
+    images = slides.select(KEY, F.col("slide_index").alias("slide"), "image_path", digest.alias("image_key"))
     info = info.join(images, [KEY, "slide"], "left").withColumn("_content", md.signature(F.col("ocr.markdown")))
     grouped = transcript.same_content_groups(staged(info, "section-info"), KEY, ["section_pos"], "_content", F.col("slide").isNotNull())
-    # images are told apart by path; where pictures are at hand, by their digest in a column of that name
     last = F.max_by(F.struct("slide", "ocr"), "section_pos")
     heads = grouped.groupBy(KEY, "group_id").agg(
         F.min("section_pos").alias("group_pos"), F.min("start").alias("start"), F.max("end").alias("end"), last.alias("_last"), F.min_by("slide", "section_pos").alias("first_slide"),
-        F.array_sort(F.collect_list(F.when(F.col("slide").isNotNull(), F.struct("section_pos", "slide", "image_path")))).alias("_images"),
+        F.array_sort(F.collect_list(F.when(F.col("slide").isNotNull(), F.struct("section_pos", "slide", "image_path", "image_key")))).alias("_images"),
     ).select("*", "_last.*").drop("_last")
     to_group = grouped.select(KEY, "section_pos", "group_id")
     # groups of one section keep its words; groups of several are one section for paragraphs
@@ -114,7 +117,7 @@ def _slide_block():
     said = F.when(F.col("ocr").isNull(), F.array(F.lit(md.NOT_RECOGNISED))).otherwise(F.concat(
         F.when(F.coalesce(F.col("ocr.unreliable"), F.lit(False)), F.array(F.lit(md.UNRELIABLE), F.lit(""))).otherwise(F.array().cast("array<string>")),
         F.when(content == "", F.array(F.lit(md.EMPTY_TEXT))).otherwise(lines)))
-    distinct = F.filter("_images", lambda i: i.isNotNull())
+    distinct = F.filter("_images", lambda i, n: i.isNotNull() & (F.array_position(F.transform("_images", lambda j: j["image_key"]), i["image_key"]) == n + 1))
     links = F.flatten(F.transform(distinct, lambda i: F.array(F.lit(""), md.image_link(F.concat(F.lit(md.SLIDE + " "), i["slide"].cast("string")), F.coalesce(i["image_path"], F.lit(""))))))
     quoted = F.transform(F.concat(said, links), lambda x: F.rtrim(F.concat(F.lit("> "), x)))
     return F.when(F.col("slide").isNull(), F.lit("")).otherwise(F.concat(F.array_join(quoted, "\n"), F.lit("\n\n")))

@@ -154,5 +154,13 @@ class FakeAsr:
         pass
 
 
+class FakePunctuator:
+    """A capital and a full stop for each chunk: a factory that makes a function from text to text."""
+
+    def __call__(self):
+        return lambda text: text[:1].upper() + text[1:] + "."
+
+
+PUNCTUATION.register("fake", FakePunctuator())
 OCR.register("fake", FakeOcr)
 ASR.register("fake", FakeAsr, "test")

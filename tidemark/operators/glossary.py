@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import line_key, term_key
+from ..functions.text import folded, line_key, term_key
 from .stages import staged
 
 #: Words that are no terms.
@@ -53,8 +54,8 @@ def terms_of(c: Column, rules: GlossaryRules = GlossaryRules()) -> Column:
 
 
 def key_of(term: Column) -> Column:
-    """A term's key: the keys of its words."""
-    return F.array_join(F.transform(F.split(term, " "), term_key), " ")
+    """A term's key: the keys of its words, folded."""
+    return F.array_join(F.transform(F.split(folded(term), " "), term_key), " ")
 
 
 def decoration(fragments: DataFrame, key: str, slide: str, text: str, bbox: str, rules: GlossaryRules = GlossaryRules()) -> DataFrame:
@@ -71,15 +72,16 @@ def decoration(fragments: DataFrame, key: str, slide: str, text: str, bbox: str,
     placed = f.join(often.select(key, "line", "_mx", "_my"), [key, "line"])
     near = (F.abs(F.col("_x") - F.col("_mx")) <= rules.tolerance) & (F.abs(F.col("_y") - F.col("_my")) <= rules.tolerance)
     stable = placed.groupBy(key, "line").agg(F.avg(near.cast("int")).alias("_share"), F.min("_t").alias("_t")).where(F.coalesce(F.col("_share") >= rules.stable_ratio, F.lit(True)))
-    words = lambda df: df.select(key, "line", F.explode(F.filter(terms_of(F.col("_t"), rules), lambda t: ~F.contains(t, F.lit(" ")))).alias("_w")).select(key, "line", term_key(F.col("_w")).alias("_k"))
+    words = lambda df: df.select(key, "line", F.explode(F.filter(terms_of(F.col("_t"), rules), lambda t: ~F.contains(t, F.lit(" ")))).alias("_w")).select(key, "line", term_key(folded(F.col("_w"))).alias("_k"))
     own = words(f.join(stable.select(key, "line"), [key, "line"], "left_anti")).select(key, "_k").distinct().withColumn("_own", F.lit(True))
     made = words(stable).join(own, [key, "_k"], "left").groupBy(key, "line").agg(F.bool_and(F.coalesce("_own", F.lit(False))).alias("_all")).where("_all").select(key, "line")
     return stable.select(key, "line").join(made, [key, "line"], "left_anti")
 
 
 def stopped_keys(rules: GlossaryRules) -> list[str]:
-    """Entries as given: phrases and each of their words; their keys are made where they are compared."""
-    return sorted({p for e in rules.stopped for p in (e, *e.split())})
+    """Entries, folded: phrases and each of their words; the keys' endings are cut where they are compared."""
+    fold = lambda x: unicodedata.normalize("NFKC", x).casefold()
+    return sorted({fold(p) for e in rules.stopped for p in (e, *e.split())})
 
 
 def build(fragments: DataFrame, key: str, slide: str, pos: str, text: str, bbox: str, rules: GlossaryRules = GlossaryRules(), kind: str = "kind", low: str = "low_confidence") -> DataFrame:
@@ -87,10 +89,12 @@ def build(fragments: DataFrame, key: str, slide: str, pos: str, text: str, bbox:
     lines = fragments.where(F.col(kind) == "text")
     kept = lines if rules.with_low_confidence else lines.where(~F.col(low))
     kept = kept.withColumn("line", line_key(F.col(text))).join(decoration(lines, key, slide, text, bbox, rules), [key, "line"], "left_anti")
-    rows = kept.select(key, slide, pos, F.posexplode(terms_of(F.col(text), rules)).alias("_i", "surface")).withColumn("_key", key_of(F.col("surface"))).where(F.col("_key") != "")
+    rows = kept.select(key, slide, pos, F.posexplode(terms_of(F.col(text), rules)).alias("_i", "surface"))
+    # keys are made for different forms, of which there are few, not for each place
+    forms = rows.groupBy(key, "surface").agg(F.count("*").alias("n"), F.min(F.struct(slide, pos, "_i")).alias("first")).withColumn("_key", key_of(F.col("surface"))).where(F.col("_key") != "")
     if rules.stopped:
-        rows = rows.where(~F.col("_key").isin([key_of(F.lit(x)) for x in stopped_keys(rules)]))
-    forms = rows.groupBy(key, "_key", "surface").agg(F.count("*").alias("n"), F.min(F.struct(slide, pos, "_i")).alias("first"))
+        words = [F.array_join(F.transform(F.split(F.lit(x), " "), term_key), " ") for x in stopped_keys(rules)]
+        forms = forms.where(~F.col("_key").isin(words))
     best = F.min_by("surface", F.struct(-F.col("n"), F.length("surface"), "surface"))
     found = forms.groupBy(key, "_key").agg(F.sum("n").alias("total"), F.min("first").alias("first"), best.alias("term"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("total"), "first", "term"))

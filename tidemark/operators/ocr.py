@@ -16,6 +16,12 @@ def mark_low(fragments: DataFrame, confidence: str = "confidence", low: str = "l
     return fragments.withColumn(low, F.col(low) | (F.col(confidence) < least))
 
 
+def remapped(slides: DataFrame, moved: DataFrame, keys: list[str], path: str = "image_path") -> DataFrame:
+    """slides with the paths that moved (keys, path) names for them; the others keep theirs."""
+    new = moved.select(*keys, F.col(path).alias("_to"))
+    return slides.join(new, keys, "left").withColumn(path, F.coalesce("_to", path)).drop("_to")
+
+
 def drop_handwriting(fragments: DataFrame, key: list[str], text: str, confidence: str) -> tuple[DataFrame, DataFrame]:
     """(fragments without handwriting, key with how many were dropped)."""
     hand = routing.looks_like_handwriting(F.col(text), F.col(confidence))
@@ -72,21 +78,34 @@ def formula_confidence(line: Column, most: float = FORMULA_MOST) -> Column:
 
 
 _QUAD = "array<array<double>>"
-PADDLE_2 = f"array<struct<quad:{_QUAD},read:struct<text:string,confidence:double>>>"
 
 
 def box_of(quad: Column) -> Column:
-    """The bounding box of four corners."""
+    """The bounding box of four corners, whole numbers by rounding half to even."""
     xs, ys = F.transform(quad, lambda p: p[0]), F.transform(quad, lambda p: p[1])
     x, y = F.array_min(xs), F.array_min(ys)
-    return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), (F.array_max(xs) - x).cast("int").alias("width"), (F.array_max(ys) - y).cast("int").alias("height"))
+    whole = lambda c: F.bround(c).cast("int")
+    return F.struct(whole(x).alias("x"), whole(y).alias("y"), (whole(F.array_max(xs)) - whole(x)).alias("width"), (whole(F.array_max(ys)) - whole(y)).alias("height"))
 
 
 def parse_recognised(df: DataFrame, json: str) -> DataFrame:
-    """Explodes recogniser output given as JSON with parallel lists (polys, texts, scores) into text, confidence, bbox."""
-    parsed = F.from_json(F.col(json), f"rec_texts array<string>, rec_scores array<double>, dt_polys array<{_QUAD}>")
-    rows = df.withColumn("_j", parsed).select("*", F.posexplode(F.arrays_zip("_j.rec_texts", "_j.rec_scores", "_j.dt_polys")).alias("pos", "_r")).drop("_j")
-    return rows.select("*", F.col("_r.rec_texts").alias("text"), F.col("_r.rec_scores").alias("confidence"), box_of(F.col("_r.dt_polys")).alias("bbox")).drop("_r")
+    """Explodes a recogniser's output, given as JSON, into pos, text, confidence, bbox.
+
+    Two shapes are known: parallel lists (rec_texts, rec_scores, rec_polys or
+    dt_polys), one object or a list of them, and nested lists of [quad, [text,
+    score]] by page. What fits neither has no rows.
+    """
+    page = f"struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<{_QUAD}>,dt_polys:array<{_QUAD}>>"
+    line = "array<array<array<string>>>"
+    text = F.trim(F.col(json))
+    lists = text.rlike(r"^\[\s*\[")
+    pages = F.when(lists, F.lit(None)).when(text.startswith("["), F.from_json(text, f"array<{page}>")).otherwise(F.array(F.from_json(text, page)))
+    parallel = F.flatten(F.transform(pages, lambda p: F.transform(p["rec_texts"], lambda t, n: F.struct(t.alias("text"), F.get(p["rec_scores"], n).alias("confidence"), box_of(F.get(F.coalesce(p["rec_polys"], p["dt_polys"]), n)).alias("bbox")))))
+    # a nested line is a quad and a pair of different kinds, so both are read as JSON texts first
+    nested = F.transform(F.flatten(F.from_json(text, line)), lambda x: F.struct(F.from_json(x[0], _QUAD).alias("q"), F.from_json(x[1], "array<string>").alias("t")))
+    nested = F.transform(F.filter(nested, lambda x: x["q"].isNotNull() & x["t"].isNotNull()), lambda x: F.struct(x["t"][0].alias("text"), x["t"][1].try_cast("double").alias("confidence"), box_of(x["q"]).alias("bbox")))
+    rows = df.select("*", F.posexplode(F.coalesce(F.when(lists, nested), parallel)).alias("pos", "_r"))
+    return rows.select(*df.columns, "pos", "_r.*")
 
 
 def _formula_body(c: Column) -> Column:

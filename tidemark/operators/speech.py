@@ -50,6 +50,24 @@ def detect(samples: DataFrame, keys: list[str], index: str, value: str, frame: i
     return found.join(whole, keys).select(*keys, "start", F.least("end", "_end").alias("end"))
 
 
+def slice_samples(samples: Column, rate: Column, start: Column, end: Column) -> Column:
+    """The samples of an interval, kept within what there is; none if nothing is left. Places round half to even."""
+    a = F.greatest(F.lit(0), F.bround(start * rate).cast("int"))
+    z = F.least(F.size(samples), F.bround(end * rate).cast("int"))
+    return F.when(z > a, F.slice(samples, a + 1, z - a)).otherwise(F.slice(samples, F.lit(1), F.lit(0)))
+
+
+SEGMENTS = "array<struct<text:string,start:double,end:double,words:array<struct<word:string,start:double,end:double,probability:double>>>>"
+
+
+def collect_words(df: DataFrame, segments: str) -> DataFrame:
+    """A recogniser's segments as words in order (pos, text, start_s, end_s, confidence): a segment's words, or the segment as one where it has none; blanks go."""
+    whole = lambda s: F.array(F.struct(s["text"].alias("word"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("probability")))
+    found = F.flatten(F.transform(segments, lambda s: F.when(F.coalesce(F.size(s["words"]), F.lit(0)) > 0, s["words"]).otherwise(whole(s))))
+    spoken = F.filter(F.transform(found, lambda w: F.struct(F.trim(w["word"]).alias("text"), w["start"].alias("start_s"), w["end"].alias("end_s"), w["probability"].alias("confidence"))), lambda w: w["text"] != "")
+    return df.select(*[c for c in df.columns if c != segments], F.posexplode(spoken).alias("pos", "_w")).select(*[c for c in df.columns if c != segments], "pos", "_w.*")
+
+
 def vad_backend(wanted: str, available: bool) -> tuple[str, list[str]]:
     """Which detector runs, with warnings: 'auto' takes the model if it can run, else energy."""
     if wanted == "energy" or (wanted == "auto" and not available):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds of region detection.
@@ -148,6 +148,17 @@ def hash_pictures(df: DataFrame, pixels: str, width: str, height: str, size: int
     return df.withColumn("hash", F.pandas_udf(of, "array<bigint>")(pixels, width, height))
 
 
+def last_frames(frames: DataFrame, keys: list[str], time: str, n: int = 5) -> DataFrame:
+    """The last n frames of each group, on which its region is looked for again."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(time))
+    return frames.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def enough(stats: DataFrame, size: str = "sample_size", least: int = LEAST_SAMPLE) -> DataFrame:
+    """Statistics of samples large enough that 'static' means something; a region is not looked for in others."""
+    return stats.where(F.col(size) >= least)
+
+
 def refined(group_rect: Column, found: Column, overlap: Column, least: float = 0.5) -> Column:
     """The region found at a group's last frames if it overlaps the group's enough, else the group's."""
     return F.when(found.isNotNull() & (overlap >= least), found).otherwise(group_rect)

@@ -58,6 +58,17 @@ class Cell:
         return self.spark.read.parquet(self.path)
 
 
+def fingerprint(folder: str | None = None) -> str:
+    """A digest of the package's Python files, names and contents: part of the identity, so that a change of code renews all results."""
+    import pathlib
+
+    base = pathlib.Path(folder) if folder else pathlib.Path(__file__).parent.parent
+    made = hashlib.sha256()
+    for path in sorted(base.rglob("*.py")):
+        made.update(path.relative_to(base).as_posix().encode() + b"\0" + hashlib.sha256(path.read_bytes()).digest())
+    return made.hexdigest()[:KEY_LENGTH]
+
+
 #: Bytes of each of the three places that a sampled identity looks at.
 SAMPLE = 1 << 20
 

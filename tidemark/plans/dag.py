@@ -44,6 +44,9 @@ class Context:
     spark: SparkSession
     params: dict
     results: dict[str, DataFrame] = field(default_factory=dict)
+    inputs: dict[str, DataFrame] = field(default_factory=dict)
+    rules: object = None
+    warnings: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -51,13 +54,15 @@ class Report:
     hits: list[str] = field(default_factory=list)
     made: list[str] = field(default_factory=list)
     seconds: dict[str, float] = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)
 
 
-def run(spark: SparkSession, root: str, identity: str, functions: dict[str, Callable[[Context], DataFrame]], params: dict[str, dict], stages=None, first=None, only=None, use_cache: bool = True) -> tuple[dict[str, DataFrame], Report]:
+def run(spark: SparkSession, root: str, identity: str, functions: dict[str, Callable[[Context], DataFrame]], params: dict[str, dict], stages=None, first=None, only=None, use_cache: bool = True, inputs=None, rules=None) -> tuple[dict[str, DataFrame], Report]:
     """Results of all stages that are selected or cached. A stage's key holds its parents' keys, so a change renews it and what follows."""
     stages = checked(stages or STAGES)
     chosen, keys, report = selected(stages, first, only), {}, Report()
-    context = Context(spark, params)
+    context = Context(spark, params, inputs=inputs or {}, rules=rules)
+    report.warnings = context.warnings
     for name, needs in stages.items():
         keys[name] = key(name, params.get(name, {}), identity, [keys[n] for n in needs])
         cell = Cell(spark, root, name, keys[name], use_cache or name not in chosen)

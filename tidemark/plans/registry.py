@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import timeline, transcripts
+from . import records, timeline, transcripts
 
-MODULES = [timeline, transcripts]
+MODULES = [timeline, transcripts, records]
 
 
 def queries():

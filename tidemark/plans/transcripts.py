@@ -146,8 +146,8 @@ def q37_validate_intervals(spark, sf):
 
 
 def q38_prompt_budget(spark, sf):
-    t = v.table(spark, sf, "documents").select("source", "doc_id", F.get(F.split(F.trim("text"), "\\s+"), F.lit(0)).alias("term"))
-    kept = statistics.prompt_budget(t, ["source"], "doc_id", "term", 200)
+    t = v.table(spark, sf, "documents").select("source", "doc_id", F.trim("text").alias("term"))
+    kept = statistics.prompt_budget(t, ["source"], "doc_id", "term", 20_000)
     return statistics.prompt(kept, ["source"], "doc_id", "term")
 
 
@@ -232,7 +232,7 @@ def q51_fragment_markdown(spark, sf):
 
 
 def q52_term_keys(spark, sf):
-    """Keys of Russian words given as rows, besides those of the documents' first words."""
+    """Keys of Russian words given as rows."""
     words = F.array(*map(F.lit, "уравнение уравнений уравнениями корень корни корней точка точками предел пределов синуса ёлка ёлки Виета день квадратный квадратного".split()))
     w = v.table(spark, sf, "region").select("r_regionkey", F.explode(words).alias("word"))
     return w.select("r_regionkey", "word", term_key(F.col("word")).alias("key"))
@@ -260,7 +260,7 @@ def _sql_key(c: str) -> str:
 
 
 _KEYED = _TERMS + f""", keyed AS (SELECT *, array_to_string(list_transform(string_split(surface, ' '), lambda w: {_sql_key('w')}), ' ') AS key FROM terms)"""
-_LINE = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_LINE = r"trim(regexp_replace(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), 'ё', 'е'), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def _decoration(ratio, stable, tolerance):
@@ -367,8 +367,8 @@ ORACLES = {
         SELECT recording_id, count(*) AS n, count(*) FILTER (st < ps) AS backward, count(*) FILTER (en < st) AS reversed, count(*) FILTER (st < -0.05) AS early, count(*) FILTER (en > 2000.05) AS late, count(*) FILTER (en = st) AS zero_length FROM b GROUP BY recording_id""",
     "q37_validate_intervals": f"""WITH {v.SLIDES}, b AS (SELECT *, lag(s1) OVER w AS e, lag(slide_index) OVER w AS i FROM slides WINDOW w AS (PARTITION BY recording_id ORDER BY s0, slide_index))
         SELECT recording_id, count(*) AS n, count(*) FILTER (slide_index <> i + 1) AS numbering_gaps, count(*) FILTER (s0 < e) AS overlaps, count(*) FILTER (s1 <= s0) AS empty FROM b GROUP BY recording_id""",
-    "q38_prompt_budget": """WITH t AS (SELECT source, doc_id, string_split_regex(trim(text), '\\s+')[1] AS term FROM documents), c AS (SELECT *, sum(length(term) + 2) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM t WHERE trim(term) <> '')
-        SELECT source, string_agg(term, ', ' ORDER BY doc_id) AS prompt FROM c WHERE used <= 200 GROUP BY source""",
+    "q38_prompt_budget": """WITH t AS (SELECT source, doc_id, trim(text) AS term FROM documents), c AS (SELECT *, sum(length(term) + 2) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM t WHERE trim(term) <> '')
+        SELECT source, string_agg(term, ', ' ORDER BY doc_id) AS prompt FROM c WHERE used <= 20000 GROUP BY source""",
     "q39_distinct_content_hash": "SELECT source, sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY ALL",
     "q40_word_chunks": f"WITH {v.WORDS} SELECT recording_id, pos // 64 AS chunk, min(pos) AS first, max(pos) AS last, count(*) AS n FROM words GROUP BY ALL",
     "q41_section_headings": r"""WITH b AS (SELECT doc_id, string_split(trim(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g')), chr(10)) AS ls FROM documents),

@@ -15,3 +15,36 @@ def write_transcripts(transcripts: DataFrame, path: str, key: str = "recording_i
 def stale(have: DataFrame, want: DataFrame, name: str) -> DataFrame:
     """Numbered slide pictures that no transcript refers to any more."""
     return have.where(F.col(name).rlike("(^|/)slide_[0-9]{3,}\\.png$")).join(want.select(name).distinct(), name, "left_anti")
+
+
+def publish(spark, text: str, pictures: dict[str, str], folder: str, name: str = "transcript.md") -> list[str]:
+    """One recording's transcript and slide pictures (name -> path) put into a folder; names of the numbered pictures removed there.
+
+    The folder is on the driver's file system, as a user's is. Files are written
+    beside their place and renamed; only slide pictures that the transcript no
+    longer has are removed, whatever else a user keeps there stays.
+    """
+    import os
+    import re
+    import shutil
+
+    def put(path, fill):
+        with open(path + ".part", "wb") as f:
+            fill(f)
+        os.replace(path + ".part", path)
+
+    os.makedirs(folder, exist_ok=True)
+    put(os.path.join(folder, name), lambda f: f.write(text.replace("\r\n", "\n").replace("\r", "\n").encode()))
+    images = os.path.join(folder, "slides")
+    have = spark.createDataFrame([(x,) for x in sorted(os.listdir(images))] if os.path.isdir(images) else [], "name string")
+    want = spark.createDataFrame([(x,) for x in pictures], "name string")
+    gone = sorted(r["name"] for r in stale(have, want, "name").collect())
+    for x in gone:
+        os.remove(os.path.join(images, x))
+    for x, path in pictures.items():
+        if not re.fullmatch(r"slide_[0-9]{3,}\.png", x):
+            raise ValueError(f"{x} is no name of a slide's picture")
+        os.makedirs(images, exist_ok=True)
+        with open(path, "rb") as source:
+            put(os.path.join(images, x), lambda f, source=source: shutil.copyfileobj(source, f))
+    return gone
