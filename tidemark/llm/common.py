@@ -53,7 +53,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.parquet(path)
     _WRITTEN.append(path)
     made = spark.read.schema(df.schema).parquet(path)
@@ -102,10 +102,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of texts in an Arrow batch: batches are bounded by rows, and texts may be long.
-BATCH_ROWS = 1000
-
-
 def fewer(batches, rows: int = 500):
     """Batches of at most so many rows: what a function makes of a batch is bounded by rows."""
     for batch in batches:
