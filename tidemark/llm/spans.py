@@ -3,7 +3,7 @@
 Spark returns matches but not their places. Splitting the text by the same
 pattern gives the gaps between them, so a running sum of the lengths of gaps
 and matches is each match's place. All places are in code points. Sums are made
-in blocks, so a text with very many matches costs no quadratic copying.
+in two levels, so a text with very many matches costs no quadratic copying.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
-_BLOCK = 32
 
 
 def matches(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str, Column] | None = None) -> DataFrame:
@@ -30,21 +29,30 @@ def matches(df: DataFrame, text: str, patterns: dict[str, str], needs: dict[str,
     return df
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), in which value is made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _running(lengths: Column) -> Column:
-    """array<struct<g, m>> of gap and match lengths -> array<struct<start, end>>."""
-    spans = "array<struct<start:int,end:int>>"
-    empty = F.array().cast(spans)
-
-    def step(acc, x):
-        place = F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))
-        full = F.size(acc["block"]) >= _BLOCK
-        return F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"), F.when(full, place).otherwise(F.concat(acc["block"], place)).alias("block"),
-            F.when(full, F.concat(acc["out"], F.array(acc["block"]))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("block"), F.array().cast(f"array<{spans}>").alias("out"))
-    return F.aggregate(lengths, start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["block"]))))
+    """array<struct<g, m>> of gap and match lengths -> array<struct<start, end>>.
+
+    The array is cut into about as many blocks as a block has entries; a place is
+    the sum of the blocks before plus that of its block up to it. A fold that
+    carried the result along would copy it at each step.
+    """
+    total = lambda pairs: F.aggregate(pairs, F.lit(0), lambda a, x: a + x["g"] + x["m"])
+    size = lambda pairs: F.ceil(F.sqrt(F.size(pairs))).cast("int")
+    blocks = lambda pairs: _let(size(pairs), lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / n).cast("int")), lambda k: F.slice(pairs, k * n + 1, n)))
+    before = lambda sums: F.transform(sums, lambda s, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda a, x: a + x))
+
+    def placed(block, offset):
+        def one(x, i):
+            return _let(offset + total(F.slice(block, F.lit(1), i)) + x["g"], lambda at: F.struct(at.alias("start"), (at + x["m"]).alias("end")))
+
+        return F.transform(block, one)
+
+    return _let(lengths, lambda pairs: _let(blocks(pairs), lambda bs: F.flatten(F.zip_with(bs, _let(F.transform(bs, total), before), placed))))
 
 
 def located(df: DataFrame, names: list[str]) -> DataFrame:
