@@ -72,9 +72,11 @@ def decoration(fragments: DataFrame, key: str, slide: str, text: str, bbox: str,
     placed = f.join(often.select(key, "line", "_mx", "_my"), [key, "line"])
     near = (F.abs(F.col("_x") - F.col("_mx")) <= rules.tolerance) & (F.abs(F.col("_y") - F.col("_my")) <= rules.tolerance)
     stable = placed.groupBy(key, "line").agg(F.avg(near.cast("int")).alias("_share"), F.min("_t").alias("_t")).where(F.coalesce(F.col("_share") >= rules.stable_ratio, F.lit(True)))
-    words = lambda df: df.select(key, "line", F.explode(F.filter(terms_of(F.col("_t"), rules), lambda t: ~F.contains(t, F.lit(" ")))).alias("_w")).select(key, "line", term_key(folded(F.col("_w"))).alias("_k"))
-    own = words(f.join(stable.select(key, "line"), [key, "line"], "left_anti")).select(key, "_k").distinct().withColumn("_own", F.lit(True))
-    made = words(stable).join(own, [key, "_k"], "left").groupBy(key, "line").agg(F.bool_and(F.coalesce("_own", F.lit(False))).alias("_all")).where("_all").select(key, "line")
+    said = lambda df: df.select(key, "line", F.explode(F.filter(terms_of(F.col("_t"), rules), lambda t: ~F.contains(t, F.lit(" ")))).alias("_w"))
+    keyed = lambda df: df.withColumn("_k", term_key(folded(F.col("_w")))).drop("_w")
+    # keys are made for different words, not for each place
+    own = keyed(said(f.join(stable.select(key, "line"), [key, "line"], "left_anti")).select(key, "_w").distinct()).distinct().withColumn("_own", F.lit(True))
+    made = keyed(said(stable)).join(own, [key, "_k"], "left").groupBy(key, "line").agg(F.bool_and(F.coalesce("_own", F.lit(False))).alias("_all")).where("_all").select(key, "line")
     return stable.select(key, "line").join(made, [key, "line"], "left_anti")
 
 
