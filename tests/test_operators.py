@@ -1,13 +1,14 @@
 """Operators against brute force in plain Python, their boundaries, and degenerate inputs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import markdown as md
-from tidemark.functions import routing, text
+from tidemark.functions import folds, routing, text
 from tidemark.operators import cleanup, glossary, intervals, islands, ocr, paragraphs, speech, statistics, transcript, vision
 
 
@@ -373,3 +374,56 @@ def test_layout_covers_without_gaps(spark):
     got = layout.layout_intervals(df, "k", "i", "t", "p", "g", 1.0, 2.0, 20.0).orderBy("piece").collect()
     assert [(x.start, x.end, x.present) for x in got] == [(0.0, 5.0, False), (5.0, 35.0, True), (35.0, 68.0, True), (68.0, 70.0, False), (70.0, 100.0, True)]
     assert got[0].region is None and tuple(got[1].region) == r
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_within_against_brute_force(spark, closed):
+    rng = np.random.default_rng(5)
+    points = [(int(k), int(n), int(t)) for n, (k, t) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 120, 400)))]
+    spans = []
+    for k in range(4):
+        edges = sorted(rng.choice(120, 12, replace=False).tolist())
+        spans += [(k, i, a, b) for i, (a, b) in enumerate(zip(edges[::2], edges[1::2]))]
+    spans.append((0, 99, 200, 200))
+    points += [(0, 1000, 200), (2, 1001, None), (None, 1002, 5)]
+    p = spark.createDataFrame(points, "k int, n int, t int")
+    s = spark.createDataFrame(spans, "k int, i int, a int, b int")
+    got = sorted(tuple(r) for r in intervals.within(p, s, "k", "t", "a", "b", "i", closed=closed).collect())
+    want = sorted((k, n, t, i) for k, n, t in points if t is not None for q, i, a, b in spans if q == k and a <= t and (t <= b if closed else t < b))
+    assert got == want and len(got) > 100
+
+
+def test_folds_gather_all_in_order(spark):
+    got = spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(1000)), F.struct(*folds.nothing("int")), lambda a, x: F.struct(*folds.added(a, x, x % 3 > 0)), folds.gathered).alias("x")).first().x
+    assert got == [x for x in range(1, 1001) if x % 3 > 0]
+    none = spark.range(1).select(F.aggregate(F.array().cast("array<int>"), F.struct(*folds.nothing("int")), lambda a, x: F.struct(*folds.added(a, x)), folds.gathered).alias("x")).first().x
+    assert none == []
+
+
+def test_long_walks_stay_linear():
+    words = [f"w{n}" for n in range(40_000)]
+    began = time.perf_counter()
+    assert cleanup.Collapser(cleanup.CleanupRules()).keep(words) == list(range(40_000))
+    assert cleanup.Collapser(cleanup.CleanupRules()).keep(["ещё раз вот"] * 3 + words[:5]) == [2, 3, 4, 5, 6, 7]
+    assert time.perf_counter() - began < 20
+
+
+def test_refined_regions(spark):
+    def rows(g, mask):
+        return [(g, y, x, 200.0 if m else 10.0, bool(m)) for (y, x), m in np.ndenumerate(mask)]
+
+    box = lambda y0, y1, x0, x1: np.pad(np.ones((y1 - y0, x1 - x0), bool), ((y0, 60 - y1), (x0, 80 - x1)))
+    grid = box(10, 50, 20, 70)
+    grid[:, 22:70:5] = False  # gaps that the weak closing bridges
+    far = box(40, 58, 60, 79)
+    stats = spark.createDataFrame(rows("same", box(10, 50, 20, 70)) + rows("lines", grid) + rows("far", far) + rows("dark", np.zeros((60, 80), bool)), "g string, y int, x int, b double, s boolean")
+    rect = "struct<x:int,y:int,width:int,height:int>"
+    groups = spark.createDataFrame([(g, (18, 8, 50, 40)) for g in ("same", "lines", "far", "dark", "unseen")], f"g string, rect {rect}")
+    got = {r.g: (tuple(r.rect), r.refined) for r in vision.refine_regions(groups, stats, ["g"], "rect", "y", "x", "b", "s").collect()}
+    assert got["same"] == ((20, 10, 50, 40), True) and got["lines"][1]
+    assert all(got[g] == ((18, 8, 50, 40), False) for g in ("far", "dark", "unseen"))
+    split = np.pad(np.ones((40, 50), bool), ((10, 10), (20, 10)))
+    split[:, 42:48] = False  # a gap that only the usual closing bridges
+    stats = spark.createDataFrame(rows("split", split), "g string, y int, x int, b double, s boolean")
+    tries = {r.attempt: r.width for r in vision.find_regions(stats, ["g"], "y", "x", "b", "s", (vision.REFINE_CLOSE, vision.CLOSE)).collect()}
+    assert tries[0] < 50 and tries[1] == 50

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import cli, config, errors, schemas
-from tidemark.operators import assembly, ocr, speech
+from tidemark.operators import assembly, backends, ocr, speech
 from tidemark.plans import cache, dag, stages
-from tidemark.sources import media, sinks
+from tidemark.sources import media, probe, sinks
 
 
 def inputs(spark):
@@ -146,3 +146,45 @@ def test_words_of_segments_and_samples(spark):
 def test_command_line_changes(tmp_path, capsys):
     assert cli.main(["settings", "--set", "slide_ocr.backend=vlm"]) == 0 and 'backend: "vlm"' in capsys.readouterr().out
     assert cli.main(["settings", "--set", "slide_ocr.nothing=1"]) == 2
+
+
+def test_command_line_stages(spark, tmp_path, capsys):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for name, df in inputs(spark).items():
+        if name != "pictures":
+            df.write.parquet(f"{folder}/{name}.parquet")
+    fakes = [x for k in ("slide_ocr.backend=fake", "speech_transcription.backend=fake", "speech_transcription.punctuation=fake", "speech_transcription.vad_backend=energy") for x in ("--set", k)]
+    call = [str(folder), "--stages", *fakes, "--set", f"cache.dir={tmp_path / 'cells'}"]
+    assert cli.main([*call, "--only-stage", "merge", "--no-cache"]) == 2 and "ocr, punctuation, slides" in capsys.readouterr().err
+    assert cli.main([*call, "--only-stage", "merge"]) == 2 and "run them first" in capsys.readouterr().err
+    assert cli.main([*call, "--out", str(out)]) == 0
+    assert {d for d in os.listdir(out) if d.startswith("recording_id=")} == {"recording_id=lecture", "recording_id=talk"}
+    assert "merge cached" not in capsys.readouterr().out
+    assert cli.main(call) == 0 and capsys.readouterr().out.count("cached") == len(dag.STAGES)
+    assert cli.main([*call, "--from-stage", "punctuation", "--set", "transcript_assembly.timecode_every_s=5.0"]) == 0
+    lines = dict(x.split(" ", 1) for x in capsys.readouterr().out.splitlines())
+    assert lines["audio"] == "cached" and lines["merge"].endswith(" s")
+    assert cli.main([str(tmp_path / "none"), "--stages", *fakes]) == 2
+    with pytest.raises(SystemExit):
+        cli.main([*call, "--from-stage", "ocr", "--only-stage", "ocr"])
+
+
+def test_models_are_released_whatever_happens(caplog):
+    class Stuck:
+        name = "stuck"
+
+        def unload(self):
+            raise RuntimeError("busy")
+
+    backends.release(Stuck())
+    backends.release(object())
+    assert "stuck can't be released: busy" in caplog.text
+
+
+def test_size_of_the_source(spark):
+    def video(**more):
+        return json.dumps({"format": {}, "streams": [{"index": 0, "codec_type": "video"} | more]})
+
+    df = spark.createDataFrame([("a", video(width=1280, height=720)), ("b", video(width=0, height=720)), ("c", video()), ("d", json.dumps({"streams": [{"index": 0, "codec_type": "audio"}]}))], "r string, j string")
+    got = probe.parse(df, "j").select("r", probe.source_size(F.col("video")).alias("s"), probe.source_width(F.col("video")).alias("w")).collect()
+    assert {r.r: (r.s and tuple(r.s), r.w) for r in got} == {"a": ((1280, 720), 1280), "b": (None, None), "c": (None, None), "d": (None, None)}

@@ -1,4 +1,6 @@
-"""python -m tidemark.cli: run registered queries over a folder of tables and write their results as Parquet; 'settings' instead of a folder prints all settings with the changes given."""
+"""python -m tidemark.cli: run registered queries over a folder of tables and write their results as Parquet; 'settings'
+instead of a folder prints all settings with the changes given; --stages makes transcripts from a folder's media, audio and
+pictures (Parquet; without pictures the transcripts have no slides)."""
 
 from __future__ import annotations
 
@@ -7,6 +9,42 @@ import sys
 
 from . import config
 from .errors import ConfigError, PipelineError
+from .plans import cache, dag, stages
+from .sources import sinks
+
+
+def _stages(a, settings) -> int:
+    """0: done; 1: the stages have run, but there is no transcript; 2: wrong arguments or settings, or no input."""
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import SparkSession
+
+    if a.no_cache and (lacking := dag.from_cache(dag.STAGES, dag.selected(dag.STAGES, a.from_stage, a.only_stage))):
+        print(f"without the cache there is no {', '.join(lacking)}; select them too", file=sys.stderr)
+        return 2
+    stages.set_up_logging(a.verbose)
+    spark = SparkSession.builder.appName("tidemark").getOrCreate()
+    try:
+        inputs = {n: spark.read.parquet(f"{a.tables}/{n}.parquet") for n in ("media", "audio")}
+        try:
+            inputs["pictures"] = spark.read.parquet(f"{a.tables}/pictures.parquet")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            inputs["pictures"] = spark.createDataFrame([], stages.PICTURES)
+        root = settings.cache.dir if "://" in settings.cache.dir or settings.cache.dir.startswith("/") else f"{a.tables}/{settings.cache.dir}"
+        use = settings.cache.enabled and not a.no_cache
+        results, report = stages.run(spark, root, inputs, settings, cache.file_identity(spark, a.tables + "/*.parquet"), first=a.from_stage, only=a.only_stage, use_cache=use)
+        for name in dag.STAGES:
+            print(name, "cached" if name in report.hits else f"{report.seconds[name]:.1f} s" if name in report.made else "left out")
+        if a.out and "merge" in results:
+            sinks.write_transcripts(results["merge"], a.out)
+    except (PipelineError, AnalysisException) as e:
+        print(e, file=sys.stderr)
+        return 2
+    except KeyboardInterrupt:
+        return 130
+    wanted = "merge" in dag.selected(dag.STAGES, a.from_stage, a.only_stage)
+    return 1 if wanted and "merge" not in results else 0
 
 
 def main(args: list[str] | None = None) -> int:
@@ -20,12 +58,21 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--out", help="folder for results; without it, rows are shown")
     p.add_argument("--explain", action="store_true", help="print the plans")
     p.add_argument("--set", action="append", default=[], metavar="SECTION.KEY=VALUE", help="a change of settings")
+    p.add_argument("--config", help="file of settings")
+    p.add_argument("--stages", action="store_true", help="run the stages of a transcript")
+    part = p.add_mutually_exclusive_group()
+    part.add_argument("--from-stage", choices=list(dag.STAGES))
+    part.add_argument("--only-stage", choices=list(dag.STAGES))
+    p.add_argument("--no-cache", action="store_true", help="make all that is selected anew")
+    p.add_argument("--verbose", action="store_true")
     a = p.parse_args(args)
     try:
-        settings = config.changed(config.Settings(), a.set)
+        settings = config.changed(config.load(a.config) if a.config else config.Settings(), a.set)
     except ConfigError as e:
         print(e, file=sys.stderr)
         return 2
+    if a.stages:
+        return _stages(a, settings)
     if a.tables == "settings":
         print(config.as_text(settings), end="")
         return 0

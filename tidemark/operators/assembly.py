@@ -57,8 +57,9 @@ def assemble(words: DataFrame, slides: DataFrame, ocr: DataFrame | None = None,
     _, found = placed_words(words, slides, rules)
     if check:
         check_complete(words, found)
-    spans = found.where(F.col("first_word").isNotNull()).select(F.col(KEY).alias("_k"), "section_pos", F.col("start").alias("section_start"), "first_word", "last_word")
-    spoken = words.join(spans, (F.col(KEY) == F.col("_k")) & F.col("pos").between(F.col("first_word"), F.col("last_word"))).select(KEY, "section_pos", "section_start", "pos", "text", "start_s", "end_s")
+    spans = found.where(F.col("first_word").isNotNull()).withColumn("section_start", F.col("start"))
+    spoken = intervals.within(words, spans, KEY, "pos", "first_word", "last_word", "section_pos", "section_start", closed=True)
+    spoken = spoken.select(KEY, "section_pos", "section_start", "pos", "text", "start_s", "end_s")
     keys = [KEY, "section_pos"]
     spoken = staged(spoken, "spoken")
     if rules.clean:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol
@@ -70,6 +71,14 @@ class Registry:
         return made
 
 
+def release(model) -> None:
+    """Free what a model holds, if it holds anything; one that can't be freed doesn't fail a run that has its results."""
+    try:
+        getattr(model, "unload", lambda: None)()
+    except Exception as e:
+        logging.getLogger("tidemark").warning("%s can't be released: %s", getattr(model, "name", model), e)
+
+
 OCR, ASR, PUNCTUATION = Registry("OCR back end"), Registry("ASR back end"), Registry("punctuator")
 
 FRAGMENT_ROWS = "slide_index int, pos int, text string, kind string, confidence double, low_confidence boolean, bbox struct<x:int,y:int,width:int,height:int>, error string"
@@ -91,7 +100,7 @@ def recognize(slides: DataFrame, factory: Callable, key: str = "recording_id") -
                         rows.append({key: rec, "slide_index": index, "pos": -1, "text": None, "kind": None, "confidence": None, "low_confidence": None, "bbox": None, "error": str(e)})
                 yield pd.DataFrame(rows, columns=[key, "slide_index", "pos", "text", "kind", "confidence", "low_confidence", "bbox", "error"])
         finally:
-            model.unload()
+            release(model)
 
     kind = dict(slides.dtypes)[key]
     return slides.select(key, "slide_index", "content").mapInPandas(run, f"{key} {kind}, {FRAGMENT_ROWS}")
@@ -111,7 +120,7 @@ def transcribe(pieces: DataFrame, factory: Callable, glossary: str = "", key: st
                         rows.append((rec, w["text"], a, max(a, min(low + w["end_s"], high)), w.get("confidence")))
                 yield pd.DataFrame(rows, columns=[key, "text", "start_s", "end_s", "confidence"])
         finally:
-            model.unload()
+            release(model)
 
     kind = dict(pieces.dtypes)[key]
     words = pieces.select(key, "start_s", "end_s", "rate", "samples").mapInPandas(run, f"{key} {kind}, text string, start_s double, end_s double, confidence double")

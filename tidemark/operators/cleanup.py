@@ -132,17 +132,16 @@ class Collapser:
     def keep(self, texts: list[str], sizes=None) -> list[int]:
         keys, live = [_bare(t) for t in texts], list(range(len(texts)))
         for n in sizes or range(self.rules.longest, 0, -1):
-            # what lies before `at` is settled; a loss shortens what lies behind
-            done, rest = [], live
+            # what is settled is done; the rest lies reversed, so that a look costs its few words whatever lies behind
+            done, rest = [], live[::-1]
             while rest:
-                side = self._loses(texts, keys, rest[: 2 * n + 1], 0, n)
+                side = self._loses(texts, keys, rest[: -2 * n - 2 : -1], 0, n)
                 if side == "early":
-                    rest = rest[n:]
+                    del rest[-n:]
                 elif side == "late":
-                    rest = rest[:n] + rest[2 * n :]
+                    del rest[-2 * n : -n]
                 else:
-                    done.append(rest[0])
-                    rest = rest[1:]
+                    done.append(rest.pop())
             live = done
         return live
 

@@ -54,6 +54,22 @@ def overlap_labels(points: DataFrame, spans: DataFrame, key: str, index: str, st
     return points.join(best, (F.col(key) == F.col("_k")) & (F.col(pos) == F.col("_p")), "left").drop("_k", "_p")
 
 
+def within(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, *values: str, closed: bool = False) -> DataFrame:
+    """points that lie in a span of their key, with the span's values; spans of a key don't overlap, and start is of at's type.
+
+    Spans are laid among the points by time, and each point looks back to the
+    last one: one window instead of a join of all points with all spans of a key.
+    A span that is not closed leaves its end out.
+    """
+    some = F.col(end) >= F.col(start) if closed else F.col(end) > F.col(start)
+    marks = spans.where(some).select(key, F.col(start).alias(at), F.struct(F.col(end).alias("_end"), *values).alias("_span"), F.lit(0).alias("_kind"))
+    rows = points.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("_span", F.last("_span", ignorenulls=True).over(w)).where("_kind = 1")
+    inside = F.col(at) <= F.col("_span._end") if closed else F.col(at) < F.col("_span._end")
+    return seen.where(inside).select(*points.columns, *[F.col("_span")[v].alias(v) for v in values])
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of two rectangles (x, y, width, height); 0 if they don't meet or only touch."""
     w = F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"])

@@ -33,8 +33,7 @@ def layout_intervals(frames: DataFrame, key: str, idx: str, ts: str, present: st
 
 def groups_of_layout(frames: DataFrame, found: DataFrame, key: str, idx: str, ts: str, hash_column: str, step: float, min_absence: float, threshold: int = 43, min_group: float = 0.0) -> DataFrame:
     """key, piece, group_id, start, end, representative, n: near-equal frames of each shown piece."""
-    p = found.where("present").select(F.col(key).alias("_k"), "piece", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = frames.join(p, (F.col(key) == F.col("_k")) & (F.col(ts) >= F.col("_s")) & (F.col(ts) < F.col("_e"))).drop("_k", "_s", "_e")
+    inside = intervals.within(frames, found.where("present"), key, ts, "start", "end", "piece")
     g = islands.frame_groups(inside, [key, "piece"], [idx], ts, hash_column, step, min_absence, threshold)
     return islands.long_groups(islands.group_table(g, [key, "piece"], "group_id", ts, idx, step), min_group)
 

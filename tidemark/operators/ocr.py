@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import markdown, routing
+from ..functions import folds, markdown, routing
 
 LOW, UNRELIABLE, ROW_TOLERANCE = 0.60, 0.5, 0.5
 CROP_PAD, FORMULA_MOST = 6, 0.85
@@ -42,7 +42,7 @@ def reading_order(fragments: DataFrame, keys: list[str], pos: str, bbox: str, to
     """
     boxed = F.struct(F.col(bbox)["y"].alias("y"), F.col(bbox)["x"].alias("x"), F.col(pos).alias("p"), F.col(bbox)["height"].cast("double").alias("h"))
     lists = fragments.where(F.col(bbox).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(boxed)).alias("_l"))
-    zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.lit(0.0).alias("tall"), F.array().cast("array<struct<p:bigint,row:int>>").alias("out"))
+    zero = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.lit(0.0).alias("tall"), *folds.nothing("struct<p:bigint,row:int>"))
 
     def step(acc: Column, f: Column) -> Column:
         centre = f["y"] + f["h"] / 2
@@ -51,10 +51,10 @@ def reading_order(fragments: DataFrame, keys: list[str], pos: str, bbox: str, to
         return F.struct(
             row.alias("row"), F.when(joins, (acc["mean"] * acc["n"] + centre) / (acc["n"] + 1)).otherwise(centre).alias("mean"),
             F.when(joins, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), F.when(joins, F.greatest(acc["tall"], f["h"])).otherwise(f["h"]).alias("tall"),
-            F.concat(acc["out"], F.array(F.struct(f["p"].cast("bigint").alias("p"), row.alias("row")))).alias("out"),
+            *folds.added(acc, F.struct(f["p"].cast("bigint").alias("p"), row.alias("row"))),
         )
 
-    rows = lists.select(*keys, F.inline(F.aggregate("_l", zero, step)["out"])).withColumnRenamed("p", pos)
+    rows = lists.select(*keys, F.inline(F.aggregate("_l", zero, step, folds.gathered))).withColumnRenamed("p", pos)
     from .islands import ordered
 
     placed = fragments.join(rows, [*keys, pos], "left").withColumn("_last", F.col("row").isNull().cast("int")).withColumn("_x", F.col(bbox)["x"])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.text import capitalized, ends_sentence, joined_words
 from .islands import ordered
 
@@ -30,7 +31,7 @@ def split(words: DataFrame, keys: list[str], pos: str, text: str, start: str, en
     w = ordered(keys, [pos])
     row = F.struct(F.col(pos).alias("p"), F.col(start).cast("double").alias("s"), F.lag(end).over(w).cast("double").alias("e"), ends_sentence(F.lag(text).over(w)).alias("stop"))
     listed = words.select(*keys, row.alias("_r")).groupBy(*keys).agg(F.array_sort(F.collect_list("_r")).alias("_rows"))
-    zero = F.struct(F.lit(None).cast("double").alias("from"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("out"))
+    zero = F.struct(F.lit(None).cast("double").alias("from"), F.lit(0).alias("n"), *folds.nothing("bigint"))
 
     def step(acc: Column, r: Column) -> Column:
         length, gap = r["e"] - acc["from"], r["s"] - r["e"]
@@ -38,9 +39,9 @@ def split(words: DataFrame, keys: list[str], pos: str, text: str, start: str, en
         overgrown = (length >= rules.most) | (acc["n"] >= rules.most_words)
         ends = (mature & (r["stop"] | (gap >= rules.pause))) | (overgrown & (gap >= rules.soft_pause)) | (length >= rules.most * rules.hard)
         new = acc["from"].isNull() | F.coalesce(ends, F.lit(False))
-        return F.struct(F.when(new, r["s"]).otherwise(acc["from"]).alias("from"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, F.concat(acc["out"], F.array(r["p"].cast("bigint")))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(new, r["s"]).otherwise(acc["from"]).alias("from"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), *folds.added(acc, r["p"].cast("bigint"), new))
 
-    firsts = listed.select(*keys, F.explode(F.aggregate("_rows", zero, step)["out"]).alias(pos)).withColumn("_first", F.lit(1))
+    firsts = listed.select(*keys, F.explode(F.aggregate("_rows", zero, step, folds.gathered)).alias(pos)).withColumn("_first", F.lit(1))
     marked = words.join(firsts, [*keys, pos], "left")
     n = F.count("_first").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
     return marked.withColumn("paragraph", n).drop("_first")
@@ -59,11 +60,11 @@ def timecodes(paragraphs: DataFrame, keys: list[str], order: str, start: str, an
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(start).alias("s"))))
     listed = paragraphs.groupBy(*keys).agg(rows.alias("_rows"), F.min(anchor).alias("_a"))
     kind = dict(paragraphs.dtypes)[order]
-    zero = F.struct(F.col("_a").cast("double").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
+    zero = F.struct(F.col("_a").cast("double").alias("last"), *folds.nothing(kind))
 
     def step(acc: Column, r: Column) -> Column:
         due = r["s"] - acc["last"] >= every
-        return F.struct(F.when(due, r["s"].cast("double")).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["out"], F.array(r["o"]))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(due, r["s"].cast("double")).otherwise(acc["last"]).alias("last"), *folds.added(acc, r["o"], due))
 
-    shown = listed.select(*keys, F.explode(F.aggregate("_rows", zero, step)["out"]).alias(order)).withColumn("_t", F.lit(True))
+    shown = listed.select(*keys, F.explode(F.aggregate("_rows", zero, step, folds.gathered)).alias(order)).withColumn("_t", F.lit(True))
     return paragraphs.join(shown, [*keys, order], "left").withColumn("timecode", F.coalesce("_t", F.lit(False))).drop("_t")

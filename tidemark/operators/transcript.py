@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.text import ends_sentence
 from .islands import number_breaks, ordered, runs
 
@@ -20,27 +21,29 @@ def shift_boundaries(words: DataFrame, key: str, pos: str, start: str, label: st
     """words (with label and boundary; pos from 0 without gaps) with section_label: label runs whose cuts have moved to the
     nearest phrase boundary within tolerance, ties to the earlier; each run keeps a word.
 
-    Each cut's candidates come from a join within the recording; the choice
-    depends on the cut before, so one fold over a recording's cuts makes it.
+    Each cut's candidates come from a join by recording and stretch of time; the
+    choice depends on the cut before, so one fold over a recording's cuts makes it.
     """
     r = runs(words, [key], [pos], label, "_run")
     cuts = r.groupBy(key, "_run").agg(F.min(pos).alias("_cut"), F.min_by(start, pos).alias("_t"), F.first(label).alias("_label"), F.max(pos).alias("_end"))
     w = ordered([key], ["_cut"])
     cuts = cuts.withColumn("_high", F.coalesce(F.lead("_cut").over(w), F.max("_end").over(Window.partitionBy(key)) + 1) - 1)
-    b = words.where("boundary").select(F.col(key).alias("_k"), F.col(pos).alias("_p"), F.col(start).alias("_s"))
-    moved = cuts.where("_run > 0")
-    near = moved.join(b, (F.col(key) == F.col("_k")) & (F.abs(F.col("_s") - F.col("_t")) <= tolerance) & (F.col("_p") <= F.col("_high")), "left")
+    # within tolerance is within half a stretch: a boundary lies in the cut's stretch or beside it
+    stretch = lambda c: F.floor(F.col(c) / F.lit(2.0 * tolerance or 1.0)).cast("long")
+    b = words.where("boundary").select(F.col(key).alias("_k"), F.col(pos).alias("_p"), F.col(start).alias("_s"), stretch(start).alias("_at"))
+    moved = cuts.where("_run > 0").withColumn("_b", F.explode_outer(F.sequence(stretch("_t") - 1, stretch("_t") + 1)))
+    near = moved.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_at")) & (F.abs(F.col("_s") - F.col("_t")) <= tolerance) & (F.col("_p") <= F.col("_high")), "left")
     some = F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct(F.abs(F.col("_s") - F.col("_t")).alias("d"), F.col("_p").alias("p")))))
     listed = near.groupBy(key, "_run", "_cut", "_high").agg(some.alias("_near"))
     rows = listed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_run", "_cut", "_high", "_near"))).alias("_rows"))
-    first = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    first = F.struct(F.lit(0).cast("long").alias("last"), *folds.nothing("bigint"))
 
     def step(acc: Column, c: Column) -> Column:
         fits = F.filter(c["_near"], lambda n: (n["p"] > acc["last"]) & (n["p"] <= c["_high"]))
         new = F.coalesce(F.get(fits, F.lit(0))["p"], c["_cut"]).cast("long")
-        return F.struct(new.alias("last"), F.concat(acc["out"], F.array(new)).alias("out"))
+        return F.struct(new.alias("last"), *folds.added(acc, new))
 
-    shifted = rows.select(key, F.posexplode(F.aggregate("_rows", first, step)["out"]).alias("_n", "_cut")).select(key, (F.col("_n") + 1).alias("_run"), "_cut")
+    shifted = rows.select(key, F.posexplode(F.aggregate("_rows", first, step, folds.gathered)).alias("_n", "_cut")).select(key, (F.col("_n") + 1).alias("_run"), "_cut")
     labels = cuts.select(key, "_run", F.col("_label").alias("section_label"))
     begins = shifted.select(F.col(key).alias("_k"), F.col("_cut").alias("_p"))
     marked = words.join(begins, (F.col(key) == F.col("_k")) & (F.col(pos) == F.col("_p")), "left")

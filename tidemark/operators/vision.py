@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import iou
+
 # Thresholds of region detection.
 CLOSE, OPEN, LEAST_FILL, LEAST_SIDE, LEAST_AREA = 9, 3, 0.8, 0.15, 0.05
+REFINE_CLOSE, REFINE_OVERLAP = 3, 0.5
 BORDER_LEVEL, BORDER_LINE, LEAST_SAMPLE = 0.15, 0.5, 3
 PRESENCE_RATIO, HASH_SIZE = 0.4, 16
 
@@ -51,9 +54,9 @@ def components(mask: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def mask_region(mask: np.ndarray) -> tuple[tuple[int, int, int, int] | None, str]:
+def mask_region(mask: np.ndarray, close: int = CLOSE) -> tuple[tuple[int, int, int, int] | None, str]:
     """(x, y, width, height) of the largest area's box after closing and opening, or None, and why."""
-    clean = opened(closed(mask))
+    clean = opened(closed(mask, close))
     labels = components(clean)
     if not clean.any():
         return None, "nothing static and bright"
@@ -93,8 +96,8 @@ def grown(brightness: np.ndarray, rect: tuple[int, int, int, int]) -> tuple[int,
 REGION = "x int, y int, width int, height int, reason string"
 
 
-def find_regions(stats: DataFrame, keys: list[str], y: str, x: str, brightness: str, static: str) -> DataFrame:
-    """keys with region columns and reason: a grouped function over one picture's pixel statistics (a picture fits a task)."""
+def find_regions(stats: DataFrame, keys: list[str], y: str, x: str, brightness: str, static: str, closes: tuple[int, ...] = (CLOSE,)) -> DataFrame:
+    """keys, attempt (from 0, if there are several sizes of closing) with region columns and reason: a grouped function over one picture's pixel statistics (a picture fits a task)."""
     names = [*keys, y, x, brightness, static]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,14 +105,17 @@ def find_regions(stats: DataFrame, keys: list[str], y: str, x: str, brightness:
         level, mask = np.zeros((h, w)), np.zeros((h, w), bool)
         level[pdf[y], pdf[x]] = pdf[brightness]
         mask[pdf[y], pdf[x]] = pdf[static]
-        rect, why = mask_region(mask)
-        if rect:
-            rect = grown(level, rect)
-        row = dict(zip(keys, key, strict=True)) | dict(zip(("x", "y", "width", "height"), rect or (None,) * 4, strict=True)) | {"reason": why}
-        return pd.DataFrame([row]).astype({c: "Int32" for c in ("x", "y", "width", "height")})
+        rows = []
+        for n, size in enumerate(closes):
+            rect, why = mask_region(mask, size)
+            if rect:
+                rect = grown(level, rect)
+            rows.append(dict(zip(keys, key, strict=True)) | {"attempt": n} | dict(zip(("x", "y", "width", "height"), rect or (None,) * 4, strict=True)) | {"reason": why})
+        return pd.DataFrame(rows).astype({c: "Int32" for c in ("x", "y", "width", "height")})
 
     kinds = ", ".join(f"{k} {dict(stats.dtypes)[k]}" for k in keys)
-    return stats.select(*names).groupBy(*keys).applyInPandas(run, f"{kinds}, {REGION}")
+    made = stats.select(*names).groupBy(*keys).applyInPandas(run, f"{kinds}, attempt int, {REGION}")
+    return made if len(closes) > 1 else made.drop("attempt")
 
 
 def present(pixels: Column, least: float = 150.0, ratio: float = PRESENCE_RATIO) -> Column:
@@ -159,6 +165,18 @@ def enough(stats: DataFrame, size: str = "sample_size", least: int = LEAST_SAMPL
     return stats.where(F.col(size) >= least)
 
 
-def refined(group_rect: Column, found: Column, overlap: Column, least: float = 0.5) -> Column:
+def refine_regions(groups: DataFrame, stats: DataFrame, keys: list[str], rect: str, y: str, x: str, brightness: str, static: str, closes: tuple[int, ...] = (REFINE_CLOSE, CLOSE)) -> DataFrame:
+    """groups (keys, rect, ...) with rect looked for again on statistics of their last frames, and refined (false: the group's
+    own stays). A weak closing is tried first, then the usual one; the first region that overlaps the group's enough counts."""
+    found = find_regions(stats, keys, y, x, brightness, static, closes)
+    found = found.where(F.col("x").isNotNull()).select(*keys, F.struct("attempt", F.struct("x", "y", "width", "height").alias("r")).alias("_t"))
+    tries = found.groupBy(*keys).agg(F.array_sort(F.collect_list("_t")).alias("_tries"))
+    fits = F.filter("_tries", lambda t: iou(t["r"], F.col(rect)) >= REFINE_OVERLAP)
+    best = F.get(fits, F.lit(0))["r"]
+    out = groups.join(tries, keys, "left").withColumn("refined", F.coalesce(F.size(fits) > 0, F.lit(False)))
+    return out.withColumn(rect, F.coalesce(best.cast(groups.schema[rect].dataType), F.col(rect))).drop("_tries")
+
+
+def refined(group_rect: Column, found: Column, overlap: Column, least: float = REFINE_OVERLAP) -> Column:
     """The region found at a group's last frames if it overlaps the group's enough, else the group's."""
     return F.when(found.isNotNull() & (overlap >= least), found).otherwise(group_rect)

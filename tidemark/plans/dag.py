@@ -39,6 +39,11 @@ def selected(stages: dict, first: str | None = None, only: str | None = None) ->
     return [only] if only else names[names.index(first) :] if first else names
 
 
+def from_cache(stages: dict[str, tuple[str, ...]], chosen: list[str]) -> list[str]:
+    """What a selection needs and doesn't make: only the cache has it."""
+    return sorted({n for name in chosen for n in stages[name]} - set(chosen))
+
+
 @dataclass
 class Context:
     spark: SparkSession

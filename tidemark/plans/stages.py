@@ -19,6 +19,7 @@ from ..sources import probe
 from . import cache, dag
 
 KEY = "recording_id"
+PICTURES = f"recording_id string, idx int, present boolean, region {schemas.RECT}, hash bigint, content binary"
 LOG = logging.getLogger("tidemark")
 FRAME_S = 0.03
 

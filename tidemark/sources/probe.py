@@ -59,6 +59,15 @@ def select_track(media: DataFrame, index: int | None = None) -> DataFrame:
     return media.withColumn("track", found)
 
 
+def source_size(video: Column) -> Column:
+    """(width, height) of a recording's video; null where it has none or the probe doesn't tell."""
+    return F.when((video["width"] > 0) & (video["height"] > 0), F.struct(video["width"].alias("width"), video["height"].alias("height")))
+
+
+def source_width(video: Column) -> Column:
+    return source_size(video)["width"]
+
+
 def require_track(media: DataFrame, index: int | None = None) -> DataFrame:
     """select_track, which fails where a recording lacks the track."""
     chosen = select_track(media, index)
