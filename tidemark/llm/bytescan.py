@@ -51,6 +51,24 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return o, d
 
 
+def portion(buckets: int) -> int:
+    """Bytes of text whose finds are dealt at once: more for more buckets, so that records, and what each one costs, don't grow in number with both texts and buckets."""
+    return min(8 << 20, max(PIECE, buckets << 14))
+
+
+def joined(pieces, most: int):
+    """Tuples (size, arrays...) as lists of joined arrays, of `most` bytes or somewhat more each."""
+    held, size = [], 0
+    for n, *arrays in pieces:
+        held.append(arrays)
+        size += n
+        if size >= most:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def runs(offsets: np.ndarray, size: int = PIECE):
     """Row ranges [a, b) of about `size` bytes each; a row is never parted."""
     a, n = 0, len(offsets) - 1
@@ -156,6 +174,8 @@ def unpack_shared(bucket: int, packed: list[bytes]) -> tuple[np.ndarray, np.ndar
 
 
 ROUTED = "bucket int, packed binary"
+#: Bytes of pairs that are packed by bucket at once.
+ROUTED_AT_ONCE = 32 << 20
 
 
 def routed(rows: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:

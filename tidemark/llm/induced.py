@@ -15,8 +15,9 @@ LMS suffixes are sorted by their substrings (up to the next LMS place): packed
 letters go through a priority queue of sorted runs, equal ones again with the
 letters that follow. Substrings' ranks are the letters of a reduced text, a third
 as long or less; while ranks are tied, it is sorted by the same procedure,
-recursively, or, once it fits in memory, by doubling there. Its prefix values, in
-ranks, tell from which letter on LMS neighbours must be compared.
+recursively, or, once it is not far larger than memory, by doubling, in memory or
+through sorted runs. Its prefix values, in ranks, tell from which letter on LMS
+neighbours must be compared.
 
 All that grows with the text (queues, runs, ranks, positions) is held in memory
 up to a bound and in files beyond it, and is worked on in blocks, so a text may
@@ -34,6 +35,8 @@ import numpy as np
 CARRIED = 4
 #: Bytes that an entry of a sort takes in memory, all its transient arrays included.
 _ENTRY = 64
+#: A reduced text of up to so many times what memory holds is sorted by doubling in files; recursion, slow over a wide alphabet, sorts larger ones.
+DOUBLED = 8
 
 
 def scratch(n: int, kind, limit: int) -> np.ndarray:
@@ -299,8 +302,8 @@ class Sort:
             following = np.append(following, begin[-1])
         return begin, following - begin + 1
 
-    def _ranks(self, lms: np.ndarray) -> tuple[np.ndarray, bool]:
-        """For each LMS substring the number of those that are smaller; whether some are tied. Letters beyond the depth don't count."""
+    def _ranks(self, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """For each LMS substring the number of those that are smaller; for each such rank, how many have it; whether some are tied. Letters beyond the depth don't count."""
         m = len(lms)
         rank, size = scratch(m, self.place, self.limit), scratch(m, self.place, self.limit)
         queue, read = Runs(self.limit // 4), max(1, 63 // self.bits)
@@ -330,36 +333,77 @@ class Sort:
                     queue.put(key, (on + a).astype(self.place))
             if not any_:
                 break
-            base, place, group, last = -1, 0, 0, None  # the rank at hand, entries of it seen, rank of the subgroup at hand
-            for keys, which in queue.take(self.block):
-                old = (keys >> np.uint64(more * self.bits)).astype(np.int64)
-                fresh = np.concatenate([[old[0] != base], old[1:] != old[:-1]])
-                index = np.arange(len(keys))
-                start = np.maximum.accumulate(np.where(fresh, index, 0))
-                seen = index - start + np.where(start == 0, 0 if fresh[0] else place, 0)
-                new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
-                begins = np.flatnonzero(new)
-                value = old + seen
-                current = np.where(np.cumsum(new) > 0, value[begins[np.maximum(np.cumsum(new) - 1, 0)]] if len(begins) else 0, group)
-                size[value[begins]] = 0
-                np.add.at(size, current, 1)
-                rank[which] = current
-                base, place, group, last = int(old[-1]), int(seen[-1]) + 1, int(current[-1]), keys[-1]
+            self._regrouped(queue, more * self.bits, rank, size)
             read += more
         tied = any(bool((np.asarray(size[a : a + self.block]) > 1).any()) for a in range(0, m, self.block))
-        return rank, tied
+        return rank, size, tied
+
+    def _regrouped(self, queue: Runs, bits: int, rank: np.ndarray, size: np.ndarray) -> None:
+        """New ranks of tied entries, and how many each rank has: the queue's keys are ranks with `bits` bits that tell them apart."""
+        base, place, group, last = -1, 0, 0, None  # the rank at hand, entries of it seen, rank of the subgroup at hand
+        for keys, which in queue.take(self.block):
+            old = (keys >> np.uint64(bits)).astype(np.int64)
+            fresh = np.concatenate([[old[0] != base], old[1:] != old[:-1]])
+            index = np.arange(len(keys))
+            start = np.maximum.accumulate(np.where(fresh, index, 0))
+            seen = index - start + np.where(start == 0, 0 if fresh[0] else place, 0)
+            new = np.concatenate([[last is None or keys[0] != last], keys[1:] != keys[:-1]])
+            begins = np.flatnonzero(new)
+            value = old + seen
+            current = np.where(np.cumsum(new) > 0, value[begins[np.maximum(np.cumsum(new) - 1, 0)]] if len(begins) else 0, group)
+            size[value[begins]] = 0
+            np.add.at(size, current, 1)
+            rank[which] = current
+            base, place, group, last = int(old[-1]), int(seen[-1]) + 1, int(current[-1]), keys[-1]
+
+    def _doubled(self, rank: np.ndarray, size: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_told_apart and _equal_names by sorted runs, in blocks: the reduced text's suffixes in order, and how many ranks each shares with the one before."""
+        m, step = len(rank), 1
+        kept = scratch(m, self.place, self.limit)
+        for a in range(0, m, self.block):
+            kept[a : a + self.block] = rank[a : a + self.block]
+        while step < m:
+            queue, any_ = Runs(self.limit // 4), False
+            for a in range(0, m, self.block):
+                r = np.asarray(rank[a : a + self.block], np.int64)
+                tied = np.flatnonzero(np.asarray(size[r]) > 1)
+                far = np.minimum(a + tied + step, m - 1)
+                on = (np.asarray(lms[far], np.int64) - lms[a + tied] < self.depth) & (a + tied + step < m)  # ties beyond the depth don't matter
+                tied, far = tied[on], far[on]
+                if len(tied):
+                    any_ = True
+                    queue.put((r[tied].astype(np.uint64) << np.uint64(32)) | np.asarray(rank[far]).astype(np.uint64), (a + tied).astype(self.place))
+            if not any_:
+                break
+            self._regrouped(queue, 32, rank, size)
+            step *= 2
+        queue, order, at = Runs(self.limit // 4), scratch(m, self.place, self.limit), 0
+        for a in range(0, m, self.block):
+            part = np.array(rank[a : a + self.block])
+            queue.put(part, np.arange(a, a + len(part), dtype=self.place))
+        for _, which in queue.take(self.block):
+            order[at : at + len(which)] = which
+            at += len(which)
+        shared = scratch(m, np.uint8, self.limit)
+        for a in range(1, m, self.block):
+            one, two = np.asarray(order[a - 1 : a - 1 + self.block], np.int64)[: m - a], np.asarray(order[a : a + self.block], np.int64)
+            shared[a : a + self.block] = _equal_names(kept, one[: len(two)], two, lms, self.depth)
+        return order, shared
 
     def _lms_order(self, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """LMS suffixes in ascending order, and how many letters each shares with the one before."""
         m = len(lms)
-        rank, tied = self._ranks(lms)
+        rank, size, tied = self._ranks(lms)
         order, shared = scratch(m, self.place, self.limit), None
         if not tied:
             for a in range(0, m, self.block):
                 order[rank[a : a + self.block]] = np.arange(a, min(m, a + self.block))
         elif m * _ENTRY <= self.limit:
             order[:] = np.argsort(_told_apart(np.asarray(rank, np.int64), np.asarray(lms), self.depth), kind="stable")
-            shared = _equal_names(rank, order, lms, self.depth)
+            shared = np.zeros(m, np.int64)
+            shared[1:] = _equal_names(rank, order[:-1], order[1:], lms, self.depth)
+        elif m * _ENTRY <= self.limit * DOUBLED:
+            order, shared = self._doubled(rank, size, lms)
         else:
             inner = Sort(rank, min(254, self.depth // 2 + 1), self.limit, m)
             shared, at = scratch(m, np.uint8, self.limit), m
@@ -527,19 +571,19 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-def _equal_names(rank: np.ndarray, order: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
-    """How many ranks each suffix of the reduced text shares with the one before it in order, as far as the depth asks."""
+def _equal_names(rank: np.ndarray, one: np.ndarray, two: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """How many ranks the reduced text's suffixes at one and two share, as far as the depth asks."""
     m = len(rank)
-    out = np.zeros(m, np.int64)
-    left = np.arange(1, m)
+    out = np.zeros(len(two), np.int64)
+    left = np.arange(len(two))
     while len(left):
-        a, b = order[left - 1] + out[left], order[left] + out[left]
+        a, b = one[left] + out[left], two[left] + out[left]
         same = (a < m) & (b < m)
         left, a, b = left[same], a[same], b[same]
         left = left[rank[a] == rank[b]]
         out[left] += 1
-        far = np.minimum(order[left] + out[left], m - 1)
-        left = left[lms[far] - lms[order[left]] < depth]
+        far = np.minimum(two[left] + out[left], m - 1)
+        left = left[lms[far] - lms[two[left]] < depth]
     return out
 
 

@@ -17,8 +17,10 @@ a string together:
 4. The smallest ids go back to the stretches' documents, which mark the windows
    with an id smaller than their own.
 
-The number of shards follows from the bytes of the distinct texts; a shard's
-letters and all arrays of its sort lie in files beyond SORT_MEMORY.
+The number of shards follows from the bytes of the distinct texts. What is found
+is dealt to them in portions of several chunks of text, so that records stay few
+where shards are many. A shard's letters and all arrays of its sort lie in files
+beyond SORT_MEMORY.
 
 Defined results: a null text is an empty one; a row with a null id takes no part
 (nothing is removed from it, or because of it); rows with equal ids don't affect
@@ -45,8 +47,8 @@ from .common import cut, drop, fewer, partitions
 LENGTH, GRAM = 50, 24
 #: Bytes that a sort holds in memory, about; more lie in files.
 SORT_MEMORY = 192 << 20
-#: Bytes of distinct texts for each shard.
-SHARD_BYTES = 64 << 20
+#: Bytes of distinct texts for each shard: of prose, a third of what makes a reduced text that SORT_MEMORY holds.
+SHARD_BYTES = 16 << 20
 _OVERLAP_PIECE = 1 << 20
 
 
@@ -106,31 +108,37 @@ def _stretches(offsets: np.ndarray, data: np.ndarray, length: int):
 def _shared_hashes(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     """_rid, flags (bucket and upper half of each shared hash as one number, packed): texts has _rid, _key, _text."""
 
-    def scan(batches):
-        turn = 0
+    def pieces(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, data = bs.buffers(batch.column(2))
             for a, b in bs.runs(offsets):
                 row, _, _, h = _stretches(offsets[a : b + 1], data, length)
-                out = list(bs.pack_shared(h, keys[a:b][row], ids[a:b][row], buckets, turn))
-                turn += 1
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "known", "packed"])
+                yield int(offsets[b] - offsets[a]), h, keys[a:b][row], ids[a:b][row]
+
+    def scan(batches):
+        for h, keys, ids in bs.joined(pieces(batches), bs.portion(buckets)):
+            # a turn by a row's hash: tasks of few portions would all begin with the same buckets
+            out = list(bs.pack_shared(h, keys, ids, buckets, int(ids[0]) if len(ids) else 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "known", "packed"])
 
     def meet(batches):
         held: dict[int, list] = {}
+        found = []
         for batch in batches:
             for n, known, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if known:
                     r, b, v = bs.unblob(packed, np.int64, np.uint32, np.uint32)
-                    yield bs.routed(r, (b.astype(np.uint64) << bs.M(32)) | v, buckets)
+                    found.append((r, (b.astype(np.uint64) << bs.M(32)) | v))
                 else:
                     held.setdefault(n, []).append(packed)
         for n in sorted(held):
             r, v = bs.unpack_shared(n, held.pop(n))
-            if len(r):
-                yield bs.routed(r, (bs.M(n) << bs.M(32)) | v.astype(np.uint64), buckets)
+            found.append((r, (bs.M(n) << bs.M(32)) | v.astype(np.uint64)))
+        # all at once: each call makes a record for every bucket
+        for r, v in bs.joined(((16 * len(r), r, v) for r, v in found if len(r)), bs.ROUTED_AT_ONCE):
+            yield bs.routed(r, v, buckets)
 
     dealt = texts.mapInArrow(scan, bs.SHARED).repartitionById(buckets, F.col("bucket"))
     return _by_document(dealt.mapInArrow(meet, bs.ROUTED), buckets, np.uint64, "flags")
@@ -153,7 +161,7 @@ def _by_document(routed: DataFrame, buckets: int, kind, name: str) -> DataFrame:
     return routed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, f"_rid long, {name} binary")
 
 
-#: A stretch that more documents of one chunk have is common: its places travel apart from its bytes.
+#: A stretch that stands in more places of one portion is common: its places travel apart from its bytes.
 COMMON = 16
 _DEALT = "bucket int, kind int, packed binary"
 _PACKED = (np.int64, np.int64, np.int64, np.uint8, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint8)
@@ -162,21 +170,17 @@ _PACKED = (np.int64, np.int64, np.int64, np.uint8, np.uint32, np.uint32, np.int6
 def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     """Stretches of texts (_id, _rid, _text, flags: packed hashes) under shared hashes, packed by shard.
 
-    kind 0: a chunk's distinct stretches of a shard: hash, digest, least id,
+    kind 0: a portion's distinct stretches of a shard: hash, digest, least id,
     common or not, size, number of places, the places' ids, rows and starts (of
     those that are not common), bytes (compressed). kind 1: places of common
     stretches.
     """
 
-    def scan(batches):
-        import zstandard
-
-        turn, pressed = 0, zstandard.ZstdCompressor(level=1)
+    def pieces(batches):
         for batch in batches:
             ids, rids, flags = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             offsets, data = bs.buffers(batch.column(2))
             for a, b in bs.runs(offsets):
-                turn += 1
                 row, start, count, h = _stretches(offsets[a : b + 1], data, length)
                 wanted_rows, wanted = [], []
                 for i in range(a, b):
@@ -194,25 +198,33 @@ def _gather(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                 flat = data[offsets[a] : offsets[b]]
                 size = count + length - 1
                 digest = bs.digests(bs.prefix_sums(flat), start, start + size)
-                doc, rid = ids[a:b][row], rids[a:b][row]
                 at = start - (offsets[a : b + 1] - offsets[a])[row]
-                h1, h2 = h.view(np.int64), digest.view(np.int64)
-                bucket = (h % bs.M(buckets)).astype(np.int64)
-                order = np.lexsort((doc, h2, h1, bucket))
-                bucket, h1, h2, doc, rid, at, start, size = (x[order] for x in (bucket, h1, h2, doc, rid, at, start, size))
-                begins, places = bs.grouped_pairs(h1, h2)
-                common = places > COMMON
-                apart = np.repeat(common, places)
-                out = [(turn % buckets, 1, bs.blob(h1[apart], h2[apart], doc[apart], rid[apart], at[apart]))] if apart.any() else []
-                cuts = np.searchsorted(bucket[begins], np.arange(buckets + 1))
-                for n in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[n], cuts[n + 1])
-                    first, own = begins[part], np.arange(begins[cuts[n]], begins[cuts[n + 1]] if cuts[n + 1] < len(begins) else len(h1))
-                    own = own[~apart[own]]
-                    letters = flat[bs.spread(start[first], size[first])]
-                    kept = np.where(common[part], 0, places[part]).astype(np.uint32)
-                    out.append((int(n), 0, bs.blob(h1[first], h2[first], doc[first], common[part].astype(np.uint8), size[first].astype(np.uint32), kept, doc[own], rid[own], at[own].astype(np.uint32), np.frombuffer(pressed.compress(letters.tobytes()), np.uint8))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "packed"])
+                letters = flat[bs.spread(start, size)]
+                yield len(letters), h, digest, ids[a:b][row], rids[a:b][row], at, size, letters
+
+    def scan(batches):
+        import zstandard
+
+        pressed = zstandard.ZstdCompressor(level=1)
+        for h, digest, doc, rid, at, size, flat in bs.joined(pieces(batches), bs.portion(buckets)):
+            turn, start = int(rid[0]), np.cumsum(size) - size
+            h1, h2 = h.view(np.int64), digest.view(np.int64)
+            bucket = (h % bs.M(buckets)).astype(np.int64)
+            order = np.lexsort((doc, h2, h1, bucket))
+            bucket, h1, h2, doc, rid, at, start, size = (x[order] for x in (bucket, h1, h2, doc, rid, at, start, size))
+            begins, places = bs.grouped_pairs(h1, h2)
+            common = places > COMMON
+            apart = np.repeat(common, places)
+            out = [(turn % buckets, 1, bs.blob(h1[apart], h2[apart], doc[apart], rid[apart], at[apart]))] if apart.any() else []
+            cuts = np.searchsorted(bucket[begins], np.arange(buckets + 1))
+            for n in np.flatnonzero(np.diff(cuts)):
+                part = slice(cuts[n], cuts[n + 1])
+                first, own = begins[part], np.arange(begins[cuts[n]], begins[cuts[n + 1]] if cuts[n + 1] < len(begins) else len(h1))
+                own = own[~apart[own]]
+                letters = flat[bs.spread(start[first], size[first])]
+                kept = np.where(common[part], 0, places[part]).astype(np.uint32)
+                out.append((int(n), 0, bs.blob(h1[first], h2[first], doc[first], common[part].astype(np.uint8), size[first].astype(np.uint32), kept, doc[own], rid[own], at[own].astype(np.uint32), np.frombuffer(pressed.compress(letters.tobytes()), np.uint8))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "packed"])
 
     return texts.mapInArrow(scan, _DEALT)
 
@@ -358,16 +370,20 @@ def _marked(places: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, starts, ends = [], [], []
-            for doc, rid, at, least in zip(*(batch.column(n).to_pylist() for n in ("doc", "rid", "at", "packed")), strict=True):
+            doc, rid, at = (batch.column(n).to_numpy() for n in ("doc", "rid", "at"))
+            alike: dict[bytes, list[int]] = {}
+            for i, least in enumerate(batch.column("packed").to_pylist()):
+                alike.setdefault(least, []).append(i)
+            found = []
+            for least, rows in alike.items():
                 counts, docs = bs.unblob(least, np.int32, np.int64)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                for k in np.flatnonzero(docs < doc):
-                    ids.append(rid)
-                    starts.append(at + int(bounds[k]))
-                    ends.append(at + int(bounds[k + 1]) + length - 1)
-            if ids:
-                yield _spans(*(np.array(x, dtype=np.int64) for x in (ids, starts, ends)), buckets)
+                i, k = np.nonzero(docs[None, :] < doc[rows][:, None])
+                if len(i):
+                    i = np.array(rows)[i]
+                    found.append((rid[i], at[i] + bounds[k], at[i] + bounds[k + 1] + length - 1))
+            if found:
+                yield _spans(*(np.concatenate(x) for x in zip(*found, strict=True)), buckets)
 
     return places.mapInArrow(run, bs.ROUTED)
 
